@@ -2,18 +2,17 @@
 
 from __future__ import annotations
 
-import gc
 import json
 import os
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
-#: Parts that one worker remembers; those learned first, the most common ones, stay.
-REMEMBERED = 600_000
+from inkveil.llm import bytetext as B
 
-#: Characters of the texts that are looked up together.
-GROUP_CHARS = 1 << 20
+#: Words that one worker remembers (about 20 bytes each); further ones are encoded whenever they come.
+REMEMBERED = 2_000_000
 
 
 def default_tokenizer() -> str:
@@ -23,25 +22,30 @@ def default_tokenizer() -> str:
 
 
 def splits_at_spaces(spec: dict) -> bool:
-    """Whether the tokenizer drops white space before its merges, so that parts between
-    spaces can be encoded one by one: its normaliser turns runs of white space into one space,
-    and its first pre-tokeniser keeps only matches of a pattern without white space."""
+    """Whether the tokenizer drops white space before its merges, so that parts between spaces can be
+    encoded one by one: its normaliser turns runs of white space into one space, and its first
+    pre-tokeniser keeps only matches of a pattern without white space."""
     normalisers = (spec.get("normalizer") or {}).get("normalizers", [])
     steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
     collapsed = any(x.get("type") == "Replace" and x.get("pattern") == {"Regex": "\\s+"} and x.get("content") == " " for x in normalisers)
-    plain = all(x.get("type") in ("NFC", "Replace", "Lowercase") for x in normalisers)
+    plain = all(x.get("type") in ("NFC", "Replace", "Lowercase") for x in normalisers) and any(x.get("type") == "Lowercase" for x in normalisers)
     dropped = bool(steps) and steps[0].get("type") == "Split" and steps[0].get("behavior") == "Removed" and steps[0].get("invert") is True
     return collapsed and plain and dropped and not any(" " in x["content"] or x.get("lstrip") or x.get("rstrip") for x in spec.get("added_tokens") or [])
 
 
-#: Marks that are split off a part's end before it is remembered.
-_LAST = (",", ".")
+_LAST = np.isin(np.arange(256), [ord(","), ord(".")])
+_PLAIN = np.zeros(256, bool)
+_PLAIN[0x30:0x3A] = _PLAIN[0x61:0x7B] = True
 
 
 class Encoder:
-    """Texts to id payloads (little-endian, item_bytes wide). Equal to the library's own
-    encoding of the whole text with add_special_tokens=False: each distinct
-    part between spaces is encoded once by the library and remembered."""
+    """Texts to id sequences, equal to the library's own encoding of each whole text with
+    add_special_tokens=False.
+
+    Each distinct part between spaces is encoded once by the library and remembered by a 64-bit digest of
+    its bytes. Since the tokenizer lower-cases, parts that differ in ASCII case are one; a last comma or stop
+    after an ASCII letter or digit is a part of its own, as it is for the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -52,66 +56,70 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.by_part = splits_at_spaces(spec)
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
-        self.known: dict[str, bytes] = {"": b""}
-        self.stems: dict[str, bytes] = {}
-
-    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
-        """By the library. Its normaliser lower-cases, and a mark after a letter is a part of its
-        own, so parts that differ in ASCII case or in a last comma or stop are encoded once."""
-        stems = {}
-        for x in parts:
-            y = x.lower() if x.isascii() else x
-            stems[x] = y[:-1] if y[-1:] in _LAST and y[-2:-1].isalnum() else y
-        known = self.stems
-        fresh = [y for y in set(stems.values()) if y not in known]
-        found = known
-        if fresh:
-            coded = self.tokenizer.encode_batch_fast(fresh, add_special_tokens=False)
-            new = {y: np.array(e.ids, self.dtype).tobytes() for y, e in zip(fresh, coded, strict=True)}
-            if len(known) + len(new) <= REMEMBERED:
-                known.update(new)
-            else:
-                found = new | {y: known[y] for y in set(stems.values()) if y in known}
-        tails = {c: np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, self.dtype).tobytes() for c in _LAST}
-        return {x: found[y] if len(x) == len(y) else found[y] + tails[x[-1]] for x, y in stems.items()}
-
-    def _join(self, texts: list[str | None]) -> Iterator[bytes]:
-        rows = [x.replace("\n", " ").split(" ") if x else [] for x in texts]
-        known = self.known
-        here = set().union(*rows)
-        fresh = [x for x in here if x not in known]
-        if fresh:
-            more = self._encoded(fresh)
-            if len(known) + len(more) <= REMEMBERED:
-                known.update(more)
-            else:
-                known = more | {x: known[x] for x in here if x in known}
-        look = known.__getitem__
-        for row in rows:
-            yield b"".join(map(look, row))
-
-    def payloads(self, texts: Iterable[str | None]) -> Iterator[bytes]:
-        """In the texts' order; null counts as empty."""
+        self.special = [x["content"].lower().encode() for x in spec.get("added_tokens") or []]
+        self.known = np.zeros(0, np.uint64)  # sorted digests
+        self.slot = np.zeros(0, np.int32)  # and their places in:
+        self.start = np.zeros(0, np.int64)
+        self.count = np.zeros(0, np.int64)
+        self.ids = np.zeros(0, self.dtype)
+
+    def _library(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        coded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        lists = [e.ids for e in coded]
+        count = np.fromiter(map(len, lists), np.int64, len(lists))
+        return np.fromiter((x for ids in lists for x in ids), self.dtype, int(count.sum())), count
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts one after another, and where each text's begin (one more entry than texts)."""
         if not self.by_part:
-            for text in texts:
-                yield np.array(self.tokenizer.encode(text or "", add_special_tokens=False).ids, self.dtype).tobytes()
-            return
-        group, size = [], 0
-        for text in texts:
-            group.append(text)
-            size += len(text or "")
-            if size >= GROUP_CHARS:
-                yield from self._group(group)
-                group, size = [], 0
-        yield from self._group(group)
-
-    def _group(self, texts: list[str | None]) -> list[bytes]:
-        """Without the cyclic collector, which would walk the remembered parts again and again."""
-        gc.disable()
-        try:
-            return list(self._join(texts))
-        finally:
-            gc.enable()
+            texts = [data[offsets[i] : offsets[i + 1]].tobytes().decode() for i in range(len(offsets) - 1)]
+            ids, count = self._library(texts)
+            return ids, np.r_[0, np.cumsum(count)]
+        # Case matters to marks that compose with a preceding letter, and to special tokens: then it stays.
+        low = B.LOWER[data]
+        if ((data == 0xCC) | (data == 0xCD)).any() or any(x in low.tobytes() for x in self.special):
+            low = data
+        starts, ends, first = self._parts(low, offsets)
+        digest = B.digests(low, starts, ends, B.NOT_SPACE)
+        distinct, where, inverse = np.unique(digest, return_index=True, return_inverse=True)
+        at = np.searchsorted(self.known, distinct)
+        inside = at < len(self.known)
+        hit = np.zeros(len(distinct), bool)
+        hit[inside] = self.known[at[inside]] == distinct[inside]
+        start, count, store = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), self.ids
+        own = self.slot[at[hit]]
+        start[hit], count[hit] = self.start[own], self.count[own]
+        if not hit.all():
+            fresh = np.flatnonzero(~hit)
+            raw = low.tobytes()
+            ids, n = self._library([raw[a:b].decode() for a, b in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)])
+            start[fresh], count[fresh] = len(store) + np.cumsum(n) - n, n
+            store = np.concatenate([store, ids])
+            if len(self.known) + len(fresh) <= REMEMBERED:
+                place = at[fresh]
+                self.known = np.insert(self.known, place, distinct[fresh])
+                self.slot = np.insert(self.slot, place, np.arange(len(self.start), len(self.start) + len(fresh), dtype=np.int32))
+                self.start, self.count = np.r_[self.start, start[fresh]], np.r_[self.count, n]
+                self.ids = store
+        n = count[inverse]
+        total = np.zeros(len(n) + 1, np.int64)
+        np.cumsum(n, out=total[1:])
+        places = np.arange(total[-1]) + np.repeat(start[inverse] - total[:-1], n)
+        return store[places], total[first]
+
+    @staticmethod
+    def _parts(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        starts, ends, first = B.words(low, offsets, B.NOT_SPACE)
+        cut = np.flatnonzero((ends - starts > 1) & _LAST[low[ends - 1]] & _PLAIN[low[np.maximum(ends - 2, 0)]])
+        where = cut + 1
+        more = np.searchsorted(cut, first)  # cuts before each text's first part
+        return np.insert(starts, where, ends[cut] - 1), np.insert(ends, cut, ends[cut] - 1), first + more
+
+    def column(self, column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """For ranges i:j of the column's texts (null: empty): their ids, and where each text's begin."""
+        data, offsets = B.column_bytes(column)
+        for i, j in B.runs(offsets):
+            yield i, j, *self.encode(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 
 _encoders: dict[str, Encoder] = {}

@@ -42,17 +42,19 @@ def pieces(docs: DataFrame, tokenizer: str, end_id: int = END_ID, capacity: int
         end = np.array([end_id], "<u4")
         for batch in batches:
             owner, piece, start, length, crc, ids = [], [], [], [], [], []
-            for row, payload in enumerate(coder.payloads(batch.column(1).to_pylist())):
-                whole = np.concatenate([np.frombuffer(payload, coder.dtype).astype("<u4"), end])
-                for k, at in enumerate(range(0, len(whole), capacity)):
-                    part = whole[at : at + capacity]
-                    owner.append(row)
-                    piece.append(k)
-                    start.append(at)
-                    length.append(len(part))
-                    crc.append(zlib.crc32(part.tobytes()))
-                    if keep_ids:
-                        ids.append(part.astype(np.int32))
+            for i, j, coded, at in coder.column(batch.column(1)):
+                coded = coded.astype("<u4")
+                for row in range(i, j):
+                    whole = np.concatenate([coded[at[row - i] : at[row - i + 1]], end])
+                    for k, begin in enumerate(range(0, len(whole), capacity)):
+                        part = whole[begin : begin + capacity]
+                        owner.append(row)
+                        piece.append(k)
+                        start.append(begin)
+                        length.append(len(part))
+                        crc.append(zlib.crc32(part))
+                        if keep_ids:
+                            ids.append(part.astype(np.int32))
             columns = [batch.column(0).take(pa.array(owner, pa.int64())), pa.array(piece, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()), pa.array(crc, pa.int64())]
             if keep_ids:
                 columns.append(pa.array(ids, pa.list_(pa.int32())))

@@ -74,7 +74,6 @@ def write_shards(docs: DataFrame, base: str, tokenizer: str, end_id: int, shards
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = encoder(tokenizer)
-        end = np.array([end_id], coder.dtype).tobytes()
         width = coder.dtype.itemsize
         first_batch = next((x for x in batches if x.num_rows), None)
         if first_batch is None:
@@ -87,13 +86,12 @@ def write_shards(docs: DataFrame, base: str, tokenizer: str, end_id: int, shards
             for batch in itertools.chain([first_batch], batches):
                 keys.append(batch.column(0).fill_null(0).to_numpy())
                 nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
-                for i in range(0, batch.num_rows, 256):
-                    for payload in coder.payloads(batch.column(1).slice(i, 256).to_pylist()):
-                        lengths.append(len(payload) // width + 1)
-                        yield payload + end
+                for _, _, ids, at in coder.column(batch.column(1)):
+                    lengths.append(np.diff(at) + 1)
+                    yield np.insert(ids, at[1:], end_id).tobytes()
             found["key"], found["null"] = np.concatenate(keys).astype("<i8"), np.concatenate(nulls).astype(np.uint8)
-            found["length"] = np.array(lengths, "<u8")
-            yield from (found["key"].tobytes(), found["null"].tobytes(), found["length"].tobytes(), struct.pack(TAIL, len(lengths), int(found["length"].sum())))
+            found["length"] = np.concatenate(lengths).astype("<u8")
+            yield from (found["key"].tobytes(), found["null"].tobytes(), found["length"].tobytes(), struct.pack(TAIL, len(found["length"]), int(found["length"].sum())))
 
         put(shard_uri(base, shard), content())
         key, null, length = found["key"], found["null"], found["length"]
