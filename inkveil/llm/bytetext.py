@@ -14,7 +14,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-SEGMENT = 1 << 20
+SEGMENT = 1 << 19
 
 #: ASCII lower case, byte by byte.
 LOWER = np.arange(256, dtype=np.uint8)

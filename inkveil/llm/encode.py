@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import json
 import os
 from collections.abc import Iterator
@@ -14,6 +15,9 @@ from inkveil.llm import bytetext as B
 #: Words that one worker remembers (about 20 bytes each); further ones are encoded whenever they come.
 REMEMBERED = 2_000_000
 
+#: Parts that the library encodes at once.
+GROUP = 1024
+
 
 def default_tokenizer() -> str:
     import public_tokenizers
@@ -64,10 +68,13 @@ class Encoder:
         self.ids = np.zeros(0, self.dtype)
 
     def _library(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        coded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
-        lists = [e.ids for e in coded]
-        count = np.fromiter(map(len, lists), np.int64, len(lists))
-        return np.fromiter((x for ids in lists for x in ids), self.dtype, int(count.sum())), count
+        """In small groups: the library's own result for a part takes far more memory than its ids."""
+        ids, count = [], []
+        for k in range(0, len(parts), GROUP):
+            lists = [e.ids for e in self.tokenizer.encode_batch_fast(parts[k : k + GROUP], add_special_tokens=False)]
+            count += map(len, lists)
+            ids.append(np.fromiter(itertools.chain.from_iterable(lists), self.dtype))
+        return np.concatenate([np.zeros(0, self.dtype), *ids]), np.array(count, np.int64)
 
     def encode(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts one after another, and where each text's begin (one more entry than texts)."""

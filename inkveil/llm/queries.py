@@ -16,7 +16,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 def op1_token_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     store = token_index.write_store(docs)
-    return token_index.digest(token_index.records(store, docs.select("doc_id").distinct()))
+    return token_index.records(store, docs.select("doc_id").distinct(), digests=True)
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

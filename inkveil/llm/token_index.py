@@ -248,19 +248,22 @@ class TokenStore:
         dealt = dealt.repartition(self.buckets, "bucket").sortWithinPartitions("bucket")
         return dealt.mapInArrow(find, "doc_id long, shard int, last int, n long, record long, offset long")
 
-    def read(self, places: DataFrame) -> DataFrame:
-        """Per record of the looked-up keys, read from the shards: doc_id, shard, offset, n_tokens, ids (payload), width.
+    def read(self, places: DataFrame, digests: bool = False) -> DataFrame:
+        """Per record of the looked-up keys, read from the shards: doc_id, start (ids before it in the corpus), n_tokens,
+        ids (little-endian payload) and width (bytes of an id); or, instead of the last two, ids_crc32 (of the ids as
+        little-endian unsigned 32-bit integers).
 
-        Requests are dealt by shard and sorted by offset, so each shard is read once, forwards.
+        Requests are dealt by shard and sorted by record, so each shard is read once, forwards.
         """
         base = self.base
         asked = places.select("doc_id", "shard", "last", "n", "record", "offset").withColumn("at", F.explode(F.sequence("shard", "last")))
-        asked = asked.repartition("at").sortWithinPartitions("at", "record").select("at", "doc_id", "shard", "n", "record", "offset")
+        asked = asked.join(self.bases.select(F.col("shard").alias("at"), F.col("base")), "at")
+        asked = asked.repartition("at").sortWithinPartitions("at", "record").select("at", "base", "doc_id", "shard", "n", "record", "offset")
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             number, shard = None, None
             for batch in batches:
-                at, doc, home, many, record, offset = (x.to_pylist() for x in batch.columns)
+                at, before, doc, home, many, record, offset = (x.to_pylist() for x in batch.columns)
                 out: list[tuple] = []
                 size = 0
                 for k in range(len(at)):
@@ -275,38 +278,50 @@ class TokenStore:
                         o = int(shard.lengths[:r].sum())
                     left = many[k]
                     while left and r < shard.n and shard.keys[r] == doc[k] and not shard.null[r]:
-                        out.append((doc[k], number, o, int(shard.lengths[r]), shard.payload(r, o), shard.width))
-                        size += len(out[-1][4])
+                        out.append(_record(doc[k], before[k] + o, shard, r, o, digests))
+                        size += int(shard.lengths[r]) * shard.width
                         o += int(shard.lengths[r])
                         r += 1
                         left -= 1
-                        if size > 1 << 24:
-                            yield _records(out)
+                        if size > 1 << 22:
+                            yield _records(out, digests)
                             out, size = [], 0
-                yield _records(out)
+                yield _records(out, digests)
 
-        return asked.mapInArrow(fetch, "doc_id long, shard int, offset long, n_tokens long, ids binary, width int")
+        return asked.mapInArrow(fetch, _schema(digests))
 
-    def read_unkeyed(self) -> DataFrame:
+    def read_unkeyed(self, digests: bool = False) -> DataFrame:
         """Records whose doc_id is null; they precede all others in the shards that have them."""
         base = self.base
 
         def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for shard in batch.column(0).to_pylist():
-                    opened, o = Shard(shard_uri(base, shard)), 0
-                    for r in range(int(opened.null.sum())):
-                        yield _records([(None, shard, o, int(opened.lengths[r]), opened.payload(r, o), opened.width)])
-                        o += int(opened.lengths[r])
-                    opened.file.close()
+                for number, before in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                    shard, o = Shard(shard_uri(base, number)), 0
+                    for r in range(int(shard.null.sum())):
+                        yield _records([_record(None, before + o, shard, r, o, digests)], digests)
+                        o += int(shard.lengths[r])
+                    shard.file.close()
+
+        return self.bases.filter("unkeyed > 0").select("shard", "base").repartition(8).mapInArrow(fetch, _schema(digests))
+
+
+def _schema(digests: bool) -> str:
+    return "doc_id long, start long, n_tokens long, " + ("ids_crc32 long" if digests else "ids binary, width int")
+
 
-        return self.bases.filter("unkeyed > 0").select("shard").repartition(8).mapInArrow(fetch, "doc_id long, shard int, offset long, n_tokens long, ids binary, width int")
+def _record(doc: int | None, start: int, shard: Shard, r: int, o: int, digests: bool) -> tuple:
+    payload, n = shard.payload(r, o), int(shard.lengths[r])
+    if digests:
+        return doc, start, n, zlib.crc32(np.frombuffer(payload, f"<u{shard.width}").astype("<u4"))
+    return doc, start, n, payload, shard.width
 
 
-def _records(rows: list[tuple]) -> pa.RecordBatch:
-    kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.int32())
-    columns = list(zip(*rows, strict=True)) or [()] * 6
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "shard", "offset", "n_tokens", "ids", "width"])
+def _records(rows: list[tuple], digests: bool) -> pa.RecordBatch:
+    fields = [("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64())]
+    fields += [("ids_crc32", pa.int64())] if digests else [("ids", pa.binary()), ("width", pa.int32())]
+    columns = list(zip(*rows, strict=True)) or [()] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], [x for x, _ in fields])
 
 
 def write_store(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 16_000) -> TokenStore:
@@ -328,19 +343,6 @@ def write_store(docs: DataFrame, tokenizer: str | None = None, end_id: int = END
     return TokenStore(spark, base, buckets, bases)
 
 
-def records(store: TokenStore, keys: DataFrame) -> DataFrame:
-    """All records of the keys (and of null keys if there are any), with start: the ids before each in the corpus."""
-    found = store.read(store.lookup(keys)).unionByName(store.read_unkeyed())
-    return found.join(store.bases.select("shard", "base"), "shard").withColumn("start", F.col("base") + F.col("offset"))
-
-
-def digest(rows: DataFrame) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of records, from the payloads as read."""
-
-    def crc(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            width = batch.column(4).to_pylist()
-            sums = [zlib.crc32(np.frombuffer(x, f"<u{w}").astype("<u4").tobytes()) for x, w in zip(batch.column(3).to_pylist(), width, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(sums, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
-
-    return rows.select("doc_id", "start", "n_tokens", "ids", "width").mapInArrow(crc, "doc_id long, start long, n_tokens long, ids_crc32 long")
+def records(store: TokenStore, keys: DataFrame, digests: bool = False) -> DataFrame:
+    """All records of the keys, and those with null keys if there are any, read back from the files by the index."""
+    return store.read(store.lookup(keys), digests).unionByName(store.read_unkeyed(digests))
