@@ -161,6 +161,12 @@ def class_sums(labelled: DataFrame) -> dict[int, tuple[float, np.ndarray, np.nda
     return out
 
 
+def trained(x: DataFrame, labels: DataFrame, training: Column) -> Discriminant:
+    """From statistics (doc_id, x) of rows that may be learned from and their labels."""
+    known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("label")).filter("label in (0, 1)")
+    return fit(class_sums(x.filter(F.coalesce(training, F.lit(False))).join(known, F.col("doc_id") == F.col("__id")).select("label", "x")))
+
+
 def score_quality(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, held_out (not training), score (posterior of label 1) and predicted (1 if score >= 0.5) of each row of docs.
 
@@ -169,9 +175,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, training: Column, id_col:
     """
     scratch = Scratch(docs.sparkSession, "quality")
     x = scratch.keep(features(docs, id_col, text_col), "features")
-    known = labels.select(F.col("doc_id").alias("__id"), F.col("quality").cast("int").alias("label")).filter("label in (0, 1)")
-    learned = x.filter(F.coalesce(training, F.lit(False))).join(known, F.col("doc_id") == F.col("__id")).select("label", "x")
-    model = fit(class_sums(learned))
+    model = trained(x, labels, training)
     kind = x.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,3 +185,22 @@ def score_quality(docs: DataFrame, labels: DataFrame, training: Column, id_col:
 
     rows = x.select("doc_id", (~F.coalesce(training, F.lit(False))).alias("held_out"), "x")
     return rows.mapInArrow(run, f"doc_id {kind}, held_out boolean, score double, predicted int")
+
+
+def accepted(docs: DataFrame, labels: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that are predicted 1, with all their columns. Rows are scored where they are; nothing is
+    shuffled but the training rows' statistics."""
+    scratch = Scratch(docs.sparkSession, "quality")
+    x = scratch.keep(features(docs, id_col, text_col), "features")
+    model = trained(x, labels, training)
+    scratch.drop("features")
+    place = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            data, offsets = B.column_bytes(batch.column(place))
+            for i, j in B.runs(offsets):
+                s = model.score(statistics(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]))
+                yield batch.slice(i, j - i).filter(pa.array(s >= 0.5))
+
+    return docs.mapInArrow(run, docs.schema)

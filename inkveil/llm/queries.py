@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from inkveil.llm import chat, decontaminate, exact_dedup, langid, ngram_join, packing, quality, token_counts, token_index
+from inkveil.llm import chat, decontaminate, exact_dedup, langid, licenses, ngram_join, packing, quality, token_counts, token_index
 from inkveil.llm.shared import crc_of_id, documents
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -56,6 +56,10 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("rid")
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(documents(spark, sf_dir), "doc_id", licenses.path_of_documents(spark))
+
+
 def queries() -> dict[str, Query]:
     found = [
         op1_token_index,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Query]:
         op7_quality_classifier,
         op8_chat_formatting,
         op9_exact_dedup,
+        op10_license_scan,
     ]
     return {f.__name__: f for f in found}
 
@@ -128,4 +133,4 @@ FROM f GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": OP3_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL}
+    return {"op3_benchmark_decontamination": OP3_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_license_scan": licenses.oracle_sql()}
