@@ -15,9 +15,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm.encode import default_tokenizer, encoder
+from inkveil.llm.shared import Scratch
 
 #: Distinct lengths whose suffix sums one task computes.
-BLOCK = 1024
+BLOCK = 64
 
 
 def encoded_lengths(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,4 +102,5 @@ def quantiles(table: DataFrame, probabilities: list[float]) -> DataFrame:
 
 
 def token_counts(docs: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    return suffix_table(length_histogram(encoded_lengths(docs, tokenizer or default_tokenizer(), id_col, text_col)))
+    histogram = length_histogram(encoded_lengths(docs, tokenizer or default_tokenizer(), id_col, text_col))
+    return suffix_table(Scratch(docs.sparkSession, "token-counts").keep(histogram, "histogram"))
