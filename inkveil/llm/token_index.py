@@ -37,7 +37,7 @@ HEAD_BYTES, TAIL_BYTES = struct.calcsize(HEAD), struct.calcsize(TAIL)
 END_ID = 2
 
 #: Keys that one index bucket holds on average.
-BUCKET_KEYS = 50_000
+BUCKET_KEYS = 8192
 
 #: Keys that share a seed on average.
 SEED_LOAD = 4
@@ -189,7 +189,10 @@ def write_index(places: DataFrame, base: str, buckets: int) -> DataFrame:
 
 
 def read_index(uri: str) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds and entries of a bucket; a bucket without keys has no file."""
     store, path = open_store(uri)
+    if store.get_file_info(path).type == fs.FileType.NotFound:
+        return np.zeros(0, "<u4"), np.zeros(0, SLOT)
     with store.open_input_file(path) as f:
         groups, n = struct.unpack("<QQ", f.read(16))
         return np.frombuffer(f.read(groups * 4), "<u4"), np.frombuffer(f.read(n * SLOT.itemsize), SLOT)
@@ -236,6 +239,8 @@ class TokenStore:
                         opened[b] = read_index(index_uri(base, int(b)))
                     seeds, entry = opened[b]
                     own = doc[bucket == b]
+                    if not len(entry):
+                        continue
                     hit = entry[find_slots(own, seeds, len(entry))]
                     ok = hit["print"] == fingerprints(own)
                     hit, own = hit[ok], own[ok]
