@@ -22,16 +22,16 @@ def document_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.flatten(cut)).alias("word_index", "w")).select("doc_id", "word_index", "w.line", "w.text")
 
 
-def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All non-blank tokens: doc_id, pos (place among the parts between white space), token."""
+def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """All non-blank tokens: doc_id, the columns to keep, pos (place among the parts between white space), token."""
     parts = F.posexplode(F.split(F.col(text_col), T.WHITE + "+")).alias("pos", "token")
-    return docs.select(F.col(id_col).alias("doc_id"), parts).filter("token != ''")
+    return docs.select(F.col(id_col).alias("doc_id"), *keep, parts).filter("token != ''")
 
 
-def tagged_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def tagged_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per token and category. The prefilter, necessary for every pattern, leaves few tokens to match."""
-    some = tokens(docs, id_col, text_col).filter(P.worth_matching(T.fuzzy_digits(F.col("token"))))
-    return some.select("doc_id", "pos", "token", F.explode(P.categories(F.col("token"))).alias("category"))
+    some = tokens(docs, id_col, text_col, keep).filter(P.worth_matching(T.fuzzy_digits(F.col("token"))))
+    return some.select("doc_id", *keep, "pos", "token", F.explode(P.categories(F.col("token"))).alias("category"))
 
 
 def is_sensitive(token: Column, types: list[str] | None = None, custom: str | None = None) -> Column:

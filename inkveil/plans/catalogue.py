@@ -42,9 +42,9 @@ def pii_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pii_by_lang_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = detect.tagged_tokens(docs).groupBy("doc_id", "category").agg(F.count("*").alias("n"))
-    return found.join(docs.select("doc_id", "lang", "source"), "doc_id").groupBy("lang", "source", "category").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_docs"))
+    found = detect.tagged_tokens(table(spark, sf_dir, "documents"), keep=("lang", "source"))
+    per_doc = found.groupBy("doc_id", "lang", "source", "category").agg(F.count("*").alias("n"))
+    return per_doc.groupBy("lang", "source", "category").agg(F.sum("n").alias("n_tokens"), F.count("*").alias("n_docs"))
 
 
 def pii_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
