@@ -2,8 +2,8 @@
 
 Units of comparison are the lines of every file (headers and notices anywhere in a text) and, for licence
 files, the whole text. A unit can reach the threshold with a template only if it shares one of the
-template's anchor tokens: its heaviest tokens, taken until the rest alone could not reach the
-threshold (Cauchy-Schwarz). Units without any anchor are left out by that bound, exactly.
+template's anchor tokens: its heaviest tokens, function words and numbers last, taken until the rest alone could not
+reach the threshold (Cauchy-Schwarz). Units without any anchor are left out by that bound, exactly.
 Distinct units are scored once, however many files repeat them. Files without a notice of their own
 take the licence of the nearest ancestor directory with a licence file, found by joins on
 the distinct directories' ancestor paths.
@@ -28,7 +28,7 @@ THRESHOLD = 0.75
 TEMPLATES = [
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the License);"),
     ("BSD-2-Clause", "Redistributed under the BSD 2-Clause Simplified License."),
     ("BSD-3-Clause", "Redistributed under the BSD 3-Clause Revised License."),
     ("CC-BY-4.0", "This work is licensed under the Creative Commons Attribution 4.0 International License."),
@@ -44,6 +44,9 @@ TEMPLATES = [
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 ]
 
+# English function words, poor anchors because most texts have them.
+COMMON = {"a", "and", "by", "except", "file", "for", "free", "in", "into", "is", "may", "not", "of", "the", "this", "to", "under", "use", "v", "with", "work", "you"}
+
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
 
@@ -62,8 +65,9 @@ def template_weights(templates: list[tuple[str, str]] = TEMPLATES) -> tuple[list
     idf = {x: inverse_frequency(len(bags), n) for x, n in df.items()}
     vectors = []
     for bag in bags:
-        norm = math.sqrt(sum((n * idf[x]) ** 2 for x, n in bag.items()))
-        vectors.append({x: n * idf[x] / norm for x, n in bag.items()})
+        weight = {x: (1 + math.log(n)) * idf[x] for x, n in bag.items()}
+        norm = math.sqrt(sum(w * w for w in weight.values()))
+        vectors.append({x: w / norm for x, w in weight.items()})
     return vectors, idf
 
 
@@ -72,7 +76,7 @@ def anchors(vectors: list[dict[str, float]], threshold: float) -> list[str]:
     out = set()
     for v in vectors:
         left = 1.0
-        for x in sorted(v, key=lambda x: (-v[x], x)):
+        for x in sorted(v, key=lambda x: (x in COMMON or x.isdigit(), -v[x], -len(x), x)):
             if left < threshold**2 - 1e-9:
                 break
             out.add(x)
@@ -81,19 +85,21 @@ def anchors(vectors: list[dict[str, float]], threshold: float) -> list[str]:
 
 
 def _best_match(units: DataFrame, threshold: float, templates: list[tuple[str, str]]) -> DataFrame:
-    """unit, license and score of the distinct units that reach the threshold; ties go to the first licence by name."""
+    """unit, license and score of the units (a written table of distinct ones: uid, unit) that reach the threshold; ties go to the
+    first licence by name. Only numbers and tokens are shuffled, not the units."""
     spark = units.sparkSession
     vectors, idf = template_weights(templates)
     weights = spark.createDataFrame([(k, templates[k][0], x, w) for k, v in enumerate(vectors) for x, w in v.items()], "template int, license string, token string, w double")
     rarity = spark.createDataFrame(list(idf.items()), "token string, idf double")
     unseen = inverse_frequency(len(vectors), 0)
-    bag = units.select("unit", F.explode(F.split("unit", "[^a-z0-9]+")).alias("token")).filter("token != ''").groupBy("unit", "token").agg(F.count("*").alias("tf"))
-    bag = bag.join(F.broadcast(rarity), "token", "left").select("unit", "token", (F.col("tf") * F.coalesce("idf", F.lit(unseen))).alias("q"))  # a row per template token
-    norms = bag.groupBy("unit").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
-    dots = bag.join(F.broadcast(weights), "token").groupBy("unit", "template", "license").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
-    scored = dots.join(norms, "unit").withColumn("score", F.round(F.col("dot") / F.col("norm"), 4)).filter(F.col("score") >= threshold)
+    bag = units.select("uid", F.explode(F.split("unit", "[^a-z0-9]+")).alias("token")).filter("token != ''").groupBy("uid", "token").agg(F.count("*").alias("tf"))
+    bag = bag.join(F.broadcast(rarity), "token", "left").select("uid", "token", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(unseen))).alias("q"))  # a row per template token
+    norms = bag.groupBy("uid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
+    dots = bag.join(F.broadcast(weights), "token").groupBy("uid", "template", "license").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
+    scored = dots.join(norms, "uid").withColumn("score", F.round(F.col("dot") / F.col("norm"), 4)).filter(F.col("score") >= threshold)
     best = F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")
-    return scored.groupBy("unit").agg(best).select("unit", F.col("best.license").alias("license"), (-F.col("best.s")).alias("score"))
+    found = scored.groupBy("uid").agg(best).select("uid", F.col("best.license").alias("license"), (-F.col("best.s")).alias("score"))
+    return units.join(found, "uid").select("unit", "license", "score")
 
 
 def folder(path: Column) -> Column:
@@ -121,7 +127,8 @@ def license_scan(files: DataFrame, id_col: str, path: Column, text_col: str = "t
     units = found.select("id", "path", F.explode(F.when(licence_file, F.concat("lines", F.array("t"))).otherwise(F.col("lines"))).alias("unit"))
     units = units.select("id", "path", F.trim("unit").alias("unit")).filter(F.col("unit").rlike(some)).distinct()
     units = scratch.keep(units, "units")
-    matched = scratch.keep(_best_match(units.select("unit").distinct(), threshold, templates), "matched")
+    distinct = scratch.keep(units.select("unit").distinct().withColumn("uid", F.monotonically_increasing_id()), "distinct")
+    matched = scratch.keep(_best_match(distinct, threshold, templates), "matched")
     best = F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")
     own = units.join(matched, "unit").groupBy("id", "path").agg(best).select(F.col("id").alias("o_id"), F.col("path").alias("o_path"), F.col("best.license").alias("license"), (-F.col("best.s")).alias("score"))
     own = scratch.keep(own, "own")
@@ -167,7 +174,7 @@ def oracle_sql() -> str:
 WITH tpl(k, license, txt) AS (VALUES {values}),
 tt AS (SELECT k, license, token, count(*) AS tf FROM (SELECT k, license, unnest(regexp_split_to_array(lower(txt), '[^a-z0-9]+')) AS token FROM tpl) WHERE token <> '' GROUP BY ALL),
 idf AS (SELECT token, ln((1.0 + {len(TEMPLATES)}) / (1 + count(DISTINCT k))) + 1 AS idf FROM tt GROUP BY token),
-tw AS (SELECT k, license, token, tf * idf / sqrt(sum((tf * idf) ** 2) OVER (PARTITION BY k)) AS w FROM tt JOIN idf USING (token)),
+tw AS (SELECT k, license, token, (1 + ln(tf)) * idf / sqrt(sum(((1 + ln(tf)) * idf) ** 2) OVER (PARTITION BY k)) AS w FROM tt JOIN idf USING (token)),
 f AS (
   SELECT doc_id, lower(coalesce(text, '')) AS t,
          CASE WHEN doc_id % 1000 = 0 THEN source || '/' || doc_id // 1000 || '/LICENSE'
@@ -182,7 +189,7 @@ u AS (
 bag AS (
   SELECT unit, token, count(*) AS tf FROM (SELECT unit, unnest(regexp_split_to_array(unit, '[^a-z0-9]+')) AS token FROM (SELECT DISTINCT unit FROM u)) WHERE token <> '' GROUP BY ALL
 ),
-q AS (SELECT unit, token, tf * coalesce(idf, ln(1.0 + {len(TEMPLATES)}) + 1) AS q FROM bag LEFT JOIN idf USING (token)),
+q AS (SELECT unit, token, (1 + ln(tf)) * coalesce(idf, ln(1.0 + {len(TEMPLATES)}) + 1) AS q FROM bag LEFT JOIN idf USING (token)),
 n AS (SELECT unit, sqrt(sum(q * q)) AS norm FROM q GROUP BY unit),
 s AS (SELECT unit, license, round(sum(q * w) / any_value(norm), 4) AS score FROM q JOIN tw USING (token) JOIN n USING (unit) GROUP BY unit, k, license),
 m AS (SELECT unit, license, score FROM s WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, license) = 1),
