@@ -13,29 +13,36 @@ from inkveil.llm.bytetext import mix
 from inkveil.llm.shared import Scratch
 
 
-def connected_components(edges: DataFrame, scratch: Scratch, label: str) -> DataFrame:
+def connected_components(edges: DataFrame, scratch: Scratch, label: str, rounds: int | None = None) -> DataFrame:
     """node and component (the smallest node it reaches) of every node of edges (u, v: long).
 
-    Alternating large-star and small-star steps, each a pre-aggregated minimum and a join of two written
-    tables, so a node with very many neighbours is split by AQE. Nothing goes to the driver but counts.
+    Each round gives a node the least label among its own and its neighbours', then the label of that label's
+    node, until no label changes. Labels are pre-aggregated minima, and joins read written tables on both sides, so a node with
+    very many neighbours is split by AQE. Nothing goes to the driver but a flag per round.
+
+    With `rounds`, it ends after so many: nodes with one label are then connected, but connected nodes may still
+    have different labels.
     """
-    ordered = edges.filter("u is not null and v is not null and u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    current = scratch.keep(ordered, f"{label}-edges")
-    before, step = None, 0
+    plain = edges.filter("u is not null and v is not null and u != v")
+    both = scratch.keep(plain.unionByName(plain.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), f"{label}-edges")
+    least = F.least("u", "m")
+    labels = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("node"), least.alias("component"), least.alias("was")), f"{label}-0")
+    step = 0
     while True:
-        both = current.unionByName(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = scratch.keep(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), f"{label}-low-{step}")
-        large = both.join(low, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
-        large = scratch.keep(large, f"{label}-large-{step}")
-        low = scratch.keep(large.groupBy("u").agg(F.min("v").alias("m")), f"{label}-least-{step}")
-        small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").unionByName(low.select("u", F.col("m").alias("v"))).distinct()
-        small = scratch.keep(small, f"{label}-small-{step}")
-        state = small.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.crc32(F.concat_ws(",", "u", "v").cast("binary")))).first()
-        scratch.drop(f"{label}-low-{step}", f"{label}-large-{step}", f"{label}-least-{step}")
-        if state == before:
-            break
-        before, current, step = state, small, step + 1
-    return small.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+        step += 1
+        none = F.lit(None).cast("long")
+        near = both.join(labels, both["u"] == labels["node"]).select(F.col("v").alias("node"), "component", none.alias("was"))
+        own = labels.select("node", "component", F.col("component").alias("was"))
+        lower = near.unionByName(own).groupBy("node").agg(F.min("component").alias("component"), F.max("was").alias("was"))
+        lower = scratch.keep(lower, f"{label}-near-{step}")
+        far = lower.select(F.col("node").alias("f_node"), F.col("component").alias("f_component"))
+        jumped = lower.join(far, lower["component"] == far["f_node"]).select("node", F.col("f_component").alias("component"), "was")
+        jumped = scratch.keep(jumped, f"{label}-{step}")
+        scratch.drop(f"{label}-near-{step}", f"{label}-{step - 1}")
+        labels = jumped
+        if step == rounds or jumped.filter("component != was").isEmpty():
+            scratch.drop(f"{label}-edges")
+            return labels.select("node", "component")
 
 
 FILTER_BITS = 26

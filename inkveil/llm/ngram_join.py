@@ -16,17 +16,20 @@ Order and index:
 - Sets under SMALL shingles, which cannot share k, are indexed one by one throughout; sets up to SMALL * DEN / NUM
   are in both indexes, so any two sets that can link meet in one of them.
 
-Then links are verified on the sets themselves. Equal sets are one class from the start. Inside an index bucket each member is
-compared with one hub; only buckets whose members then are in different components go on,
-first with further hubs, finally pair by pair across components. So a large group
-of near copies costs a number of comparisons in proportion to its size, and no
-link between components is lost.
+Then candidate pairs are verified: first by the parity bitmaps of their sets, whose distance is at most the symmetric
+difference and so rules out most chance meetings exactly, then on the sets themselves. Equal sets are
+one class from the start. Each index bucket has a hub. Each document is first compared with the hub that it meets most
+often. Buckets whose members are then in different components go on: there, members of different
+components are compared by their bitmaps inside their task, and only what those leave is verified. So a large
+group of near copies costs a number of verifications in proportion to its size, and no link between
+components is lost.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
@@ -49,11 +52,16 @@ FREQUENT = 50
 MOST_CLASSES = 1 << 21
 
 #: Class occurrences that one merge task counts, about.
-MERGE = 4_000_000
+MERGE = 1_000_000
 
-#: Buckets larger than this are compared with further hubs before pairs are made, for so many rounds at most.
-WIDE = 64
-HUB_ROUNDS = 4
+#: The class bitmap has up to 2**MOST_BITS bits (64 MB).
+MOST_BITS = 29
+
+#: Binary logarithms of the least and most bits of a set's parity bitmap.
+LEAST_BITS, MOST_PARITY = 9, 16
+
+#: Members of a bucket that are compared with each other at once; a larger bucket is compared in pairs of such blocks.
+BLOCK = 1024
 
 
 def _ceil(a, b: int):
@@ -77,19 +85,39 @@ def _text_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarr
 
 
 def _signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n and a 128-bit digest of the set (s1, s2)."""
+    """doc_id, n, a 128-bit digest of the set (s1, s2) and its parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n, s1, s2 = [], [], []
+            n, s1, s2, bits = [], [], [], []
             for _, s in _text_sets(batch, size):
                 a, b = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8")
                 n.append(len(s))
                 s1.append(a)
                 s2.append(b)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64())], ["doc_id", "n", "s1", "s2"])
+                bits.append(parity(s))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), pa.array(bits, pa.binary())], ["doc_id", "n", "s1", "s2", "bits"])
+
+    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, bits binary")
+
+
+def parity(s: np.ndarray) -> bytes:
+    """Bit k tells whether an odd number of elements falls on k; about two bits for each element."""
+    size = 1 << min(max(int(2 * len(s)).bit_length(), LEAST_BITS), MOST_PARITY)
+    return np.packbits(np.bincount((B.mix(s) % np.uint64(size)).astype(np.int64), minlength=size).astype(np.uint8) & 1, bitorder="little").tobytes()
+
+
+def fold(words: np.ndarray, size: int) -> np.ndarray:
+    """A parity bitmap (64-bit words in the last axis) at a smaller size."""
+    while words.shape[-1] > size:
+        half = words.shape[-1] // 2
+        words = words[..., :half] ^ words[..., half:]
+    return words
+
 
-    return docs.mapInArrow(run, "doc_id long, n long, s1 long, s2 long")
+def most_distance(na, nb):
+    """The largest symmetric difference of linking sets of these sizes."""
+    return na + nb - 2 * _ceil(NUM * (na + nb), NUM + DEN)
 
 
 def pack_sorted(values: np.ndarray) -> bytes:
@@ -106,13 +134,39 @@ def unpack_sorted(blob: bytes) -> np.ndarray:
     return np.cumsum(step)[step != 65535].astype(np.uint32)
 
 
-def frequent_classes(docs: DataFrame, wanted: np.ndarray, total: int, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Classes above the frequency bound, ascending, and their counts over the documents that pass `wanted`.
+@dataclass
+class Classes:
+    """What tasks need to know of class frequencies: the frequent classes (ascending) with their counts, and a bitmap over the classes'
+    upper bits that has a zero only where no class occurs twice."""
 
-    Tasks send sorted class values as 16-bit steps, dealt by range; a merge task counts one range.
+    often: np.ndarray
+    counts: np.ndarray
+    seen: np.ndarray
+    shift: int
+
+    def count(self, s: np.ndarray) -> np.ndarray:
+        """Of each shingle of a set: its class's count if frequent, else 0."""
+        if not len(self.often):
+            return np.zeros(len(s), np.int64)
+        own = (s >> np.uint64(32)).astype(np.uint32)
+        at = np.minimum(np.searchsorted(self.often, own), len(self.often) - 1)
+        return np.where(self.often[at] == own, self.counts[at], 0)
+
+    def shared(self, s: np.ndarray) -> np.ndarray:
+        """Whether another set can have the shingle."""
+        bit = (s >> np.uint64(32 + self.shift)).astype(np.int64)
+        return (self.seen[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
+
+
+def class_frequencies(docs: DataFrame, wanted: np.ndarray, total: int, size: int) -> Classes:
+    """Counts the classes of all documents that pass `wanted`.
+
+    Tasks send sorted class values as 16-bit steps, dealt by range; a merge task counts one range. The bitmap has as many bits as
+    there are occurrences, up to 2**MOST_BITS, so with very large inputs it keeps fewer single shingles out of the index.
     """
     bound = max(FREQUENT, _ceil(total, MOST_CLASSES))
     bits = max(8, int(np.ceil(np.log2(max(1, total) / MERGE))))
+    width = max(bits + 3, min(MOST_BITS, int(np.ceil(np.log2(max(2, total))))))
     shipped = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def flush(parts: list[np.ndarray]) -> pa.RecordBatch:
@@ -139,31 +193,35 @@ def frequent_classes(docs: DataFrame, wanted: np.ndarray, total: int, size: int)
 
     def merge(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         values, counts = np.unique(np.concatenate([unpack_sorted(x) for x in pdf["steps"]]), return_counts=True)
-        often = counts > bound
-        base = int(key[0]) << (32 - bits)
-        return pd.DataFrame({"class": values[often].astype(np.int64) + base, "n": counts[often]})
-
-    found = docs.mapInArrow(run, "part int, steps binary").groupBy("part").applyInPandas(merge, "class long, n long").toArrow()
-    order = np.argsort(found.column("class").to_numpy())
-    return found.column("class").to_numpy()[order].astype(np.uint32), found.column("n").to_numpy()[order].astype(np.int64)
-
-
-def prefix_keys(s: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        often, twice = counts > bound, counts > 1
+        seen = np.zeros(1 << (width - bits), bool)
+        seen[values[twice] >> (32 - width)] = True
+        classes = (values[often].astype(np.int64) + (int(key[0]) << (32 - bits))).astype("<u4")
+        return pd.DataFrame({"part": [key[0]], "often": [classes.tobytes()], "n": [counts[often].astype("<i8").tobytes()], "seen": [np.packbits(seen).tobytes()]})
+
+    found = docs.mapInArrow(run, "part int, steps binary").groupBy("part").applyInPandas(merge, "part int, often binary, n binary, seen binary").toArrow()
+    seen = np.zeros(1 << (width - 3), np.uint8)
+    often, counts = [np.zeros(0, "<u4")], [np.zeros(0, "<i8")]
+    for r in sorted(found.to_pylist(), key=lambda r: r["part"]):
+        often.append(np.frombuffer(r["often"], "<u4"))
+        counts.append(np.frombuffer(r["n"], "<i8"))
+        own = np.frombuffer(r["seen"], np.uint8)
+        seen[r["part"] * len(own) : (r["part"] + 1) * len(own)] = own
+    return Classes(np.concatenate(often), np.concatenate(counts), seen, 32 - width)
+
+
+def prefix_keys(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray]:
     """Index keys of a set, and whether each is in the (shorter) prefix that holds when the set is the smaller one."""
     n = len(s)
     as_larger = n - _ceil(NUM * n, DEN) + 1
     as_smaller = n - _ceil(2 * NUM * n, NUM + DEN) + 1
-    count = np.zeros(n, np.int64)
-    if len(classes):
-        own = (s >> np.uint64(32)).astype(np.uint32)
-        at = np.minimum(np.searchsorted(classes, own), len(classes) - 1)
-        count = np.where(classes[at] == own, counts[at], 0)
+    count = classes.count(s)
     often = count > 0
     if often.any():
         order = np.lexsort((s, count))
         s, often = s[order], often[order]
-    place = np.arange(as_larger)
-    single = place if n <= SMALL * DEN // NUM else place[~often[:as_larger]]
+    single = np.arange(as_larger)
+    single = single[classes.shared(s[:as_larger]) & (n <= SMALL * DEN // NUM or ~often[:as_larger])]
     keys, small = [s[single]], [single < as_smaller]
     if n >= SMALL:
         extended = np.flatnonzero(often[: min(n, as_larger + GROUPS)])
@@ -176,13 +234,13 @@ def prefix_keys(s: np.ndarray, classes: np.ndarray, counts: np.ndarray) -> tuple
     return np.concatenate(keys), np.concatenate(small)
 
 
-def _index_rows(docs: DataFrame, wanted: np.ndarray, classes: np.ndarray, counts: np.ndarray, size: int) -> DataFrame:
+def _index_rows(docs: DataFrame, wanted: np.ndarray, classes: Classes, size: int) -> DataFrame:
     """key, doc_id, n, small: the index entries of the documents that pass `wanted`."""
     context = docs.sparkSession.sparkContext
-    shipped = context.broadcast((wanted, classes, counts))
+    shipped = context.broadcast((wanted, classes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        some, classes, counts = shipped.value
+        some, classes = shipped.value
         for batch in batches:
             ids = batch.column(0).to_numpy()
             keep = passes(some, ids)
@@ -202,7 +260,7 @@ def _index_rows(docs: DataFrame, wanted: np.ndarray, classes: np.ndarray, counts
 
             for i, s in _text_sets(batch, size):
                 if keep[i] and len(s):
-                    keys, small = prefix_keys(s, classes, counts)
+                    keys, small = prefix_keys(s, classes)
                     parts.append((i, keys, small, len(s)))
                     held += len(keys)
                     if held > 200_000:
@@ -236,6 +294,26 @@ def _candidate_sets(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame
     return docs.mapInArrow(run, "doc_id long, shingles binary")
 
 
+def _possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """The pairs (a, b) that their sizes and bitmaps do not rule out."""
+    left = bitmaps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
+    right = bitmaps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            most = most_distance(batch.column(2).to_numpy(), batch.column(3).to_numpy())
+            ok = []
+            for k in range(batch.num_rows):
+                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (4, 5))
+                size = min(len(x), len(y))
+                ok.append(int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= most[k])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
+
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) that link, by the sizes of intersection and union of their sets."""
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
@@ -254,79 +332,123 @@ def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _sizes_fit(small: str, large: str):
-    return F.expr(f"{DEN} * {small} >= {NUM} * {large}")
+def _links_among(docs: DataFrame, possible: DataFrame, scratch: Scratch, step: int, size: int) -> DataFrame:
+    """The links among pairs that their bitmaps do not rule out. Sets are made for the documents of these pairs only."""
+    possible = scratch.keep(possible, f"possible-{step}")
+    wanted = id_filter(possible.select(F.col("a").alias("id")).union(possible.select("b")))
+    sets = scratch.keep(_candidate_sets(docs, wanted, size), f"sets-{step}")
+    links = scratch.keep(_verified(possible, sets), f"links-{step}")  # with repeated ids, perhaps more than once
+    scratch.drop(f"possible-{step}", f"sets-{step}")
+    return links
 
 
-def _links(docs: DataFrame, nodes: DataFrame, total: int, scratch: Scratch, size: int) -> DataFrame | None:
+def _links(docs: DataFrame, nodes: DataFrame, bitmaps: DataFrame, total: int, scratch: Scratch, size: int) -> DataFrame | None:
     """node and component of the nodes that link with another."""
     wanted = id_filter(nodes)
-    classes, counts = frequent_classes(docs, wanted, total, size)
-    rows = scratch.keep(_index_rows(docs, wanted, classes, counts, size), "index")
-    first = F.min(F.when(F.col("small"), F.struct("n", "doc_id"))).alias("hub")
-    last = F.max(F.struct("n", "doc_id")).alias("last")
-    keys = scratch.keep(rows.groupBy("key").agg(first, last, F.count("*").alias("m")).filter("m > 1 and hub is not null"), "keys")
-    two = keys.filter("m = 2 and hub.doc_id != last.doc_id").select(F.col("hub.doc_id").alias("a"), F.col("last.doc_id").alias("b"), F.col("hub.n").alias("na"), F.col("last.n").alias("nb"))
-    more = keys.filter("m > 2")
-    members = _filtered(rows, "key", id_filter(more.select("key"))).join(more.select("key", "hub", "m"), "key")
-    members = scratch.keep(members.select("key", "doc_id", "n", "small", F.col("hub.n").alias("hub_n"), F.col("hub.doc_id").alias("hub"), "m"), "members")
+    rows = scratch.keep(_index_rows(docs, wanted, class_frequencies(docs, wanted, total, size), size), "index")
+    hub = F.min(F.when(F.col("small"), F.col("doc_id"))).alias("hub")
+    ends = [F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("n").alias("na"), F.max("n").alias("nb")]
+    keys = scratch.keep(rows.groupBy("key").agg(hub, *ends, F.count("*").alias("m")).filter("m > 1 and hub is not null and a != b"), "keys")
+    more = keys.filter("m > 2").select("key", "hub")
+    members = _filtered(rows, "key", id_filter(more.select("key"))).join(more, "key")
+    members = scratch.keep(members.select("key", "doc_id", "n", "small", "hub"), "members")
     scratch.drop("index")
-    after = (F.col("n") > F.col("hub_n")) | ((F.col("n") == F.col("hub_n")) & (F.col("doc_id") > F.col("hub")))
-    star = members.filter(after).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("hub_n").alias("na"), F.col("n").alias("nb"))
-    pairs = scratch.keep(two.unionByName(star).filter(_sizes_fit("na", "nb")).select("a", "b").distinct(), "pairs-0")
-    involved = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).union(members.select("doc_id"))
-    sets = scratch.keep(_candidate_sets(docs, id_filter(involved), size).dropDuplicates(["doc_id", "shingles"]), "sets")
-    links, tried, step = scratch.keep(_verified(pairs, sets), "links-0"), pairs, 0
-    while True:
-        labels = scratch.keep(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, f"cc-{step}"), f"labels-{step}")
-        label = F.coalesce(F.col("component"), F.col("doc_id"))
-        tagged = members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "doc_id", "n", "small", "m", label.alias("label"))
-        tagged = scratch.keep(tagged, f"tagged-{step}")
-        split = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo != hi").select("key", "lo")
-        members = scratch.keep(tagged.join(split, "key"), f"split-{step}")
-        scratch.drop(f"tagged-{step}")
-        if members.isEmpty():
-            return labels
-        step += 1
-        wide = members.filter(F.col("m") > WIDE)
-        if step <= HUB_ROUNDS and not wide.isEmpty():
-            fresh = _more_hubs(members, scratch, step)
-        else:
-            fresh = _across(members)
-            members = None
-        pairs = scratch.keep(fresh.join(tried, ["a", "b"], "left_anti"), f"pairs-{step}")
-        tried = tried.unionByName(pairs)
-        links = links.unionByName(scratch.keep(_verified(pairs, sets), f"links-{step}"))
-        if members is None:
-            return scratch.keep(connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, f"cc-{step}"), f"labels-{step}")
-        members = members.select("key", "doc_id", "n", "small", "m")
-
-
-def _pair(x: str, y: str) -> DataFrame:
-    """Columns a, b of a pair in (size, id) order."""
-    swap = f"({x}.n < {y}.n or ({x}.n = {y}.n and {x}.doc_id < {y}.doc_id))"
-    return [F.expr(f"if({swap}, {x}.doc_id, {y}.doc_id)").alias("a"), F.expr(f"if({swap}, {y}.doc_id, {x}.doc_id)").alias("b")]
-
-
-def _needed(x: str, y: str):
-    """Sizes fit, and the smaller one's entry is in its shorter prefix."""
-    first = f"({x}.n < {y}.n or ({x}.n = {y}.n and {x}.doc_id < {y}.doc_id))"
-    fit = f"{DEN} * least({x}.n, {y}.n) >= {NUM} * greatest({x}.n, {y}.n)"
-    return F.expr(f"{fit} and if({first}, {x}.small, {y}.small) and {x}.label != {y}.label")
-
-
-def _more_hubs(members: DataFrame, scratch: Scratch, step: int) -> DataFrame:
-    """Pairs of each bucket's members with a hub of a component that is not the bucket's lowest."""
-    pick = F.min(F.when(F.col("label") != F.col("lo"), F.struct("n", "doc_id", "small", "label"))).alias("hub")
-    hubs = scratch.keep(members.groupBy("key").agg(pick).select("key", "hub.*"), f"hubs-{step}")
-    both = members.alias("y").join(hubs.alias("x"), "key").filter(_needed("x", "y"))
-    return both.select(*_pair("x", "y")).distinct()
-
-
-def _across(members: DataFrame) -> DataFrame:
-    """All pairs of one bucket that are in different components and could link."""
-    both = members.alias("x").join(members.alias("y"), "key").filter("x.doc_id < y.doc_id").filter(_needed("x", "y"))
-    return both.select(*_pair("x", "y")).distinct()
+    hubs = scratch.keep(members.filter("doc_id = hub").select(F.col("key").alias("h_key"), F.col("n").alias("h_n"), F.col("small").alias("h_small")).distinct(), "hubs")
+    star = members.filter("doc_id != hub").join(hubs, F.col("key") == F.col("h_key"))
+    star = star.filter(F.expr(f"{DEN} * least(n, h_n) >= {NUM} * greatest(n, h_n)")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    two = keys.filter(f"m = 2 and {DEN} * na >= {NUM} * nb").select("a", "b")
+    pending = scratch.keep(two.unionByName(star).groupBy("a", "b").agg(F.count("*").alias("c")), "pending")
+    scratch.drop("keys", "hubs")
+    members = members.select("key", "doc_id", "n", "small")
+    # First each document with the one hub that it meets in most buckets: that joins most of a large group.
+    best = pending.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("h"))
+    pairs = scratch.keep(best.select((-F.col("h.a")).alias("a"), "b").select(*_ordered()).distinct(), "pairs")
+    links = _links_among(docs, _possible(pairs, bitmaps), scratch, 0, size)
+    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "first", rounds=1)
+    # Then, of documents that are apart so far, the other hubs of each and all pairs within buckets.
+    apart = scratch.keep(_apart(pending.select(*_ordered()).distinct().join(pairs, ["a", "b"], "left_anti"), labels), "apart")
+    label = F.coalesce(F.col("component"), F.col("doc_id"))
+    tagged = members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "doc_id", "n", "small", label.alias("label"))
+    tagged = scratch.keep(tagged, "tagged")
+    split = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo != hi").select("key", "m")
+    split = scratch.keep(split, "split")
+    within = scratch.keep(_within(tagged.join(split, "key"), bitmaps, scratch).distinct(), "within")
+    more = _possible(apart, bitmaps).unionByName(within).distinct()
+    links = links.unionByName(_links_among(docs, more, scratch, 1, size))
+    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "last")
+
+
+def _within(members: DataFrame, bitmaps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Pairs of one bucket (key, m: its size) in different components that prefixes, sizes and bitmaps do not rule out.
+
+    Members of a bucket are compared in their task, in blocks; only what is left comes out. A bucket over BLOCK members
+    is dealt into blocks, and each pair of blocks is a cell of its own.
+    """
+    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
+    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
+    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "small", "label")
+    bits = bitmaps.select(F.col("doc_id").alias("b_id"), "bits")
+    held = placed.join(bits, F.col("doc_id") == F.col("b_id")).drop("b_id")
+    dealt = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "own", "doc_id", "n", "small", "label", "bits")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+            cell = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
+            edges = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1
+            edges = [0, *edges.tolist()]
+            for a, b in zip(edges[:-1], edges[1:], strict=True):
+                yield from _compare(table.slice(a, b - a))
+            rest = table.slice(edges[-1])  # its cell may go on in the next batch
+        if rest is not None:
+            yield from _compare(rest)
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _compare(cell: pa.Table) -> Iterator[pa.RecordBatch]:
+    """Possible pairs among the rows of one cell."""
+    doc, n, label, own = (cell.column(c).to_numpy() for c in ("doc_id", "n", "label", "own"))
+    if len(doc) < 2 or (label == label[0]).all():
+        return
+    small = cell.column("small").to_numpy()
+    bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("bits")]
+    size = np.array([len(x) for x in bits])
+    across = cell.column("i")[0].as_py() != cell.column("j")[0].as_py()
+    for a in range(0, len(doc), 256):
+        x = np.arange(a, min(a + 256, len(doc)))[:, None]
+        y = np.arange(len(doc))[None, :]
+        first = (n[x] < n[y]) | ((n[x] == n[y]) & (doc[x] < doc[y]))
+        ok = first & small[x] & (label[x] != label[y]) & (DEN * n[x] >= NUM * n[y])
+        if across:
+            ok &= own[x] != own[y]
+        p, q = np.nonzero(ok)
+        p += a
+        for s in np.unique(np.minimum(size[p], size[q])):
+            at = np.flatnonzero(np.minimum(size[p], size[q]) == s)
+            used = np.unique(np.concatenate([p[at], q[at]]))
+            folded = np.stack([fold(bits[k], s) for k in used])
+            for c in range(0, len(at), 4096):
+                u, v = p[at[c : c + 4096]], q[at[c : c + 4096]]
+                distance = np.bitwise_count(folded[np.searchsorted(used, u)] ^ folded[np.searchsorted(used, v)]).sum(1)
+                left = distance <= most_distance(n[u], n[v])
+                if left.any():
+                    u, v = doc[u[left]], doc[v[left]]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
+
+
+def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose documents have different labels, or none."""
+    la = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
+    lb = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
+    return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
+
+
+def _ordered(x: str = "a", y: str = "b") -> list:
+    """Columns a < b of a pair."""
+    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -346,7 +468,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     total = classes.agg(F.sum("n")).first()[0] or 0
     rows = signed.join(classes, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
     if total:
-        labels = _links(known, classes.select("class_id"), total, scratch, size)
+        labels = _links(known, classes.select("class_id"), signed.select("doc_id", "n", "bits").filter("n > 0"), total, scratch, size)
         # An id with several rows joins the classes of all of them.
         several = rows.groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo != hi")
         if not several.isEmpty():
