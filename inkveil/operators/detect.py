@@ -12,14 +12,25 @@ from inkveil.functions import text as T
 LINE_SLACK = 22
 
 
-def document_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Words of plain-text documents: doc_id, word_index (from 0, without blank and noise tokens), line, text.
+#: A token with four digits, which every year is once other characters are dropped.
+FOUR_DIGITS = "[0-9]" + "[^0-9 \\t\\n\\r\\f\\x0b]*[0-9]" * 3
 
-    Narrow: a document's words are numbered in its own row, so nothing is shuffled.
-    """
-    lines = F.split(F.col(text_col), "\n")
-    cut = F.transform(lines, lambda s, i: F.transform(F.filter(F.split(s, T.WHITE + "+"), lambda t: (t != "") & ~T.is_noise(t)), lambda t: F.struct(i.alias("line"), t.alias("text"))))
-    return docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.flatten(cut)).alias("word_index", "w")).select("doc_id", "word_index", "w.line", "w.text")
+
+def _line_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "s"))
+    parts = lines.select("doc_id", "line", F.posexplode(F.split("s", T.WHITE + "+")).alias("place", "text"))
+    return parts.filter("text != ''")
+
+
+def line_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Words of plain-text documents, without blank and noise tokens: doc_id, line, place (in the line), text. Narrow."""
+    return _line_parts(docs, id_col, text_col).filter(~T.is_noise(F.col("text")))
+
+
+def document_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """line_words with word_index, their number within the document from 0: one exchange by document."""
+    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "place")) - 1
+    return line_words(docs, id_col, text_col).withColumn("word_index", n)
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -62,15 +73,6 @@ def mark_split_dates(words: DataFrame) -> DataFrame:
     return headed.withColumn("split_date", F.col("__head") | before(1) | before(2)).drop("__head")
 
 
-def split_date_indices(texts: Column, lines: Column) -> Column:
-    """The same for a document held in arrays (words and their lines): indices of marked words, without a shuffle."""
-    heads = F.filter(
-        F.when(F.size(texts) >= 3, F.sequence(F.lit(0), F.size(texts) - 3)).otherwise(F.array().cast("array<int>")),
-        lambda i: T.is_day(F.get(texts, i)) & T.is_month(F.get(texts, i + 1)) & T.is_year(F.get(texts, i + 2)) & (F.get(lines, i) == F.get(lines, i + 1)) & (F.get(lines, i) == F.get(lines, i + 2)),
-    )
-    return F.array_sort(F.array_distinct(F.flatten(F.transform(heads, lambda i: F.array(i, i + 1, i + 2)))))
-
-
 def word_categories(words: DataFrame) -> DataFrame:
     """doc_id, word_index, category: of single words and of split dates (as dob). Expects a words relation."""
     marked = mark_split_dates(words)
@@ -78,18 +80,50 @@ def word_categories(words: DataFrame) -> DataFrame:
     return marked.select("doc_id", "word_index", F.explode(own).alias("category"))
 
 
-def document_word_categories(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """word_categories of plain-text documents, narrow: each document is one row until its few tagged words are exploded."""
-    lines = F.split(F.col(text_col), "\n")
-    cut = F.flatten(F.transform(lines, lambda s, i: F.transform(F.filter(F.split(s, T.WHITE + "+"), lambda t: (t != "") & ~T.is_noise(t)), lambda t: F.struct(i.alias("line"), t.alias("text")))))
-    held = docs.select(F.col(id_col).alias("doc_id"), cut.alias("w"))
-    split = F.transform(split_date_indices(F.col("w.text"), F.col("w.line")), lambda i: F.struct(i.cast("int").alias("word_index"), F.lit("dob").alias("category")))
-    dates = held.select("doc_id", F.explode(split).alias("x")).select("doc_id", "x.word_index", "x.category")
-    single = held.select("doc_id", F.posexplode("w").alias("word_index", "x")).filter(P.worth_matching(T.fuzzy_digits(F.col("x.text"))))
-    single = single.select("doc_id", "word_index", F.explode(P.categories(F.col("x.text"))).alias("category"))
+def document_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, line, place, category of plain-text documents: of single words, and of split dates (as dob).
+
+    Single words are tagged where they are read. Only documents with a token of four digits can hold a
+    year, so only those are dealt out and put in order for split dates.
+    """
+    some = _line_parts(docs, id_col, text_col).filter(P.worth_matching(T.fuzzy_digits(F.col("text"))))
+    single = some.select("doc_id", "line", "place", F.explode(P.categories(F.col("text"))).alias("category"))
+    dated = document_words(docs.filter(F.col(text_col).rlike(FOUR_DIGITS)), id_col, text_col)
+    dated = dated.withColumns({"page_index": F.lit(1), "y": F.col("line") * float(LINE_SLACK), "height": F.lit(0.0)})
+    dates = mark_split_dates(dated).filter("split_date").select("doc_id", "line", "place", F.lit("dob").alias("category"))
     return single.unionByName(dates).distinct()
 
 
+def document_word_categories(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """document_hits by word_index: doc_id, word_index, category. Only documents with hits are put in order."""
+    found = document_hits(docs, id_col, text_col)
+    hit = docs.join(found.select(F.col("doc_id").alias("__hit")).distinct(), F.col(id_col) == F.col("__hit"), "left_semi")
+    words = document_words(hit, id_col, text_col).select("doc_id", "line", "place", "word_index")
+    return words.join(found, ["doc_id", "line", "place"]).select("doc_id", "word_index", "category")
+
+
+#: Words that announce a value beside or below them.
+LABELS = ("nama", "alamat", "tempat", "name", "address", "dob")
+
+
+def label_neighbours(words: DataFrame, labels: tuple[str, ...] = LABELS, reach: float = 300.0, line: float = 22.0) -> DataFrame:
+    """Words (doc_id, page_index, word_index, text, x, y, width) right of a label on its line, up to `reach` pixels away, or in its columns
+    within two lines below: doc_id, word_index, label_index, side. An addition that only the documentation of such tools describes.
+
+    Pages are cut into bands of three lines, and a label looks into its own and the next ones, so the join has equal keys.
+    """
+    band = F.floor(F.col("y") / (3 * line))
+    keys = ["doc_id", "page_index"]
+    own = words.withColumn("page_index", T.page_or_first(F.col("page_index"))).withColumn("band", band)
+    said = own.filter(T.letters_only(F.col("text")).isin(*labels)).select(*keys, F.col("word_index").alias("label_index"), F.col("x").alias("lx"), F.col("y").alias("ly"), F.col("width").alias("lw"), F.explode(F.array(band - 1, band, band + 1)).alias("band"))
+    met = own.join(said, [*keys, "band"]).filter("word_index != label_index")
+    drop, gap = F.col("y") - F.col("ly"), F.col("x") - (F.col("lx") + F.col("lw"))
+    right = (F.abs(drop) <= line / 2) & (gap >= 0) & (gap <= reach)
+    below = (drop > line / 2) & (drop <= 2 * line) & (F.col("x") < F.col("lx") + F.col("lw")) & (F.col("x") + F.col("width") > F.col("lx"))
+    side = F.when(right, "right").when(below, "below")
+    return met.withColumn("side", side).filter("side is not null").select("doc_id", "word_index", "label_index", "side")
+
+
 def sensitive_words(words: DataFrame, types: list[str] | None = None, custom: str | None = None) -> DataFrame:
     """Adds sensitive: single-word detection, or a split date if dates or dates of birth are active."""
     active = P.ALL_TYPES if types is None else types
@@ -107,9 +141,9 @@ def category_report(found: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(names), "category").select("doc_id", "ord", "category", "label", "n_words", "word_indices")  # nine rows
 
 
-def corpus_report(found: DataFrame) -> DataFrame:
-    """Per category present in the corpus: ord, category, label, n_words, n_docs."""
-    per_doc = found.groupBy("doc_id", "category").agg(F.countDistinct("word_index").alias("n"))
+def corpus_report(hits: DataFrame) -> DataFrame:
+    """Per category present in the corpus: ord, category, label, n_words, n_docs; from document_hits or word_categories."""
+    per_doc = hits.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
     rows = per_doc.groupBy("category").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_docs"))
-    names = found.sparkSession.createDataFrame([(k, kind, label) for k, (kind, label) in enumerate(P.CATEGORIES)], "ord int, category string, label string")
+    names = hits.sparkSession.createDataFrame([(k, kind, label) for k, (kind, label) in enumerate(P.CATEGORIES)], "ord int, category string, label string")
     return rows.join(F.broadcast(names), "category").select("ord", "category", "label", "n_words", "n_docs")  # nine rows

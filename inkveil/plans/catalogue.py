@@ -29,7 +29,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def pii_category_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.corpus_report(detect.document_word_categories(table(spark, sf_dir, "documents")))
+    return detect.corpus_report(detect.document_hits(table(spark, sf_dir, "documents")))
 
 
 def pii_document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -143,6 +143,12 @@ def contextual_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.filter("sensitive").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("word_index")), ",").alias("word_indices"))
 
 
+def label_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.array(*map(F.lit, ("Nama:", "budi", "ALAMAT", "12", "d.o.b", "x", "y"))), F.col("word_index"))
+    words = _boxes(spark, sf_dir).withColumn("text", said)
+    return detect.label_neighbours(words, reach=70.0)
+
+
 # Geometry.
 
 
@@ -455,7 +461,7 @@ def queries() -> dict[str, Query]:
     found = [
         pii_category_report, pii_document_report, pii_tokens, pii_by_lang_source, pii_pages, token_forms, custom_keyword,
         synthetic_phone, synthetic_nik, synthetic_bpjs, synthetic_npwp, synthetic_id, synthetic_dob, synthetic_ttl, synthetic_email, synthetic_ocr_noise,
-        multi_token_date, contextual_indices, word_geometry, text_item_bounds, pixel_to_point, ocr_word_filter, region_neighbour_align, region_scan_dedupe,
+        multi_token_date, contextual_indices, label_proximity, word_geometry, text_item_bounds, pixel_to_point, ocr_word_filter, region_neighbour_align, region_scan_dedupe,
         rotate_boxes, face_tiles, face_candidates_filter, face_nms, face_padding, face_scores, hit_test, selection_rect, clamped_dimensions, filled_rects,
         effective_redaction_reference, effective_redaction_honour, toggled_words, manual_word_groups, indexed_words, active_regions, removed_pages, appended_pages,
         redacted_word_freq, export_stats, page_totals, scrub_text, redaction_rects, inspect_text_dominant, routed_files, image_pages, assembled_pages,

@@ -264,6 +264,7 @@ SELECT doc_id, text FROM f QUALIFY k = max(k) OVER (PARTITION BY doc_id)"""
         "synthetic_ocr_noise": synthetic("customer", "c_custkey", f"translate('08' || {pad('c_custkey', 9)}, '0158', 'OISB')"),
         "multi_token_date": f"WITH {DATE_WORDS} SELECT dn.doc_id, CAST(dn.word_index AS INTEGER) AS word_index, text FROM dn JOIN dm ON dn.doc_id = dm.doc_id AND dn.word_index = dm.word_index",
         "contextual_indices": f"WITH {DATE_WORDS} SELECT dn.doc_id, string_agg(CAST(dn.word_index AS VARCHAR), ',' ORDER BY dn.word_index) AS word_indices FROM dn LEFT JOIN dm ON dn.doc_id = dm.doc_id AND dn.word_index = dm.word_index WHERE dm.doc_id IS NOT NULL OR {hits('date', 'text')} OR {hits('nik', 'text')} OR contains(lower(text), 'on') GROUP BY dn.doc_id",
+        "label_proximity": f"WITH b AS {BOXES}, l AS (SELECT * FROM b WHERE word_index IN (1, 3, 5)) SELECT b.doc_id, b.word_index, l.word_index AS label_index, CASE WHEN abs(b.y - l.y) <= 11 THEN 'right' ELSE 'below' END AS side FROM b JOIN l ON b.doc_id = l.doc_id AND b.word_index <> l.word_index WHERE (abs(b.y - l.y) <= 11 AND b.x - l.x - l.width BETWEEN 0 AND 70) OR (b.y - l.y > 11 AND b.y - l.y <= 44 AND b.x < l.x + l.width AND b.x + b.width > l.x)",
         "word_geometry": word_places,
         "text_item_bounds": f"SELECT l_orderkey, l_linenumber, {round6(vx='l_tax * 1.5', vy='(842 - l_quantity * 8) * 1.5', font_height='fh', top='(842 - l_quantity * 8) * 1.5 - fh * 0.82', line_height='fh * 1.08', item_width='l_quantity * 1.5')} FROM (SELECT *, greatest((l_linenumber + 3) * 1.5::DOUBLE, sqrt(l_quantity * l_quantity + l_linenumber * l_linenumber * 2.25::DOUBLE) * 1.5, 10) AS fh FROM lineitem)",
         "pixel_to_point": f"SELECT l_orderkey, l_linenumber, {round6(**pdf('(l_quantity * 17)', 'l_quantity * 25', '(l_linenumber * 30.0::DOUBLE)', '18.0::DOUBLE', 1))} FROM lineitem",

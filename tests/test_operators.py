@@ -69,7 +69,7 @@ def test_scrub_is_longest_first_and_keeps_length(spark):
     assert df.first()[0] == "  c" + " " * 8
 
 
-def test_split_dates_array_form_agrees_with_window_form(spark):
+def test_document_form_agrees_with_the_word_form(spark):
     text = "born 9 Nov 2002 here\n31 mei 1999 1 jan\n2001 5 may 2010"
     docs = spark.createDataFrame([(1, text), (2, ""), (3, None)], "doc_id long, text string")
     words = detect.document_words(docs).select("doc_id", F.lit(1).alias("page_index"), "word_index", "text", (F.col("line") * 22.0).alias("y"), F.lit(18.0).alias("height"))
