@@ -74,9 +74,14 @@ def has(kind: str, raw: Column, fuzzy: Column, clean: Column) -> Column:
     return raw.rlike(p) | fuzzy.rlike(p) | clean.rlike(p)
 
 
-def worth_matching(fuzzy: Column) -> Column:
-    """Necessary for any of the patterns: an @, or five digits once look-alikes count as digits."""
-    return fuzzy.contains("@") | (F.length(F.regexp_replace(fuzzy, "[^0-9]", "")) >= 5)
+#: Five characters that are digits or taken for them.
+_LIKE = "[0-9OoIlSB|]"
+FIVE_DIGITS = f"{_LIKE}(?:[^0-9OoIlSB|]*{_LIKE}){{4}}"
+
+
+def worth_matching(token: Column) -> Column:
+    """Necessary for any of the patterns in any form: an @, or five digits once look-alikes count as digits."""
+    return (F.length(token) >= 5) & (token.contains("@") | token.rlike(FIVE_DIGITS))
 
 
 def categories(token: Column) -> Column:
@@ -84,4 +89,4 @@ def categories(token: Column) -> Column:
     fuzzy, clean = T.fuzzy_digits(token), T.clean_text(token)
     found = F.array_compact(F.array(*[F.when(has(kind, token, fuzzy, clean), F.lit(kind)) for kind, _ in CATEGORIES]))
     none = F.array().cast("array<string>")
-    return F.when(token.isNull() | (token == "") | T.is_noise(token) | ~worth_matching(fuzzy), none).otherwise(found)
+    return F.when(token.isNull() | (token == "") | T.is_noise(token) | ~worth_matching(token), none).otherwise(found)

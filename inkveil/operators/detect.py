@@ -41,7 +41,7 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 def tagged_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per token and category. The prefilter, necessary for every pattern, leaves few tokens to match."""
-    some = tokens(docs, id_col, text_col, keep).filter(P.worth_matching(T.fuzzy_digits(F.col("token"))))
+    some = tokens(docs, id_col, text_col, keep).filter(P.worth_matching(F.col("token")))
     return some.select("doc_id", *keep, "pos", "token", F.explode(P.categories(F.col("token"))).alias("category"))
 
 
@@ -86,7 +86,7 @@ def document_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     Single words are tagged where they are read. Only documents with a token of four digits can hold a
     year, so only those are dealt out and put in order for split dates.
     """
-    some = _line_parts(docs, id_col, text_col).filter(P.worth_matching(T.fuzzy_digits(F.col("text"))))
+    some = _line_parts(docs, id_col, text_col).filter(P.worth_matching(F.col("text")))
     single = some.select("doc_id", "line", "place", F.explode(P.categories(F.col("text"))).alias("category"))
     dated = document_words(docs.filter(F.col(text_col).rlike(FOUR_DIGITS)), id_col, text_col)
     dated = dated.withColumns({"page_index": F.lit(1), "y": F.col("line") * float(LINE_SLACK), "height": F.lit(0.0)})
