@@ -329,7 +329,7 @@ def _records(rows: list[tuple], digests: bool) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, (_, k) in zip(columns, fields, strict=True)], [x for x, _ in fields])
 
 
-def write_store(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 16_000) -> TokenStore:
+def write_store(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", shard_docs: int = 8_000) -> TokenStore:
     """Encodes every whole text (null: empty), closes it with end_id and writes shards and index.
 
     A document key that several rows share leads to all of them. Null keys are stored but not indexed.
