@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 # Character classes and names, as results must equal them.
 WHITE = r"[ \t\n\r\f\x0b]"
-WIDE_WHITE = "[\\x09-\\x0d\\x20\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\ufeff]"
+WIDE_WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 CLEANED = "[\"'“”:=;,./#()\\\\\\]^_]"
 NOISE = r"\A[-_~—|•*#:=;,.\\/]+\z"
 COLOURS = {"#000000": "Black", "#ffffff": "White", "#374151": "Grey", "#1e3a8a": "Navy", "#b91c1c": "Red"}
@@ -30,7 +30,7 @@ def is_noise(text: Column) -> Column:
 
 def wide_trim(text: Column) -> Column:
     """Without Unicode white space and byte order marks at both ends."""
-    return F.regexp_replace(text, rf"\A{WIDE_WHITE}+|{WIDE_WHITE}+\z", "")
+    return F.btrim(text, F.lit(WIDE_WHITE))
 
 
 def contains_query(text: Column, query: str | None) -> Column:
