@@ -21,8 +21,19 @@ from inkveil.sources import documents as sources
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+#: Tables with work in every row.
+HEAVY = {"documents", "lineitem", "orders", "pages"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(rows) if name in HEAVY else rows
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """Deals out the rows of a file that is read in fewer tasks than there are cores; larger inputs stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
 
 
 # Detection.
