@@ -112,6 +112,24 @@ SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS B
 FROM d LEFT JOIN hit USING (doc_id) LEFT JOIN ids USING (doc_id)
 """
 
+#: Links by shared shingles, and what each document reaches.
+OP5_SQL = r"""
+WITH RECURSIVE az AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS u, 'abcdefghijklmnopqrstuvwxyz' AS l),
+d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), u, l), '[^\x20\x09-\x0D]+') AS w FROM documents, az),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(w[i : i + least(len(w), 5) - 1], ' ') AS g
+  FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(1, len(w) - 4))) AS i FROM d WHERE len(w) > 0)
+),
+n AS (SELECT doc_id, count(*) AS n, string_agg(g, chr(10) ORDER BY g) AS k FROM g GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+link AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+near AS (SELECT a, b FROM link UNION SELECT b, a FROM link),
+reach(s, t) AS (SELECT doc_id, doc_id FROM d UNION SELECT s, near.b FROM reach JOIN near ON t = near.a),
+m AS (SELECT s, min(t) AS component_id FROM reach GROUP BY s)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id, coalesce(min(n.doc_id) OVER (PARTITION BY k), d.doc_id) AS class_id
+FROM d JOIN m ON s = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+"""
+
 #: A turn needs escapes if its raw text does not read back.
 OP8_SQL = r"""
 WITH t AS (
@@ -133,4 +151,4 @@ FROM f GROUP BY conv_id
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_benchmark_decontamination": OP3_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_license_scan": licenses.oracle_sql()}
+    return {"op3_benchmark_decontamination": OP3_SQL, "op5_ngram_jaccard_join": OP5_SQL, "op8_chat_formatting": OP8_SQL, "op9_exact_dedup": OP9_SQL, "op10_license_scan": licenses.oracle_sql()}
