@@ -134,6 +134,18 @@ def test_a_licence_at_the_top_reaches_all(spark):
     assert {(r["id"], r["effective_license"]) for r in licenses.license_scan(df, "id", F.col("path")).collect()} == {(1, "MIT"), (2, "MIT"), (3, "MIT")}
 
 
+def licenses_of(spark, *texts, path="a.c"):
+    df = spark.createDataFrame([(i, f"{i}/{path}", t) for i, t in enumerate(texts)], "id long, path string, text string")
+    return [r["license"] for r in sorted(licenses.license_scan(df, "id", F.col("path")).collect(), key=lambda r: r["id"])]
+
+
+APACHE = 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License.'
+
+
+def test_the_whole_apache_header_is_a_notice(spark):
+    assert licenses_of(spark, f"# {APACHE}\ncode", "you may not use this file except in cases") == ["Apache-2.0", None]
+
+
 def test_anchors_bound_the_cosine():
     vectors, _ = licenses.template_weights()
     some = set(licenses.anchors(vectors, licenses.THRESHOLD))
