@@ -77,19 +77,16 @@ def runs(offsets: np.ndarray, limit: int = SEGMENT) -> Iterator[tuple[int, int]]
         i = j
 
 
-def _segment_ends(data: np.ndarray, is_word: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Segments that end beside a byte outside words."""
-    a, n = 0, len(data)
-    while a < n:
-        b = min(n, a + SEGMENT)
-        while b < n:
-            outside = np.flatnonzero(~is_word[data[b : b + SEGMENT]])
-            if len(outside):
-                b += int(outside[0])
-                break
-            b = min(n, b + SEGMENT)
-        yield a, b
-        a = b
+def _word_runs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
+    """Ranges of neighbouring words that lie within SEGMENT bytes; longer words stand between ranges."""
+    i, n = 0, len(starts)
+    while i < n:
+        if ends[i] - starts[i] > SEGMENT:
+            i += 1
+            continue
+        j = int(np.searchsorted(ends, starts[i] + SEGMENT, "right"))
+        yield i, j
+        i = j
 
 
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -108,13 +105,11 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
 
 
 def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_word: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each word, which depends on its bytes alone."""
+    """A 64-bit digest of each word, which depends on its bytes alone, whatever words are beside it."""
     out = np.zeros(len(starts), np.uint64)
     up, down = powers()
-    for a, b in _segment_ends(data, is_word) if len(data) > 2 * SEGMENT else [(0, len(data))]:
-        i, j = np.searchsorted(starts, [a, b])
-        if i == j or b - a > 2 * SEGMENT:
-            continue
+    for i, j in _word_runs(starts, ends):
+        a, b = starts[i], ends[j - 1]
         total = np.zeros(b - a + 1, np.uint64)
         np.cumsum(BYTE_VALUE[data[a:b]] * up[: b - a], out=total[1:])
         s, e = starts[i:j] - a, ends[i:j] - a

@@ -5,6 +5,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from inkveil.llm import bytetext as B
 from inkveil.llm import packing, token_counts, token_index
 from inkveil.llm.encode import Encoder, default_tokenizer
 
@@ -30,6 +31,20 @@ def test_encoding_is_the_librarys(coder, library, hard):
     assert ids_of(coder, texts) == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_short_words_beside_a_very_long_one(library):
+    few = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
+    text = f"{few} {'q' * 1_500_000} {few[:5000]} tail"
+    data = np.frombuffer(text.encode(), np.uint8)
+    starts, ends, _ = B.words(data, np.array([0, len(data)]), B.NOT_SPACE)
+    alone = {w: B.digests(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]), B.NOT_SPACE)[0] for w in set(text.split())}
+    assert len(set(alone.values())) == len(alone)
+    assert B.digests(data, starts, ends, B.NOT_SPACE).tolist() == [alone[w] for w in text.split()]
+    # The long word has many ids of its own: those before and after it are compared.
+    got, n = ids_of(Encoder(default_tokenizer()), [text])[0], 50_000
+    before, after = (library.encode(t, add_special_tokens=False).ids for t in (few, f"{few[:5000]} tail"))
+    assert got[:n] == before[:n] and got[-len(after) :] == after
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aAbé.,!' \n\t\u00a0\u0301\u0331H1½“—<|>endofxt🙂İΣ"), max_size=30), max_size=5))
 def test_encoding_of_odd_texts(coder, library, texts):
