@@ -1,9 +1,11 @@
 """License scans: sparse TF-IDF cosine to notice templates, then inheritance from licence files.
 
-Units of comparison are the lines of every file (headers and notices anywhere in a text) and, for licence
+Units of comparison are, in every file, the lines, runs of up to WINDOW adjacent lines, the sentences, and runs of up to WINDOW
+adjacent paragraphs (headers and notices anywhere in a text, also wrapped or in comments) and, for licence
 files, the whole text. A unit can reach the threshold with a template only if it shares one of the
 template's anchor tokens: its heaviest tokens, function words and numbers last, taken until the rest alone could not
-reach the threshold (Cauchy-Schwarz). Units without any anchor are left out by that bound, exactly.
+reach the threshold (Cauchy-Schwarz). Units without any anchor are left out by that bound, exactly; so are units with
+so many words of no template that their norm alone keeps them under the threshold.
 Distinct units are scored once, however many files repeat them. Files without a notice of their own
 take the licence of the nearest ancestor directory with a licence file, found by joins on
 the distinct directories' ancestor paths.
@@ -24,6 +26,12 @@ from inkveil.llm.shared import Scratch
 
 THRESHOLD = 0.75
 
+#: Adjacent lines, and paragraphs, that are compared together.
+WINDOW = 6
+
+#: Lines and paragraphs over this many characters are only compared by themselves.
+LONGEST = 4000
+
 # Licence identifiers and the wording of their usual notices.
 TEMPLATES = [
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
@@ -85,6 +93,28 @@ def anchors(vectors: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(out)
 
 
+def _in_reach(unit: Column, idf: dict[str, float], n_templates: int, threshold: float) -> Column:
+    """Whether a unit's words of no template leave room for the threshold, an exact bound. With n distinct tokens, s of them in templates,
+    the score is at most sqrt(Q / (Q + (n - s) u^2)), where u is the weight of other words and Q the squared weight of the s."""
+    unseen = inverse_frequency(n_templates, 0)
+    most = (1 / threshold**2 - 1) * (max(idf.values()) / unseen) ** 2 + 1e-6
+    all_tokens = F.array_remove(F.split(unit, "[^a-z0-9]+"), "")
+    vocabulary = F.array(*[F.lit(x) for x in sorted(idf)])
+
+    def room(x: Column) -> Column:
+        distinct = F.size(F.array_distinct(x))
+        shared = F.size(F.array_intersect(x, vocabulary))
+        tf = 1 + F.log(F.greatest(F.size(x) - distinct + 1, F.lit(1)))
+        return distinct - shared <= F.lit(most) * shared * tf * tf
+
+    return F.exists(F.array(all_tokens), room)
+
+
+def _runs(pieces: Column, n: int) -> Column:
+    """The texts of runs of n adjacent pieces."""
+    return F.transform(pieces, lambda x, i: F.concat_ws("\n", x, *[F.get(pieces, i + k) for k in range(1, n)]))
+
+
 def _best_match(units: DataFrame, threshold: float, templates: list[tuple[str, str]]) -> DataFrame:
     """unit, license and score of the units (a written table of distinct ones: uid, unit) that reach the threshold; ties go to the
     first licence by name. Only numbers and tokens are shuffled, not the units."""
@@ -120,13 +150,21 @@ def license_scan(files: DataFrame, id_col: str, path: Column, text_col: str = "t
     the best score decides, then the first licence by name; of several licence files in a directory likewise.
     """
     scratch = Scratch(files.sparkSession, "licenses")
-    vectors, _ = template_weights(templates)
+    vectors, idf = template_weights(templates)
     some = f"(?<![a-z0-9])(?:{'|'.join(anchors(vectors, threshold))})(?![a-z0-9])"
     source = files.select(F.col(id_col).alias("id"), path.alias("path"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     licence_file = F.coalesce(base_name(F.col("path")).rlike(LICENCE_FILE), F.lit(False))
-    found = source.filter(F.col("t").rlike(some)).withColumn("lines", F.split("t", "\n"))
-    units = found.select("id", "path", F.explode(F.when(licence_file, F.concat("lines", F.array("t"))).otherwise(F.col("lines"))).alias("unit"))
-    units = units.select("id", "path", F.trim("unit").alias("unit")).filter(F.col("unit").rlike(some)).distinct()
+    found = source.filter(F.col("t").rlike(some)).withColumn("lines", F.split("t", "\n")).withColumn("paragraphs", F.split("t", "\n(?:[^a-z0-9\n]*\n)+"))
+
+    def short(pieces: Column) -> Column:
+        return F.transform(F.filter(pieces, lambda x: x.rlike("[a-z0-9]")), lambda x: F.when(F.length(x) <= LONGEST, x).otherwise(F.lit("")))
+
+    found = found.withColumn("near_lines", short(F.col("lines"))).withColumn("near_paragraphs", short(F.col("paragraphs")))
+    sentences = F.flatten(F.transform("paragraphs", lambda x: F.split(x, r"(?<=\S\S[.!?])\s+")))
+    runs = [_runs(F.col(c), n) for c in ("near_lines", "near_paragraphs") for n in range(2, WINDOW + 1)]
+    every = F.concat("lines", "paragraphs", sentences, *runs, F.when(licence_file, F.array("t")).otherwise(F.array().cast("array<string>")))
+    units = found.select("id", "path", F.explode(every).alias("unit")).filter(F.col("unit").rlike(some))
+    units = units.select("id", "path", F.trim("unit").alias("unit")).filter(_in_reach(F.col("unit"), idf, len(templates), threshold)).distinct()
     units = scratch.keep(units, "units")
     distinct = scratch.keep(units.select("unit").distinct().withColumn("uid", F.monotonically_increasing_id()), "distinct")
     matched = scratch.keep(_best_match(distinct, threshold, templates), "matched")

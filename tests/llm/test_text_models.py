@@ -146,6 +146,17 @@ def test_the_whole_apache_header_is_a_notice(spark):
     assert licenses_of(spark, f"# {APACHE}\ncode", "you may not use this file except in cases") == ["Apache-2.0", None]
 
 
+def test_notices_inside_lines_and_over_several(spark):
+    texts = {
+        "Copyright 2020 Example Corp. All rights reserved. Released under the MIT License.": "MIT",
+        "This tool reads tables and prints them. Released under the MIT License. See the site for more.": "MIT",
+        "This work is licensed under the GNU General Public\nLicense, version 3.": "GPL-3.0",
+        "/*\n * " + APACHE.replace("; you", ";\n * you") + "\n * You may obtain a copy elsewhere\n */": "Apache-2.0",
+        "Some prose about a license, a public library and the version of a work. It is free.": None,
+    }
+    assert licenses_of(spark, *texts) == list(texts.values())
+
+
 def test_anchors_bound_the_cosine():
     vectors, _ = licenses.template_weights()
     some = set(licenses.anchors(vectors, licenses.THRESHOLD))
