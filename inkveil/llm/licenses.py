@@ -5,7 +5,8 @@ adjacent paragraphs (headers and notices anywhere in a text, also wrapped or in
 files, the whole text. A unit can reach the threshold with a template only if it shares one of the
 template's anchor tokens: its heaviest tokens, function words and numbers last, taken until the rest alone could not
 reach the threshold (Cauchy-Schwarz). Units without any anchor are left out by that bound, exactly; so are units with
-so many words of no template that their norm alone keeps them under the threshold.
+so many words of no template that their norm alone keeps them under the threshold, and texts and units whose shared tokens
+carry too little of every template.
 Distinct units are scored once, however many files repeat them. Files without a notice of their own
 take the licence of the nearest ancestor directory with a licence file, found by joins on
 the distinct directories' ancestor paths.
@@ -32,7 +33,34 @@ WINDOW = 6
 #: Lines and paragraphs over this many characters are only compared by themselves.
 LONGEST = 4000
 
-# Licence identifiers and the wording of their usual notices.
+_BSD = (
+    "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+    "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+    "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+    "and/or other materials provided with the distribution. "
+)
+_BSD_NAMES = (
+    "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software "
+    "without specific prior written permission."
+)
+_BSD_DISCLAIMER = (
+    "This software is provided by the copyright holders and contributors as is and any express or implied warranties, including, but not limited to, the implied "
+    "warranties of merchantability and fitness for a particular purpose are disclaimed. In no event shall the copyright holder or contributors be liable for any direct, "
+    "indirect, incidental, special, exemplary, or consequential damages (including, but not limited to, procurement of substitute goods or services; loss of use, data, or "
+    "profits; or business interruption) however caused and on any theory of liability, whether in contract, strict liability, or tort (including negligence or otherwise) "
+    "arising in any way out of the use of this software, even if advised of the possibility of such damage."
+)
+
+
+def _gnu(kind: str, name: str, version: str) -> str:
+    return (
+        f"This {kind} is free software: you can redistribute it and/or modify it under the terms of the {name} as published by the Free Software Foundation, "
+        f"either version {version} of the License, or (at your option) any later version."
+    )
+
+
+# Licence identifiers with the wording of their usual notices, their headers, and the titles and
+# distinctive passages of their texts. Titles like "MIT License" are left to the passages: the German word "mit" alone would reach them.
 TEMPLATES = [
     ("AGPL-3.0", "This program is licensed under the GNU Affero General Public License, version 3."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -51,10 +79,48 @@ TEMPLATES = [
     ("MIT", "Released under the MIT License."),
     ("MPL-2.0", "Subject to the terms of the Mozilla Public License, v. 2.0."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
+    ("AGPL-3.0", "GNU Affero General Public License Version 3, 19 November 2007"),
+    ("AGPL-3.0", _gnu("program", "GNU Affero General Public License", "3")),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-2-Clause", _BSD + _BSD_DISCLAIMER),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-3-Clause", _BSD_NAMES),
+    ("BSD-3-Clause", _BSD + "3. " + _BSD_NAMES + " " + _BSD_DISCLAIMER),
+    ("CC-BY-4.0", "Creative Commons Attribution 4.0 International Public License"),
+    ("CC-BY-NC-4.0", "Creative Commons Attribution-NonCommercial 4.0 International Public License"),
+    ("CC-BY-SA-4.0", "Creative Commons Attribution-ShareAlike 4.0 International Public License"),
+    ("CC0-1.0", "Creative Commons Legal Code CC0 1.0 Universal"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("GPL-2.0", _gnu("program", "GNU General Public License", "2")),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-3.0", _gnu("program", "GNU General Public License", "3")),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+        "and this permission notice appear in all copies.",
+    ),
+    ("LGPL-2.0", "GNU Library General Public License Version 2, June 1991"),
+    ("LGPL-2.1", "GNU Lesser General Public License Version 2.1, February 1999"),
+    ("LGPL-2.1", _gnu("library", "GNU Lesser General Public License", "2.1")),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
+    ("LGPL-3.0", _gnu("library", "GNU Lesser General Public License", "3")),
+    ("MIT", "Licensed under the MIT License."),
+    (
+        "MIT",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the "
+        "Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the "
+        "Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:",
+    ),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
 # English function words, poor anchors because most texts have them.
-COMMON = {"a", "and", "by", "except", "file", "for", "free", "in", "into", "is", "may", "not", "of", "the", "this", "to", "under", "use", "v", "with", "work", "you"}
+COMMON = set(
+    "a all and any are as at be by can copy do either except file following for free in including into is it its may must names no nor not of on option or other out "
+    "person persons provided rights shall so source such that the this to under use used v way whether with without work you".split()
+)
 
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 
@@ -85,7 +151,7 @@ def anchors(vectors: list[dict[str, float]], threshold: float) -> list[str]:
     out = set()
     for v in vectors:
         left = 1.0
-        for x in sorted(v, key=lambda x: (x in COMMON or x.isdigit(), -v[x], -len(x), x)):
+        for x in sorted(v, key=lambda x: (x in COMMON or x.isdigit(), x not in out, -v[x], -len(x), x)):
             if left < threshold**2 - 1e-9:
                 break
             out.add(x)
@@ -93,21 +159,44 @@ def anchors(vectors: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(out)
 
 
+def _covered(words: Column, vectors: list[dict[str, float]], threshold: float) -> Column:
+    """Whether the words (tokens that templates have) hold enough of some template: by Cauchy-Schwarz the squared weights of the shared
+    tokens sum to threshold^2 at least. It holds for a text if it holds for any unit of it."""
+
+    def some(x: Column) -> Column:
+        out = F.lit(False)
+        for v in vectors:
+            held = [F.when(F.array_contains(x, t), F.lit(w * w)).otherwise(F.lit(0.0)) for t, w in v.items()]
+            while len(held) > 1:  # as a tree, not a chain
+                held = [held[k] + held[k + 1] if k + 1 < len(held) else held[k] for k in range(0, len(held), 2)]
+            out = out | (held[0] >= threshold**2 - 1e-9)
+        return out
+
+    return F.exists(F.array(words), some)
+
+
+def _tokens(text: Column) -> Column:
+    return F.array_remove(F.split(text, "[^a-z0-9]+"), "")
+
+
 def _in_reach(unit: Column, idf: dict[str, float], n_templates: int, threshold: float) -> Column:
-    """Whether a unit's words of no template leave room for the threshold, an exact bound. With n distinct tokens, s of them in templates,
-    the score is at most sqrt(Q / (Q + (n - s) u^2)), where u is the weight of other words and Q the squared weight of the s."""
+    """Whether a unit's words of no template leave room for the threshold, an exact bound. With N tokens, n distinct ones, s of them in
+    templates, the score is at most sqrt(Q / (Q + (n - s) u^2)), where u is the weight of other words and Q the squared weight of the s;
+    they stand for at most N - (n - s) tokens, and (1 + ln x)^2 is concave from 1 on, so Q is largest if they share them evenly."""
     unseen = inverse_frequency(n_templates, 0)
-    most = (1 / threshold**2 - 1) * (max(idf.values()) / unseen) ** 2 + 1e-6
-    all_tokens = F.array_remove(F.split(unit, "[^a-z0-9]+"), "")
-    vocabulary = F.array(*[F.lit(x) for x in sorted(idf)])
+    most = (1 / threshold**2 - 1) * (max(idf.values()) / unseen) ** 2 + 1e-3
 
     def room(x: Column) -> Column:
-        distinct = F.size(F.array_distinct(x))
-        shared = F.size(F.array_intersect(x, vocabulary))
-        tf = 1 + F.log(F.greatest(F.size(x) - distinct + 1, F.lit(1)))
-        return distinct - shared <= F.lit(most) * shared * tf * tf
+        other = F.size(F.array_distinct(x)) - F.size(F.array_intersect(x, _vocabulary(idf)))
+        shared = F.size(F.array_intersect(x, _vocabulary(idf)))
+        tf = 1 + F.log((F.size(x) - other) / F.greatest(shared, F.lit(1)))
+        return (shared > 0) & (other <= F.lit(most) * shared * tf * tf)
+
+    return F.exists(F.array(_tokens(unit)), room)
+
 
-    return F.exists(F.array(all_tokens), room)
+def _vocabulary(idf: dict[str, float]) -> Column:
+    return F.array(*[F.lit(x) for x in sorted(idf)])
 
 
 def _runs(pieces: Column, n: int) -> Column:
@@ -154,7 +243,7 @@ def license_scan(files: DataFrame, id_col: str, path: Column, text_col: str = "t
     some = f"(?<![a-z0-9])(?:{'|'.join(anchors(vectors, threshold))})(?![a-z0-9])"
     source = files.select(F.col(id_col).alias("id"), path.alias("path"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     licence_file = F.coalesce(base_name(F.col("path")).rlike(LICENCE_FILE), F.lit(False))
-    found = source.filter(F.col("t").rlike(some)).withColumn("lines", F.split("t", "\n")).withColumn("paragraphs", F.split("t", "\n(?:[^a-z0-9\n]*\n)+"))
+    found = source.filter(_covered(F.array_intersect(_tokens(F.col("t")), _vocabulary(idf)), vectors, threshold)).withColumn("lines", F.split("t", "\n")).withColumn("paragraphs", F.split("t", "\n(?:[^a-z0-9\n]*\n)+"))
 
     def short(pieces: Column) -> Column:
         return F.transform(F.filter(pieces, lambda x: x.rlike("[a-z0-9]")), lambda x: F.when(F.length(x) <= LONGEST, x).otherwise(F.lit("")))
@@ -164,7 +253,8 @@ def license_scan(files: DataFrame, id_col: str, path: Column, text_col: str = "t
     runs = [_runs(F.col(c), n) for c in ("near_lines", "near_paragraphs") for n in range(2, WINDOW + 1)]
     every = F.concat("lines", "paragraphs", sentences, *runs, F.when(licence_file, F.array("t")).otherwise(F.array().cast("array<string>")))
     units = found.select("id", "path", F.explode(every).alias("unit")).filter(F.col("unit").rlike(some))
-    units = units.select("id", "path", F.trim("unit").alias("unit")).filter(_in_reach(F.col("unit"), idf, len(templates), threshold)).distinct()
+    units = units.select("id", "path", F.trim("unit").alias("unit")).filter(_in_reach(F.col("unit"), idf, len(templates), threshold))
+    units = units.filter(_covered(F.array_intersect(_tokens(F.col("unit")), _vocabulary(idf)), vectors, threshold)).distinct()
     units = scratch.keep(units, "units")
     distinct = scratch.keep(units.select("unit").distinct().withColumn("uid", F.monotonically_increasing_id()), "distinct")
     matched = scratch.keep(_best_match(distinct, threshold, templates), "matched")

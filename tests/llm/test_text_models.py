@@ -1,3 +1,5 @@
+import os
+
 import brute
 import duckdb
 import pytest
@@ -157,6 +159,77 @@ def test_notices_inside_lines_and_over_several(spark):
     assert licenses_of(spark, *texts) == list(texts.values())
 
 
+MIT_TEXT = """MIT License
+
+Copyright (c) 2021 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+"""
+BSD_TEXT = """Copyright (c) 2021, Some Body
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+%s
+THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS"
+AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE
+IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE
+DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE
+FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR
+SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER
+CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY,
+OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE
+OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.
+"""
+BSD_NAMES = """
+3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+GPL_HEADER = """# This program is free software; you can redistribute it and/or modify
+# it under the terms of the GNU General Public License as published by
+# the Free Software Foundation; either version %d of the License, or
+# (at your option) any later version.
+"""
+ISC_TEXT = """Copyright (c) 2021, Some Body
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+"""
+MPL_HEADER = """/* This Source Code Form is subject to the terms of the Mozilla Public
+ * License, v. 2.0. If a copy of the MPL was not distributed with this
+ * file, You can obtain one at https://mozilla.org/MPL/2.0/. */
+"""
+SHARED = "/usr/share/common-licenses"
+
+
+def test_real_licence_texts_and_headers(spark):
+    texts = [(MIT_TEXT, "MIT"), (MIT_TEXT.split("\n", 2)[2], "MIT"), ("Licensed under the MIT License.", "MIT"), (BSD_TEXT % "", "BSD-2-Clause"), (BSD_TEXT % BSD_NAMES, "BSD-3-Clause"), (ISC_TEXT, "ISC"), (MPL_HEADER, "MPL-2.0"), (GPL_HEADER % 2, "GPL-2.0"), (GPL_HEADER % 3, "GPL-3.0"), ("Wir gehen. Mit. Mit der Zeit", None)]
+    names = {"Apache-2.0": "Apache-2.0", "GPL-2": "GPL-2.0", "GPL-3": "GPL-3.0", "LGPL-2.1": "LGPL-2.1", "LGPL-3": "LGPL-3.0", "MPL-2.0": "MPL-2.0", "CC0-1.0": "CC0-1.0"}
+    for name, want in names.items():
+        if os.path.exists(f"{SHARED}/{name}"):
+            with open(f"{SHARED}/{name}", encoding="utf-8") as f:
+                texts.append((f.read(), want))
+    for path in ("LICENSE", "x.c"):
+        assert licenses_of(spark, *[t for t, _ in texts], path=path) == [x for _, x in texts]
+
+
 def test_anchors_bound_the_cosine():
     vectors, _ = licenses.template_weights()
     some = set(licenses.anchors(vectors, licenses.THRESHOLD))
