@@ -1,8 +1,7 @@
 """Vectorised word work on the raw UTF-8 bytes of Arrow string columns.
 
-Words are runs of bytes of one class. Their 64-bit digests come from one prefix sum
-over the bytes of a segment, so cost per byte is a few vector operations, and
-memory is bounded by SEGMENT however long a text is.
+Words are runs of bytes of one class. Their 64-bit digests take eight bytes of all words in a step, so cost
+per word is a few vector operations. Texts are worked on in runs of about SEGMENT bytes; a longer one stands alone.
 """
 
 from __future__ import annotations
@@ -28,21 +27,14 @@ NOT_SPACE[[0x20, 9, 10, 11, 12, 13]] = False
 ALNUM = np.zeros(256, dtype=bool)
 ALNUM[0x30:0x3A] = ALNUM[0x61:0x7B] = ALNUM[0x80:] = True
 
-_rng = np.random.Generator(np.random.PCG64(20240501))
-BYTE_VALUE = _rng.integers(1, 2**63, 256, dtype=np.uint64) | np.uint64(1)
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers: list[np.ndarray] = []
+#: Words over so many bytes are digested by a cryptographic hash, one by one.
+LONG_WORD = 256
 
+_KEY = 0x6A09E667F3BCC908
+_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
-def powers() -> list[np.ndarray]:
-    """Of the base and of its inverse modulo 2**64, made once per process."""
-    if not _powers:
-        for base in (_BASE, _BASE_INVERSE):
-            steps = np.full(2 * SEGMENT + 2, base, dtype=np.uint64)
-            steps[0] = 1
-            _powers.append(np.multiply.accumulate(steps))
-    return _powers
+#: Masks that keep the first k bytes of eight.
+_FIRST = np.array([(1 << (8 * k)) - 1 for k in range(9)], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -77,18 +69,6 @@ def runs(offsets: np.ndarray, limit: int = SEGMENT) -> Iterator[tuple[int, int]]
         i = j
 
 
-def _word_runs(starts: np.ndarray, ends: np.ndarray) -> Iterator[tuple[int, int]]:
-    """Ranges of neighbouring words that lie within SEGMENT bytes; longer words stand between ranges."""
-    i, n = 0, len(starts)
-    while i < n:
-        if ends[i] - starts[i] > SEGMENT:
-            i += 1
-            continue
-        j = int(np.searchsorted(ends, starts[i] + SEGMENT, "right"))
-        yield i, j
-        i = j
-
-
 def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of lower-cased data: the words' starts and ends, and each text's first word (one more entry than texts)."""
     inside = is_word[data]
@@ -104,23 +84,60 @@ def words(data: np.ndarray, offsets: np.ndarray, is_word: np.ndarray) -> tuple[n
     return starts, np.flatnonzero(end) + 1, np.searchsorted(starts, offsets)
 
 
-def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, is_word: np.ndarray) -> np.ndarray:
-    """A 64-bit digest of each word, which depends on its bytes alone, whatever words are beside it."""
-    out = np.zeros(len(starts), np.uint64)
-    up, down = powers()
-    for i, j in _word_runs(starts, ends):
-        a, b = starts[i], ends[j - 1]
-        total = np.zeros(b - a + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[data[a:b]] * up[: b - a], out=total[1:])
-        s, e = starts[i:j] - a, ends[i:j] - a
-        out[i:j] = (total[e] - total[s]) * down[s]
-    lengths = ends - starts
-    out = mix(out ^ mix(lengths.astype(np.uint64)))
-    for k in np.flatnonzero(lengths > SEGMENT):
-        out[k] = np.frombuffer(hashlib.blake2b(data[starts[k] : ends[k]].tobytes(), digest_size=8).digest(), np.uint64)[0]
+def _eights(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number (zeros beyond the end)."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", buffer=padded, strides=(1,))
+
+
+def digests(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, key: int = _KEY) -> np.ndarray:
+    """A 64-bit digest of each word, which depends on its length and bytes alone, whatever words are beside it.
+
+    Eight bytes at a time go through a keyed non-linear mixing, which is a bijection of them: words of up to eight bytes and of
+    one length never share a digest. Longer ones may, by chance or (to whoever knows the key) by design, so where equality of
+    digests decides anything, equal() or faithful() must confirm it.
+    """
+    eights, length = _eights(data), ends - starts
+    seed = mix(length.astype(np.uint64) + np.uint64(key))
+    out = mix((eights[starts] & _FIRST[np.minimum(length, 8)]) ^ seed)
+    done, live = 8, np.flatnonzero((length > 8) & (length <= LONG_WORD))
+    while len(live):
+        left = length[live] - done
+        out[live] = mix((out[live] * _MULTIPLIER) ^ (eights[starts[live] + done] & _FIRST[np.minimum(left, 8)]) ^ seed[live])
+        done += 8
+        live = live[left > 8]
+    secret = key.to_bytes(8, "little")
+    for k in np.flatnonzero(length > LONG_WORD):
+        out[k] = np.frombuffer(hashlib.blake2b(data[starts[k] : ends[k]], digest_size=8, key=secret).digest(), np.uint64)[0]
     return out
 
 
+def equal(a: np.ndarray, a_starts: np.ndarray, a_ends: np.ndarray, b: np.ndarray, b_starts: np.ndarray, b_ends: np.ndarray) -> np.ndarray:
+    """Whether each word of a has the bytes of the word of b at the same place in the list."""
+    length = a_ends - a_starts
+    out = length == b_ends - b_starts
+    x, y = _eights(a), _eights(b)
+    done, live = 0, np.flatnonzero(out & (length <= LONG_WORD))
+    while len(live):
+        left = length[live] - done
+        same = ((x[a_starts[live] + done] ^ y[b_starts[live] + done]) & _FIRST[np.minimum(left, 8)]) == 0
+        out[live[~same]] = False
+        done += 8
+        live = live[same & (left > 8)]
+    for k in np.flatnonzero(out & (length > LONG_WORD)):
+        out[k] = a[a_starts[k] : a_ends[k]].tobytes() == b[b_starts[k] : b_ends[k]].tobytes()
+    return out
+
+
+def faithful(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, digest: np.ndarray) -> bool:
+    """Whether words of equal digest have equal bytes."""
+    order = np.argsort(digest, kind="stable")
+    at = np.flatnonzero(digest[order[1:]] == digest[order[:-1]])
+    i, j = order[at], order[at + 1]
+    return bool(equal(data, starts[i], ends[i], data, starts[j], ends[j]).all())
+
+
+_rng = np.random.Generator(np.random.PCG64(20240501))
 _FACTORS = [np.uint64(int(x) | 1) for x in _rng.integers(1, 2**63, 64, dtype=np.uint64)]
 
 
@@ -132,5 +149,5 @@ def shingles(word: np.ndarray, size: int) -> np.ndarray:
     k = min(n, size)
     total = np.zeros(n - k + 1, np.uint64)
     for i in range(k):
-        total += mix(word[i : n - k + 1 + i] + np.uint64(i)) * _FACTORS[i % 64]
+        total = mix(total * _FACTORS[i % 64] ^ word[i : n - k + 1 + i])
     return mix(total + np.uint64(k))

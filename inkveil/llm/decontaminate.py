@@ -60,7 +60,7 @@ def item_windows(rows: list, window: int) -> Windows:
         low = B.LOWER[np.frombuffer((content or "").encode(), np.uint8)]
         offsets = np.array([0, len(low)], np.int64)
         starts, ends, _ = B.words(low, offsets, B.ALNUM)
-        digest = B.digests(low, starts, ends, B.ALNUM)
+        digest = B.digests(low, starts, ends)
         n = min(window, len(starts))
         for a in range(len(starts) - n + 1 if n else 0):
             owner.append("" if item is None else str(item))
@@ -96,7 +96,7 @@ def _matches(values: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.nda
 def _tokenised(data: np.ndarray, offsets: np.ndarray):
     low = B.LOWER[data]
     starts, ends, first = B.words(low, offsets, B.ALNUM)
-    return low, starts, ends, first, B.digests(low, starts, ends, B.ALNUM)
+    return low, starts, ends, first, B.digests(low, starts, ends)
 
 
 def shingle_counts(docs: DataFrame, shingles: np.ndarray, sizes: list[int]) -> np.ndarray:

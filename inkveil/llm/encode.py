@@ -12,8 +12,9 @@ import pyarrow as pa
 
 from inkveil.llm import bytetext as B
 
-#: Words that one worker remembers (about 20 bytes each); further ones are encoded whenever they come.
+#: Words that one worker remembers (some 50 bytes each), and the bytes of the longest; others are encoded whenever they come.
 REMEMBERED = 2_000_000
+REMEMBERED_BYTES = 64
 
 #: Parts that the library encodes at once.
 GROUP = 1024
@@ -46,8 +47,8 @@ class Encoder:
     """Texts to id sequences, equal to the library's own encoding of each whole text with
     add_special_tokens=False.
 
-    Each distinct part between spaces is encoded once by the library and remembered by a 64-bit digest of
-    its bytes. Since the tokenizer lower-cases, parts that differ in ASCII case are one; a last comma or stop
+    Each distinct part between spaces is encoded once by the library and remembered with its bytes, found by a 64-bit digest of
+    them; parts that share a digest but not their bytes are encoded by themselves. Since the tokenizer lower-cases, parts that differ in ASCII case are one; a last comma or stop
     after an ASCII letter or digit is a part of its own, as it is for the tokenizer.
     """
 
@@ -66,6 +67,8 @@ class Encoder:
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
         self.ids = np.zeros(0, self.dtype)
+        self.bytes = np.zeros(0, np.uint8)  # of the remembered parts, and where each begins (one more entry than parts)
+        self.place = np.zeros(1, np.int64)
 
     def _library(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """In small groups: the library's own result for a part takes far more memory than its ids."""
@@ -87,33 +90,63 @@ class Encoder:
         if ((data == 0xCC) | (data == 0xCD)).any() or any(x in low.tobytes() for x in self.special):
             low = data
         starts, ends, first = self._parts(low, offsets)
-        digest = B.digests(low, starts, ends, B.NOT_SPACE)
-        distinct, where, inverse = np.unique(digest, return_index=True, return_inverse=True)
+        distinct, where, inverse = self._distinct(low, starts, ends)
+        begin, end = starts[where], ends[where]
         at = np.searchsorted(self.known, distinct)
-        inside = at < len(self.known)
+        inside = np.flatnonzero(at < len(self.known))
         hit = np.zeros(len(distinct), bool)
         hit[inside] = self.known[at[inside]] == distinct[inside]
+        taken = hit.copy()
+        own = self.slot[at[hit]]
+        hit[hit] = B.equal(low, begin[hit], end[hit], self.bytes, self.place[own], self.place[own + 1])
         start, count, store = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), self.ids
         own = self.slot[at[hit]]
         start[hit], count[hit] = self.start[own], self.count[own]
         if not hit.all():
             fresh = np.flatnonzero(~hit)
             raw = low.tobytes()
-            ids, n = self._library([raw[a:b].decode() for a, b in zip(starts[where[fresh]].tolist(), ends[where[fresh]].tolist(), strict=True)])
+            parts = [raw[a:b] for a, b in zip(begin[fresh].tolist(), end[fresh].tolist(), strict=True)]
+            ids, n = self._library([x.decode() for x in parts])
             start[fresh], count[fresh] = len(store) + np.cumsum(n) - n, n
             store = np.concatenate([store, ids])
             if len(self.known) + len(fresh) <= REMEMBERED:
-                place = at[fresh]
-                self.known = np.insert(self.known, place, distinct[fresh])
-                self.slot = np.insert(self.slot, place, np.arange(len(self.start), len(self.start) + len(fresh), dtype=np.int32))
-                self.start, self.count = np.r_[self.start, start[fresh]], np.r_[self.count, n]
-                self.ids = store
+                self._remember(distinct[fresh], taken[fresh], parts, ids, n)
         n = count[inverse]
         total = np.zeros(len(n) + 1, np.int64)
         np.cumsum(n, out=total[1:])
         places = np.arange(total[-1]) + np.repeat(start[inverse] - total[:-1], n)
         return store[places], total[first]
 
+    @staticmethod
+    def _distinct(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The distinct parts' digests, a part with each, and for every part its entry. Parts whose bytes are not those of
+        their digest's entry have an entry of their own at the end."""
+        distinct, where, inverse = np.unique(B.digests(low, starts, ends), return_index=True, return_inverse=True)
+        same = B.equal(low, starts, ends, low, starts[where[inverse]], ends[where[inverse]])
+        if not same.all():
+            odd = np.flatnonzero(~same)
+            inverse[odd] = len(distinct) + np.arange(len(odd))
+            distinct, where = np.r_[distinct, B.digests(low, starts[odd], ends[odd])], np.r_[where, odd]
+        return distinct, where, inverse
+
+    def _remember(self, digest: np.ndarray, taken: np.ndarray, parts: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
+        """Keeps parts of up to REMEMBERED_BYTES whose digest no remembered one has, the first of each digest."""
+        _, first = np.unique(digest, return_index=True)
+        keep = np.zeros(len(digest), bool)
+        keep[first] = True
+        keep = np.flatnonzero(keep & ~taken & (np.fromiter(map(len, parts), np.int64, len(parts)) <= REMEMBERED_BYTES))
+        keep = keep[np.argsort(digest[keep], kind="stable")]
+        place = np.searchsorted(self.known, digest[keep])
+        self.known = np.insert(self.known, place, digest[keep])
+        self.slot = np.insert(self.slot, place, np.arange(len(self.start), len(self.start) + len(keep), dtype=np.int32))
+        many = count[keep]
+        before = np.cumsum(many) - many
+        self.start, self.count = np.r_[self.start, len(self.ids) + before], np.r_[self.count, many]
+        self.ids = np.concatenate([self.ids, ids[np.arange(many.sum()) + np.repeat((np.cumsum(count) - count)[keep] - before, many)]])
+        raw = [parts[k] for k in keep.tolist()]
+        self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(raw), np.uint8)])
+        self.place = np.r_[self.place, self.place[-1] + np.cumsum(list(map(len, raw)), dtype=np.int64)]
+
     @staticmethod
     def _parts(low: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         starts, ends, first = B.words(low, offsets, B.NOT_SPACE)

@@ -53,7 +53,7 @@ def statistics(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     n = len(offsets) - 1
     low = B.LOWER[data]
     starts, ends, first = B.words(low, offsets, B.NOT_SPACE)
-    digest = B.digests(low, starts, ends, B.NOT_SPACE)
+    digest = B.digests(low, starts, ends)
     length = np.diff(offsets)
     count = np.diff(first)
     out = np.zeros((n, len(FEATURES)))

@@ -68,3 +68,8 @@ def encoded(tokenizer, rows, end):
         out.append((i, start, len(ids), zlib.crc32(b"".join(x.to_bytes(4, "little") for x in ids))))
         start += len(ids)
     return out
+
+
+def thue_morse(n):
+    """Collides with its complement under any polynomial modulo a power of two, once long enough."""
+    return "".join("ab"[bin(k).count("1") % 2] for k in range(n))

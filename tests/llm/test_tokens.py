@@ -36,15 +36,43 @@ def test_short_words_beside_a_very_long_one(library):
     text = f"{few} {'q' * 1_500_000} {few[:5000]} tail"
     data = np.frombuffer(text.encode(), np.uint8)
     starts, ends, _ = B.words(data, np.array([0, len(data)]), B.NOT_SPACE)
-    alone = {w: B.digests(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]), B.NOT_SPACE)[0] for w in set(text.split())}
+    alone = {w: B.digests(np.frombuffer(w.encode(), np.uint8), np.array([0]), np.array([len(w)]))[0] for w in set(text.split())}
     assert len(set(alone.values())) == len(alone)
-    assert B.digests(data, starts, ends, B.NOT_SPACE).tolist() == [alone[w] for w in text.split()]
+    assert B.digests(data, starts, ends).tolist() == [alone[w] for w in text.split()]
     # The long word has many ids of its own: those before and after it are compared.
     got, n = ids_of(Encoder(default_tokenizer()), [text])[0], 50_000
     before, after = (library.encode(t, add_special_tokens=False).ids for t in (few, f"{few[:5000]} tail"))
     assert got[:n] == before[:n] and got[-len(after) :] == after
 
 
+def test_words_that_polynomial_digests_confuse(library):
+    for word in brute.thue_morse(1024), brute.thue_morse(256), brute.thue_morse(200):
+        texts = [f"x {w} y {w}" for w in (word, word.translate(str.maketrans("ab", "ba")))]
+        assert ids_of(Encoder(default_tokenizer()), texts) == [library.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_encoding_does_not_rest_on_digests(library, hard, monkeypatch):
+    real = B.digests
+    monkeypatch.setattr(B, "digests", lambda *a: real(*a) % np.uint64(5))
+    coder = Encoder(default_tokenizer())
+    texts = ["one two three four, five. six", "six seven eight one", *[t for _, t in hard if len(t or "") < 10_000]]
+    for _ in range(2):
+        assert ids_of(coder, texts) == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab\x00é"), min_size=1, max_size=30), min_size=1, max_size=20))
+def test_equality_of_words(some):
+    data = np.frombuffer(" ".join(some).encode(), np.uint8)
+    length = np.array([len(w.encode()) for w in some])
+    starts = np.cumsum(length + 1) - length - 1
+    i, j = (x.ravel() for x in np.indices((len(some), len(some))))
+    got = B.equal(data, starts[i], starts[i] + length[i], data, starts[j], starts[j] + length[j])
+    assert got.tolist() == [a == b for a in some for b in some]
+    assert B.faithful(data, starts, starts + length, B.digests(data, starts, starts + length))
+    assert B.faithful(data, starts, starts + length, length.astype(np.uint64)) == all(a == b for a in some for b in some if len(a.encode()) == len(b.encode()))
+
+
 @settings(max_examples=150, deadline=None)
 @given(st.lists(st.text(st.sampled_from("aAbé.,!' \n\t\u00a0\u0301\u0331H1½“—<|>endofxt🙂İΣ"), max_size=30), max_size=5))
 def test_encoding_of_odd_texts(coder, library, texts):
