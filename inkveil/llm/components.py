@@ -1,4 +1,4 @@
-"""Connected components and fixed-size id filters, distributed."""
+"""Connected components and id filters of bounded size, distributed."""
 
 from __future__ import annotations
 
@@ -45,41 +45,43 @@ def connected_components(edges: DataFrame, scratch: Scratch, label: str, rounds:
             return labels.select("node", "component")
 
 
-FILTER_BITS = 26
+#: Binary logarithms of the least and most bits of a filter (64 MB), and bits for each id in between.
+LEAST_BITS, MOST_BITS, BITS_EACH = 20, 29, 16
 
 
-def _places(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _places(ids: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     h = mix(ids.astype(np.int64).view(np.uint64) + np.uint64(0x51ED270B))
-    last = np.uint64((1 << FILTER_BITS) - 1)
+    last = np.uint64((1 << bits) - 1)
     return (h & last).astype(np.int64), ((h >> np.uint64(32)) & last).astype(np.int64)
 
 
 def id_filter(ids: DataFrame) -> np.ndarray:
-    """A Bloom filter of the first column (long) with a fixed 2**FILTER_BITS bits (8 MB), whatever the input.
+    """A Bloom filter of the first column (long) of a written table. It grows with the ids up to 2**MOST_BITS bits.
 
-    It lets all ids pass and keeps most others out; with more ids it keeps fewer out, so what
+    It lets all ids pass and keeps most others out; beyond some 10^8 ids it keeps fewer out, so what
     passes may only be wanted, never decided, by it.
     """
+    one = ids.filter(F.col(ids.columns[0]).isNotNull()).select(F.col(ids.columns[0]).cast("long"))
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * one.count()).bit_length()))
 
     def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+        words = np.zeros(1 << (bits - 6), np.uint64)
         for batch in batches:
-            for at in _places(batch.column(0).to_numpy(zero_copy_only=False)):
+            for at in _places(batch.column(0).to_numpy(zero_copy_only=False), bits):
                 np.bitwise_or.at(words, at >> 6, np.uint64(1) << (at & 63).astype(np.uint64))
         used = np.flatnonzero(words)
         for a in range(0, len(used), 65536):
             part = used[a : a + 65536]
             yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(words[part].view(np.int64))], ["word", "bits"])
 
-    one = ids.filter(F.col(ids.columns[0]).isNotNull()).select(F.col(ids.columns[0]).cast("long"))
     marked = one.mapInArrow(mark, "word int, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    words = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    words = np.zeros(1 << (bits - 6), np.uint64)
     words[marked.column("word").to_numpy()] = marked.column("bits").to_numpy().view(np.uint64)
     return words
 
 
 def passes(words: np.ndarray, ids: np.ndarray) -> np.ndarray:
     out = np.ones(len(ids), bool)
-    for at in _places(ids):
+    for at in _places(ids, len(words).bit_length() + 5):
         out &= (words[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) == 1
     return out

@@ -16,18 +16,22 @@ Order and index:
 - Sets under SMALL shingles, which cannot share k, are indexed one by one throughout; sets up to SMALL * DEN / NUM
   are in both indexes, so any two sets that can link meet in one of them.
 
-Then candidate pairs are verified: first by the parity bitmaps of their sets, whose distance is at most the symmetric
-difference and so rules out most chance meetings exactly, then on the sets themselves. Equal sets are
-one class from the start. Each index bucket has a hub. Each document is first compared with the hub that it meets most
-often. Buckets whose members are then in different components go on: there, members of different
-components are compared by their bitmaps inside their task, and only what those leave is verified. So a large
-group of near copies costs a number of verifications in proportion to its size, and no link between
-components is lost.
+Then the documents that share keys are compared. Each index bucket has a hub, and the members of all buckets of a hub are a
+group: documents that can link meet in one. First each document is compared with the hub that it meets most often. Then, in groups
+whose members are in different components, pivots are drawn from the members outside the hub's component and compared with all
+members in one pass over the group; pivots leave the group afterwards, and the next round goes on with what is still
+apart. A round moves a member once and a pivot once for every PIVOTS members, so rows stay in proportion to members however large
+a group is; what a comparison finds is a spanning forest of its links.
+
+A comparison has two steps. Sizes and parity bitmaps of the sets (whose distance is at most the symmetric difference) rule out most
+documents exactly; of those left, the texts themselves are cut into shingles and counted. Equality there is that of
+words: shingles are digests under a key drawn for each run, and a task confirms that in its texts equal digests have equal words.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -60,37 +64,87 @@ MOST_BITS = 29
 #: Binary logarithms of the least and most bits of a set's parity bitmap.
 LEAST_BITS, MOST_PARITY = 9, 16
 
-#: Members of a bucket that are compared with each other at once; a larger bucket is compared in pairs of such blocks.
-BLOCK = 1024
+#: Members of a group that are drawn to be compared with all others in a round, about; and members in one cell of the comparison.
+PIVOTS = 1024
 
+#: Shingles of the pivots of a group in a round, about.
+PIVOT_SHINGLES = 4_000_000
 
-def _ceil(a, b: int):
-    return -(-a // b)
-
-
-def sets_of(data: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> Iterator[np.ndarray]:
-    """The sorted distinct shingle digests of each text."""
-    low = B.LOWER[data]
-    starts, ends, first = B.words(low, offsets, B.NOT_SPACE)
-    digest = B.digests(low, starts, ends, B.NOT_SPACE)
-    for i in range(len(offsets) - 1):
-        yield np.unique(B.shingles(digest[first[i] : first[i + 1]], size))
+#: Pairs, counts and bytes of text that a task works on at once.
+PAIRS, COUNTS, TEXT = 1 << 18, 1 << 21, 1 << 22
 
 
-def _text_sets(batch: pa.RecordBatch, size: int) -> Iterator[tuple[int, np.ndarray]]:
-    data, offsets = B.column_bytes(batch.column(1))
-    for i, j in B.runs(offsets):
-        for k, s in enumerate(sets_of(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)):
-            yield i + k, s
+def _ceil(a, b: int):
+    return -(-a // b)
 
 
-def _signatures(docs: DataFrame, size: int) -> DataFrame:
+@dataclass(frozen=True)
+class Shingling:
+    """Words of a shingle, and the key of the words' digests."""
+
+    size: int = SHINGLE
+    key: int = 1
+
+    def sets(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[np.ndarray]:
+        """The sorted distinct shingle digests of each text."""
+        low = B.LOWER[data]
+        starts, ends, first = B.words(low, offsets, B.NOT_SPACE)
+        yield from self._of_words(B.digests(low, starts, ends, self.key), first)
+
+    def _of_words(self, digest: np.ndarray, first: np.ndarray) -> Iterator[np.ndarray]:
+        if not len(digest):
+            yield from (digest for _ in first[1:])
+            return
+        runs, many = B.shingles(digest, self.size), np.diff(first)
+        for i, n in enumerate(many):
+            yield np.unique(runs[first[i] : first[i + 1] - self.size + 1] if n >= self.size else B.shingles(digest[first[i] : first[i + 1]], self.size))
+
+    def column_sets(self, batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        data, offsets = B.column_bytes(batch.column(1))
+        for i, j in B.runs(offsets):
+            for k, s in enumerate(self.sets(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])):
+                yield i + k, s
+
+    def exact_sets(self, column: pa.Array) -> list[np.ndarray]:
+        """Of texts that are to be compared with each other: sets whose elements are equal only if the words are."""
+        data, offsets = B.column_bytes(column)
+        low = B.LOWER[data]
+        starts, ends, first = B.words(low, offsets, B.NOT_SPACE)
+        digest = B.digests(low, starts, ends, self.key)
+        if not B.faithful(low, starts, ends, digest):
+            raw, number = low.tobytes(), {}
+            digest = np.array([number.setdefault(raw[a:b], len(number)) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)], np.uint64)
+        sets = list(self._of_words(digest, first))
+        if _distinct_runs(digest, first, self.size) == len(np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]))):
+            return sets
+        number = {}
+        words = [digest[a:b].tolist() for a, b in zip(first[:-1], first[1:], strict=True)]
+        runs = [{tuple(w[k : k + self.size]) for k in range(max(1, len(w) - self.size + 1))} if w else set() for w in words]
+        return [np.sort(np.array([number.setdefault(r, len(number)) for r in x], np.uint64)) for x in runs]
+
+
+def _distinct_runs(word: np.ndarray, first: np.ndarray, size: int) -> int:
+    """How many different runs of size words (or whole shorter sequences) the texts have, counted on the words."""
+    _, rank = np.unique(word, return_inverse=True)
+    own = np.repeat(np.arange(len(first) - 1), np.diff(first))
+    left = first[own + 1] - np.arange(len(word))  # words from each one to the end of its text
+    begin = np.flatnonzero((left >= size) | (np.arange(len(word)) == first[own]))
+    code = np.zeros(len(begin), np.int64)
+    for k in range(size):
+        at = begin + k
+        inside = at < first[own[begin] + 1]
+        step = np.where(inside, rank[np.minimum(at, len(rank) - 1)] + 1, 0)
+        code = np.unique(code * (len(rank) + 2) + step, return_inverse=True)[1].astype(np.int64)
+    return int(code.max()) + 1 if len(code) else 0
+
+
+def _signatures(docs: DataFrame, cut: Shingling) -> DataFrame:
     """doc_id, n, a 128-bit digest of the set (s1, s2) and its parity bitmap."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n, s1, s2, bits = [], [], [], []
-            for _, s in _text_sets(batch, size):
+            for _, s in cut.column_sets(batch):
                 a, b = np.frombuffer(hashlib.blake2b(s.tobytes(), digest_size=16).digest(), "<i8")
                 n.append(len(s))
                 s1.append(a)
@@ -158,7 +212,7 @@ class Classes:
         return (self.seen[bit >> 3] >> (7 - (bit & 7)).astype(np.uint8)) & 1 == 1
 
 
-def class_frequencies(docs: DataFrame, wanted: np.ndarray, total: int, size: int) -> Classes:
+def class_frequencies(docs: DataFrame, wanted: np.ndarray, total: int, cut: Shingling) -> Classes:
     """Counts the classes of all documents that pass `wanted`.
 
     Tasks send sorted class values as 16-bit steps, dealt by range; a merge task counts one range. The bitmap has as many bits as
@@ -181,7 +235,7 @@ def class_frequencies(docs: DataFrame, wanted: np.ndarray, total: int, size: int
         parts, held = [], 0
         for batch in batches:
             keep = passes(shipped.value, batch.column(0).to_numpy())
-            for i, s in _text_sets(batch, size):
+            for i, s in cut.column_sets(batch):
                 if keep[i] and len(s):
                     parts.append((s >> np.uint64(32)).astype(np.uint32))
                     held += len(s)
@@ -234,7 +288,7 @@ def prefix_keys(s: np.ndarray, classes: Classes) -> tuple[np.ndarray, np.ndarray
     return np.concatenate(keys), np.concatenate(small)
 
 
-def _index_rows(docs: DataFrame, wanted: np.ndarray, classes: Classes, size: int) -> DataFrame:
+def _index_rows(docs: DataFrame, wanted: np.ndarray, classes: Classes, cut: Shingling) -> DataFrame:
     """key, doc_id, n, small: the index entries of the documents that pass `wanted`."""
     context = docs.sparkSession.sparkContext
     shipped = context.broadcast((wanted, classes))
@@ -258,7 +312,7 @@ def _index_rows(docs: DataFrame, wanted: np.ndarray, classes: Classes, size: int
                     ["key", "doc_id", "n", "small"],
                 )
 
-            for i, s in _text_sets(batch, size):
+            for i, s in cut.column_sets(batch):
                 if keep[i] and len(s):
                     keys, small = prefix_keys(s, classes)
                     parts.append((i, keys, small, len(s)))
@@ -272,183 +326,239 @@ def _index_rows(docs: DataFrame, wanted: np.ndarray, classes: Classes, size: int
     return docs.mapInArrow(run, "key long, doc_id long, n long, small boolean")
 
 
-def _filtered(rows: DataFrame, column: str, words: np.ndarray) -> DataFrame:
-    shipped = rows.sparkSession.sparkContext.broadcast(words)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(passes(shipped.value, batch.column(column).to_numpy())))
-
-    return rows.mapInArrow(run, rows.schema)
-
-
-def _candidate_sets(docs: DataFrame, wanted: np.ndarray, size: int) -> DataFrame:
+def _texts(docs: DataFrame, wanted: np.ndarray) -> DataFrame:
+    """The documents (doc_id, text) that pass `wanted`."""
     shipped = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            some = batch.filter(pa.array(passes(shipped.value, batch.column(0).to_numpy())))
-            blobs = [s.tobytes() for _, s in _text_sets(some, size)]
-            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(blobs, pa.binary())], ["doc_id", "shingles"])
-
-    return docs.mapInArrow(run, "doc_id long, shingles binary")
-
-
-def _possible(pairs: DataFrame, bitmaps: DataFrame) -> DataFrame:
-    """The pairs (a, b) that their sizes and bitmaps do not rule out."""
-    left = bitmaps.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("bits").alias("x"))
-    right = bitmaps.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("bits").alias("y"))
+            yield batch.filter(pa.array(passes(shipped.value, batch.column(0).to_numpy())))
+
+    return docs.mapInArrow(run, "doc_id long, text string")
+
+
+#: What a row of a cell is: a member; a pivot, in its own cell and in the group's others.
+MEMBER, PIVOT_ELSEWHERE, PIVOT = 0, 1, 2
+CELL = "hub long, salt int, role int, doc_id long, label long"
+
+
+def _cells(groups: DataFrame) -> DataFrame:
+    """groups (hub, doc_id, label, pivot, salts) dealt into cells: every member in one, and every pivot in all cells of its group."""
+    own = F.pmod(F.xxhash64("doc_id"), F.col("salts")).cast("int")
+    salts = F.when(F.col("pivot"), F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(own))
+    rows = groups.withColumn("own", own).withColumn("salt", F.explode(salts))
+    role = F.when(~F.col("pivot"), MEMBER).when(F.col("salt") == F.col("own"), PIVOT).otherwise(PIVOT_ELSEWHERE)
+    return rows.select("hub", "salt", role.alias("role"), "doc_id", "label")
+
+
+def _by_cell(rows: DataFrame) -> DataFrame:
+    """Pivots first in every cell."""
+    return rows.repartition("hub", "salt").sortWithinPartitions("hub", "salt", F.col("role").desc(), "doc_id")
+
+
+class Stream:
+    """Rows of cells that come in batches. A cell may go on in the next batch, so the pivots of the last one are kept."""
+
+    def __init__(self):
+        self.rest: pa.Table | None = None
+
+    def take(self, batch: pa.RecordBatch) -> tuple[pa.Table, np.ndarray, np.ndarray, int]:
+        """The kept pivots and the batch as one table; each row's cell and role; and how many were kept, thus compared with each other."""
+        rows = pa.Table.from_batches([batch])
+        kept = 0
+        if self.rest is not None:
+            kept = self.rest.num_rows
+            rows = pa.concat_tables([self.rest, rows])
+        role = rows.column("role").to_numpy()
+        key = np.stack([rows.column("hub").to_numpy(), rows.column("salt").to_numpy()])
+        cell = np.r_[0, np.cumsum((key[:, 1:] != key[:, :-1]).any(0))]
+        at = np.flatnonzero((cell == cell[-1]) & (role != MEMBER))
+        self.rest = rows.take(pa.array(at)).combine_chunks() if len(at) else None
+        return rows, cell, role, kept
+
+
+def _pairs(cell: np.ndarray, role: np.ndarray, kept: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pivot and later row of the same cell, some PAIRS at a time; without pairs of kept rows, and of pivots that meet elsewhere."""
+    first = np.searchsorted(cell, cell)
+    pivots = np.cumsum(np.r_[0, role != MEMBER])
+    many = np.minimum(pivots[np.searchsorted(cell, cell, "right")] - pivots[first], np.arange(len(cell)) - first)
+    many[:kept] = 0
+    total = np.cumsum(many)
+    a = 0
+    while a < len(cell):
+        b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + PAIRS, "right")))
+        n = many[a:b]
+        row = np.repeat(np.arange(a, b), n)
+        pivot = first[row] + np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+        ok = (role[row] != PIVOT_ELSEWHERE) | (role[pivot] == PIVOT)
+        yield pivot[ok], row[ok]
+        a = b
+
+
+def _possible(cells: DataFrame, bitmaps: DataFrame) -> DataFrame:
+    """Of the rows of cells, those that their sizes and bitmaps do not keep from linking with a pivot, or a pivot with a row, of
+    another component."""
+    held = bitmaps.select(F.col("doc_id").alias("b_id"), "n", "bits")
+    rows = _by_cell(cells.join(held, F.col("doc_id") == F.col("b_id")).select("hub", "salt", "role", "doc_id", "label", "n", "bits"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = Stream()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            most = most_distance(batch.column(2).to_numpy(), batch.column(3).to_numpy())
-            ok = []
-            for k in range(batch.num_rows):
-                x, y = (np.frombuffer(batch.column(c)[k].as_buffer(), np.uint64) for c in (4, 5))
-                size = min(len(x), len(y))
-                ok.append(int(np.bitwise_count(fold(x, size) ^ fold(y, size)).sum()) <= most[k])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) that link, by the sizes of intersection and union of their sets."""
-    left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y"))
+            table, cell, role, kept = stream.take(batch)
+            label, n = table.column("label").to_numpy(), table.column("n").to_numpy()
+            bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("bits")]
+            words = np.array([len(x) for x in bits])
+            left = np.zeros(len(cell), bool)
+            for p, r in _pairs(cell, role, kept):
+                ok = (label[p] != label[r]) & (DEN * np.minimum(n[p], n[r]) >= NUM * np.maximum(n[p], n[r]))
+                p, r = p[ok], r[ok]
+                for size in np.unique(np.minimum(words[p], words[r])):
+                    at = np.flatnonzero(np.minimum(words[p], words[r]) == size)
+                    used = np.unique(np.r_[p[at], r[at]])
+                    folded = np.stack([fold(bits[k], size) for k in used])
+                    step = max(1, PAIRS // int(size))
+                    for c in range(0, len(at), step):
+                        u, v = p[at[c : c + step]], r[at[c : c + step]]
+                        distance = np.bitwise_count(folded[np.searchsorted(used, u)] ^ folded[np.searchsorted(used, v)]).sum(1, dtype=np.int64)
+                        near = distance <= most_distance(n[u], n[v])
+                        left[u[near]] = left[v[near]] = True
+            yield from table.select(["hub", "salt", "role", "doc_id", "label"]).filter(pa.array(left)).combine_chunks().to_batches()
+
+    return rows.mapInArrow(run, CELL)
+
+
+def _linked(cells: DataFrame, texts: DataFrame, cut: Shingling) -> DataFrame:
+    """a, b: a spanning forest of the links between pivots and rows of each cell, by the words of their texts."""
+    held = texts.select(F.col("doc_id").alias("t_id"), "text")
+    rows = _by_cell(cells.join(held, F.col("doc_id") == F.col("t_id")).select("hub", "salt", "role", "doc_id", "label", "text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = Stream()
         for batch in batches:
-            ok = []
-            for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int(np.count_nonzero(y[at] == x))
-                ok.append(DEN * both >= NUM * (len(x) + len(y) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
-
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
-
-
-def _links_among(docs: DataFrame, possible: DataFrame, scratch: Scratch, step: int, size: int) -> DataFrame:
-    """The links among pairs that their bitmaps do not rule out. Sets are made for the documents of these pairs only."""
-    possible = scratch.keep(possible, f"possible-{step}")
-    wanted = id_filter(possible.select(F.col("a").alias("id")).union(possible.select("b")))
-    sets = scratch.keep(_candidate_sets(docs, wanted, size), f"sets-{step}")
-    links = scratch.keep(_verified(possible, sets), f"links-{step}")  # with repeated ids, perhaps more than once
-    scratch.drop(f"possible-{step}", f"sets-{step}")
+            _, offsets = B.column_bytes(batch.column("text"))
+            i = 0
+            while i < batch.num_rows:
+                room = max(TEXT, stream.rest.nbytes if stream.rest is not None else 0)
+                j = max(i + 1, int(np.searchsorted(offsets, offsets[i] + room, "right")) - 1)
+                table, cell, role, kept = stream.take(batch.slice(i, j - i))
+                i = j
+                doc, label = table.column("doc_id").to_numpy(), table.column("label").to_numpy()
+                sets = cut.exact_sets(table.column("text").combine_chunks())
+                edges = np.flatnonzero(np.diff(cell, prepend=-1, append=cell[-1] + 1))
+                found = [x for a, b in zip(edges[:-1], edges[1:], strict=True) for x in _forest(sets[a:b], label[a:b], role[a:b], a, max(0, kept - a))]
+                if found:
+                    p, r = np.array(found).T
+                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(doc[p], doc[r])), pa.array(np.maximum(doc[p], doc[r]))], ["a", "b"])
+
+    return rows.mapInArrow(run, "a long, b long")
+
+
+def _forest(sets: list[np.ndarray], label: np.ndarray, role: np.ndarray, base: int, kept: int) -> Iterator[tuple[int, int]]:
+    """Links (pivot, row from the kept-th on) in one cell that connect components, with base added to their places."""
+    k = int(np.count_nonzero(role != MEMBER))
+    if not k or (label == label[0]).all():
+        return
+    names, own = np.unique(label, return_inverse=True)
+    root = np.arange(len(names))  # the component of each label, as far as links are known
+    n = np.array([len(x) for x in sets])
+    element, owner = np.concatenate(sets[:k]), np.repeat(np.arange(k), n[:k])
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], owner[order]
+    a = kept
+    while a < len(sets):
+        b, counted = a, 0
+        parts = []
+        while b < len(sets) and (b == a or ((b - a) * k < COUNTS and counted < COUNTS)):
+            lo, hi = np.searchsorted(element, sets[b]), np.searchsorted(element, sets[b], "right")
+            parts.append((lo, hi - lo))
+            counted += int((hi - lo).sum())
+            b += 1
+        many = np.concatenate([x[1] for x in parts])
+        before = np.cumsum(many) - many
+        row = np.repeat(np.repeat(np.arange(b - a), [len(x[1]) for x in parts]), many)
+        at = np.repeat(np.concatenate([x[0] for x in parts]) - before, many) + np.arange(len(row))
+        both = np.bincount(row * k + owner[at], minlength=(b - a) * k).reshape(b - a, k)
+        size = n[:k][None, :] + n[a:b][:, None]
+        linked = (both > 0) & ((NUM + DEN) * both >= NUM * size)
+        linked &= (np.arange(k)[None, :] < np.arange(a, b)[:, None]) & ((role[a:b, None] != PIVOT_ELSEWHERE) | (role[None, :k] == PIVOT))
+        for r in np.flatnonzero(linked.any(1)):
+            p = np.flatnonzero(linked[r])
+            met, first = np.unique(root[own[p]], return_index=True)
+            mine = root[own[a + r]]
+            fresh = met != mine
+            for q in p[first[fresh]].tolist():
+                yield base + q, base + a + int(r)
+            if fresh.any():
+                root[np.isin(root, met)] = mine
+        a = b
+
+
+def _compared(cells: DataFrame, docs: DataFrame, bitmaps: DataFrame, scratch: Scratch, step: int, cut: Shingling) -> DataFrame:
+    """The links that a comparison of cells finds, written."""
+    left = scratch.keep(_possible(cells, bitmaps).distinct(), f"possible-{step}")
+    texts = _texts(docs, id_filter(left.select("doc_id").distinct()))
+    links = scratch.keep(_linked(left, texts, cut).distinct(), f"links-{step}")
+    scratch.drop(f"possible-{step}")
     return links
 
 
-def _links(docs: DataFrame, nodes: DataFrame, bitmaps: DataFrame, total: int, scratch: Scratch, size: int) -> DataFrame | None:
+def _labelled(links: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, name)
+
+
+def _links(docs: DataFrame, nodes: DataFrame, bitmaps: DataFrame, total: int, scratch: Scratch, cut: Shingling) -> DataFrame:
     """node and component of the nodes that link with another."""
     wanted = id_filter(nodes)
-    rows = scratch.keep(_index_rows(docs, wanted, class_frequencies(docs, wanted, total, size), size), "index")
+    rows = scratch.keep(_index_rows(docs, wanted, class_frequencies(docs, wanted, total, cut), cut), "index")
+    # A bucket's hub is its first document that can be the smaller one of a pair. Without any, nothing links there.
     hub = F.min(F.when(F.col("small"), F.col("doc_id"))).alias("hub")
-    ends = [F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.min("n").alias("na"), F.max("n").alias("nb")]
-    keys = scratch.keep(rows.groupBy("key").agg(hub, *ends, F.count("*").alias("m")).filter("m > 1 and hub is not null and a != b"), "keys")
-    more = keys.filter("m > 2").select("key", "hub")
-    members = _filtered(rows, "key", id_filter(more.select("key"))).join(more, "key")
-    members = scratch.keep(members.select("key", "doc_id", "n", "small", "hub"), "members")
-    scratch.drop("index")
-    hubs = scratch.keep(members.filter("doc_id = hub").select(F.col("key").alias("h_key"), F.col("n").alias("h_n"), F.col("small").alias("h_small")).distinct(), "hubs")
-    star = members.filter("doc_id != hub").join(hubs, F.col("key") == F.col("h_key"))
-    star = star.filter(F.expr(f"{DEN} * least(n, h_n) >= {NUM} * greatest(n, h_n)")).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-    two = keys.filter(f"m = 2 and {DEN} * na >= {NUM} * nb").select("a", "b")
-    pending = scratch.keep(two.unionByName(star).groupBy("a", "b").agg(F.count("*").alias("c")), "pending")
-    scratch.drop("keys", "hubs")
-    members = members.select("key", "doc_id", "n", "small")
-    # First each document with the one hub that it meets in most buckets: that joins most of a large group.
-    best = pending.groupBy("b").agg(F.max(F.struct("c", (-F.col("a")).alias("a"))).alias("h"))
-    pairs = scratch.keep(best.select((-F.col("h.a")).alias("a"), "b").select(*_ordered()).distinct(), "pairs")
-    links = _links_among(docs, _possible(pairs, bitmaps), scratch, 0, size)
-    labels = connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "first", rounds=1)
-    # Then, of documents that are apart so far, the other hubs of each and all pairs within buckets.
-    apart = scratch.keep(_apart(pending.select(*_ordered()).distinct().join(pairs, ["a", "b"], "left_anti"), labels), "apart")
-    label = F.coalesce(F.col("component"), F.col("doc_id"))
-    tagged = members.join(labels, members["doc_id"] == labels["node"], "left").select("key", "doc_id", "n", "small", label.alias("label"))
-    tagged = scratch.keep(tagged, "tagged")
-    split = tagged.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m")).filter("lo != hi").select("key", "m")
-    split = scratch.keep(split, "split")
-    within = scratch.keep(_within(tagged.join(split, "key"), bitmaps, scratch).distinct(), "within")
-    more = _possible(apart, bitmaps).unionByName(within).distinct()
-    links = links.unionByName(_links_among(docs, more, scratch, 1, size))
-    return connected_components(links.select(F.col("a").alias("u"), F.col("b").alias("v")), scratch, "last")
-
-
-def _within(members: DataFrame, bitmaps: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of one bucket (key, m: its size) in different components that prefixes, sizes and bitmaps do not rule out.
-
-    Members of a bucket are compared in their task, in blocks; only what is left comes out. A bucket over BLOCK members
-    is dealt into blocks, and each pair of blocks is a cell of its own.
+    keys = rows.groupBy("key").agg(hub, F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).filter("hub is not null and a != b").select("key", "hub")
+    keys = scratch.keep(keys, "keys")
+    met = rows.join(keys, "key").groupBy("hub", "doc_id").agg(F.count("*").alias("c"), F.max("n").alias("n"))
+    met = scratch.keep(met, "met")
+    scratch.drop("index", "keys")
+    # First each document with the hub that it meets in most buckets: that joins most of a large group.
+    best = met.filter("doc_id != hub").groupBy("doc_id").agg(F.max(F.struct("c", (-F.col("hub")).alias("h"))).alias("best"))
+    best = best.select((-F.col("best.h")).alias("hub"), "doc_id")
+    members = best.select("hub", "doc_id", F.lit(False).alias("pivot"))
+    stars = members.unionByName(best.select("hub", F.col("hub").alias("doc_id"), F.lit(True).alias("pivot")).distinct())
+    sizes = best.groupBy("hub").agg(F.ceil(F.count("*") / PIVOTS).cast("int").alias("salts"))
+    stars = stars.join(sizes, "hub").withColumn("label", F.col("doc_id"))
+    links = _compared(_cells(stars), docs, bitmaps, scratch, 0, cut)
+    # Then, in groups that are still apart, pivots with all members, until the members left are in one component.
+    labels = _labelled(links, scratch, "labels-0")
+    step = 0
+    while True:
+        step += 1
+        groups = _apart(met, labels, step)
+        groups = scratch.keep(groups, f"groups-{step}")
+        scratch.drop("met" if step == 1 else f"groups-{step - 1}")
+        if groups.isEmpty():
+            scratch.drop(f"groups-{step}")
+            return labels
+        links = links.unionByName(_compared(_cells(groups), docs, bitmaps, scratch, step, cut))
+        met = groups.filter("not pivot").select("hub", "doc_id", "n")
+        labels = _labelled(links, scratch, f"labels-{step}")
+
+
+def _apart(met: DataFrame, labels: DataFrame, step: int) -> DataFrame:
+    """The members (hub, doc_id, n) of groups in different components, with label, pivot and the group's number of cells.
+
+    Members outside the hub's component are drawn as pivots: all of them, or about as many as PIVOTS and PIVOT_SHINGLES allow.
     """
-    blocks = F.ceil(F.col("m") / BLOCK).cast("int")
-    own = F.pmod(F.xxhash64("doc_id"), blocks).cast("int")
-    placed = members.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    placed = placed.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "doc_id", "n", "small", "label")
-    bits = bitmaps.select(F.col("doc_id").alias("b_id"), "bits")
-    held = placed.join(bits, F.col("doc_id") == F.col("b_id")).drop("b_id")
-    dealt = held.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j").select("key", "i", "j", "own", "doc_id", "n", "small", "label", "bits")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for batch in batches:
-            table = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
-            cell = np.stack([table.column(c).to_numpy().astype(np.int64) for c in ("key", "i", "j")])
-            edges = np.flatnonzero((cell[:, 1:] != cell[:, :-1]).any(0)) + 1
-            edges = [0, *edges.tolist()]
-            for a, b in zip(edges[:-1], edges[1:], strict=True):
-                yield from _compare(table.slice(a, b - a))
-            rest = table.slice(edges[-1])  # its cell may go on in the next batch
-        if rest is not None:
-            yield from _compare(rest)
-
-    return dealt.mapInArrow(run, "a long, b long")
-
-
-def _compare(cell: pa.Table) -> Iterator[pa.RecordBatch]:
-    """Possible pairs among the rows of one cell."""
-    doc, n, label, own = (cell.column(c).to_numpy() for c in ("doc_id", "n", "label", "own"))
-    if len(doc) < 2 or (label == label[0]).all():
-        return
-    small = cell.column("small").to_numpy()
-    bits = [np.frombuffer(x.as_buffer(), np.uint64) for x in cell.column("bits")]
-    size = np.array([len(x) for x in bits])
-    across = cell.column("i")[0].as_py() != cell.column("j")[0].as_py()
-    for a in range(0, len(doc), 256):
-        x = np.arange(a, min(a + 256, len(doc)))[:, None]
-        y = np.arange(len(doc))[None, :]
-        first = (n[x] < n[y]) | ((n[x] == n[y]) & (doc[x] < doc[y]))
-        ok = first & small[x] & (label[x] != label[y]) & (DEN * n[x] >= NUM * n[y])
-        if across:
-            ok &= own[x] != own[y]
-        p, q = np.nonzero(ok)
-        p += a
-        for s in np.unique(np.minimum(size[p], size[q])):
-            at = np.flatnonzero(np.minimum(size[p], size[q]) == s)
-            used = np.unique(np.concatenate([p[at], q[at]]))
-            folded = np.stack([fold(bits[k], s) for k in used])
-            for c in range(0, len(at), 4096):
-                u, v = p[at[c : c + 4096]], q[at[c : c + 4096]]
-                distance = np.bitwise_count(folded[np.searchsorted(used, u)] ^ folded[np.searchsorted(used, v)]).sum(1)
-                left = distance <= most_distance(n[u], n[v])
-                if left.any():
-                    u, v = doc[u[left]], doc[v[left]]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(u, v)), pa.array(np.maximum(u, v))], ["a", "b"])
-
-
-def _apart(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose documents have different labels, or none."""
-    la = labels.select(F.col("node").alias("a"), F.col("component").alias("la"))
-    lb = labels.select(F.col("node").alias("b"), F.col("component").alias("lb"))
-    return pairs.join(la, "a", "left").join(lb, "b", "left").filter(F.coalesce("la", "a") != F.coalesce("lb", "b")).select("a", "b")
-
-
-def _ordered(x: str = "a", y: str = "b") -> list:
-    """Columns a < b of a pair."""
-    return [F.least(x, y).alias("a"), F.greatest(x, y).alias("b")]
+    tagged = met.join(labels, met["doc_id"] == labels["node"], "left").select("hub", "doc_id", "n", F.coalesce("component", "doc_id").alias("label"))
+    named = labels.select(F.col("node").alias("h_node"), F.col("component").alias("h_component"))
+    tagged = tagged.join(named, F.col("hub") == F.col("h_node"), "left").withColumn("out", F.col("label") != F.coalesce("h_component", "hub"))
+    sizes = tagged.groupBy(F.col("hub").alias("g_hub")).agg(
+        F.min("label").alias("lo"), F.max("label").alias("hi"), F.count("*").alias("m"), F.count_if("out").alias("u"), F.sum(F.when(F.col("out"), F.col("n"))).alias("un")
+    )
+    share = F.least(F.lit(1.0), F.greatest(1 / F.col("u"), F.least(PIVOTS / F.col("u"), PIVOT_SHINGLES / F.col("un"))))
+    sizes = sizes.filter("lo != hi").select("g_hub", share.alias("share"), F.ceil(F.col("m") / PIVOTS).cast("int").alias("salts"))
+    draw = F.pmod(F.xxhash64(F.lit(step), "hub", "doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    rows = tagged.join(sizes, F.col("hub") == F.col("g_hub"))
+    return rows.select("hub", "doc_id", "n", "label", (F.col("out") & (draw < F.col("share"))).alias("pivot"), "salts")
 
 
 def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
@@ -459,16 +569,17 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     document for reachability; a null doc_id has null component and class, and no links. An empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "ngram-join")
+    cut = Shingling(size, secrets.randbits(64))  # words that share digests cannot be prepared
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     known = source.filter("doc_id is not null")
     unknown = source.filter("doc_id is null")
-    signed = scratch.keep(_signatures(known, size), "signatures")
+    signed = scratch.keep(_signatures(known, cut), "signatures")
     classes = signed.filter("n > 0").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("class_id"))
     classes = scratch.keep(classes, "classes")
     total = classes.agg(F.sum("n")).first()[0] or 0
     rows = signed.join(classes, ["n", "s1", "s2"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"))
     if total:
-        labels = _links(known, classes.select("class_id"), signed.select("doc_id", "n", "bits").filter("n > 0"), total, scratch, size)
+        labels = _links(known, classes.select("class_id"), signed.select("doc_id", "n", "bits").filter("n > 0"), total, scratch, cut)
         # An id with several rows joins the classes of all of them.
         several = rows.groupBy("doc_id").agg(F.min("class_id").alias("lo"), F.max("class_id").alias("hi")).filter("lo != hi")
         if not several.isEmpty():
@@ -481,7 +592,7 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
     if unknown.isEmpty():
         return out
     nothing = F.lit(None).cast("long")
-    extra = _signatures(unknown, size).select("doc_id", F.col("n").alias("n_shingles"), nothing.alias("component_id"), nothing.alias("class_id"))
+    extra = _signatures(unknown, cut).select("doc_id", F.col("n").alias("n_shingles"), nothing.alias("component_id"), nothing.alias("class_id"))
     return out.unionByName(extra)
 
 

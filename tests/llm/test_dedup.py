@@ -2,6 +2,7 @@ import random
 
 import brute
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -73,13 +74,56 @@ def corpus(seed, n=220):
 
 
 def test_near_groups_equal_brute_force(docs_of, monkeypatch):
-    for seed, frequent, block in ((1, 50, 1024), (2, 3, 4), (3, 1, 1)):
+    for seed, frequent, pivots, small in ((1, 50, 1024, 1 << 18), (2, 3, 16, 5), (3, 1, 6, 1)):
         monkeypatch.setattr(ngram_join, "FREQUENT", frequent)
-        monkeypatch.setattr(ngram_join, "BLOCK", block)
+        monkeypatch.setattr(ngram_join, "PIVOTS", pivots)
+        for name in ("PAIRS", "COUNTS", "TEXT"):
+            monkeypatch.setattr(ngram_join, name, small)
         rows = corpus(seed)
         assert rows_of(ngram_join.near_duplicate_groups(docs_of(rows)), *NEAR) == brute.near(rows)
 
 
+def test_links_are_of_words(docs_of, monkeypatch):
+    """Neither words that polynomial digests confuse nor any other collisions link documents."""
+    word = brute.thue_morse(1024)
+    rows = [(1, word), (2, word.translate(str.maketrans("ab", "ba"))), (3, word.upper()), (4, f"{word} x y z q r s")]
+    assert rows_of(ngram_join.near_duplicate_groups(docs_of(rows)), *NEAR) == brute.near(rows)
+    texts = ["a b c d e f g", "h i j k l m n", "a b c d e f q", "", "x", "y z"]
+    want = [{tuple(t.split()[k : k + 5]) for k in range(max(1, len(t.split()) - 4))} if t else set() for t in texts]
+    real, real_shingles = ngram_join.B.digests, ngram_join.B.shingles
+    for change in ({"digests": lambda *a: real(*a) % np.uint64(3)}, {"shingles": lambda *a: real_shingles(*a) % np.uint64(4)}, {}):
+        with monkeypatch.context() as m:
+            for name, f in change.items():
+                m.setattr(ngram_join.B, name, f)
+            sets = ngram_join.Shingling().exact_sets(pa.array(texts))
+        assert [len(s) for s in sets] == [len(s) for s in want]
+        assert [[len(np.intersect1d(a, b)) for b in sets] for a in sets] == [[len(a & b) for b in want] for a in want]
+
+
+def test_a_large_group_that_does_not_link_to_its_hub(spark, docs_of, monkeypatch):
+    """Near copies of one text, most of them over the threshold apart, in chains; the rows that comparisons make follow their number."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(60)]
+    rows, text = [], base
+    for i in range(5000):
+        text = list(text if i % 10 else base)
+        for k in rng.sample(range(60), 1 if i % 10 else 2):
+            text[k] = f"e{i}"
+        rows.append((i, " ".join(text)))
+    want = brute.near_by_index(rows)
+    assert 400 < len({c for _, _, c in want}) < 4000
+    made, keep = [], Scratch.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        made.extend([out.count()] * name.startswith(("possible", "links-", "groups")))
+        return out
+
+    monkeypatch.setattr(Scratch, "keep", counted)
+    assert rows_of(ngram_join.near_duplicate_groups(docs_of(rows)), *NEAR) == want
+    assert max(made) <= 60 * len(rows)
+
+
 def test_near_duplicates_leave_one_of_each(docs_of):
     rows = corpus(4, 60)
     kept = {r["doc_id"] for r in ngram_join.keep_one_of_each(docs_of(rows)).collect()}
