@@ -7,17 +7,19 @@ prefix shingles only; a match fixes where the window would lie (positional bound
 must be inside the document (length bound); then the words themselves are compared.
 
 Both passes over the documents are narrow: no document text is shuffled. The benchmark's
-shingles go with the tasks in blocks of at most BLOCK_SHINGLES; a larger benchmark takes
-more passes, never a larger broadcast.
+windows go with the tasks in blocks of at most BLOCK_WINDOWS, one block at a time; a larger benchmark takes
+more passes over the documents, never a larger broadcast, and gives the same rows.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -27,8 +29,8 @@ from inkveil.llm.shared import Scratch
 WINDOW = 10
 SHINGLE = 5
 
-#: Windows of one pass; a pass ships about 100 bytes for each.
-BLOCK_SHINGLES = 200_000
+#: Windows of one pass; a pass ships about 200 bytes for each. The windows of a long item may lie in several blocks.
+BLOCK_WINDOWS = 200_000
 
 
 @dataclass
@@ -53,23 +55,21 @@ class Windows:
         return out
 
 
-def item_windows(rows: list, window: int) -> Windows:
-    """rows: (item_id, text) of one block."""
-    owner, text, word = [], [], []
-    for item, content in rows:
-        low = B.LOWER[np.frombuffer((content or "").encode(), np.uint8)]
-        offsets = np.array([0, len(low)], np.int64)
-        starts, ends, _ = B.words(low, offsets, B.ALNUM)
-        digest = B.digests(low, starts, ends)
-        n = min(window, len(starts))
-        for a in range(len(starts) - n + 1 if n else 0):
-            owner.append("" if item is None else str(item))
-            text.append(b" ".join(low[starts[k] : ends[k]].tobytes() for k in range(a, a + n)))
-            word.append(digest[a : a + n])
-    padded = np.zeros((len(word), window), np.uint64)
-    for i, w in enumerate(word):
+def item_windows(content: str | None, window: int) -> Iterator[tuple[bytes, np.ndarray]]:
+    """Of one item's text: each window's words (joined by a space) and their digests."""
+    low = B.LOWER[np.frombuffer((content or "").encode(), np.uint8)]
+    starts, ends, _ = B.words(low, np.array([0, len(low)], np.int64), B.ALNUM)
+    digest = B.digests(low, starts, ends)
+    n = min(window, len(starts))
+    for a in range(len(starts) - n + 1 if n else 0):
+        yield b" ".join(low[starts[k] : ends[k]].tobytes() for k in range(a, a + n)), digest[a : a + n]
+
+
+def _block(rows: list[tuple[str, bytes, np.ndarray]], window: int) -> Windows:
+    padded = np.zeros((len(rows), window), np.uint64)
+    for i, (_, _, w) in enumerate(rows):
         padded[i, : len(w)] = w
-    return Windows(owner, text, padded, np.array([len(w) for w in word], np.int64))
+    return Windows([r[0] for r in rows], [r[1] for r in rows], padded, np.array([len(r[2]) for r in rows], np.int64))
 
 
 def _run_shingles(digest: np.ndarray, first: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +138,8 @@ class Index:
 
 def build_index(docs: DataFrame, windows: Windows) -> Index:
     """Orders each window's shingles by rarity over docs and indexes the rarest one."""
+    if not windows.owner:
+        return Index(np.zeros(1, np.uint64), np.zeros(2, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], windows)
     table, lengths, sizes = windows.shingles(), windows.length, windows.sizes()
     valid = np.arange(table.shape[1])[None, :] <= (lengths - sizes)[:, None]
     known = np.unique(table[valid])
@@ -184,15 +186,18 @@ def find(index: Index, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarra
     return np.diff(first), start[exact], window[exact]
 
 
-def _scan(docs: DataFrame, index: Index, kind: str) -> DataFrame:
-    """Per row of docs: doc_id, n_words, spans of hit words (begin, end; merged, ascending) and item ids found."""
-    shipped = docs.sparkSession.sparkContext.broadcast(index)
+SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+
+
+def _scan(docs: DataFrame, shipped: Broadcast) -> DataFrame:
+    """Per row of docs (text last): its other columns, n_words, spans of hit words (begin, end; merged, ascending) and item ids found."""
+    others = docs.columns[:-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = shipped.value
         owner = np.array(table.windows.owner, object)
         for batch in batches:
-            data, offsets = B.column_bytes(batch.column(1))
+            data, offsets = B.column_bytes(batch.column(len(others)))
             for i, j in B.runs(offsets):
                 n_words, start, window = find(table, data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
                 first = np.r_[0, np.cumsum(n_words)]
@@ -208,62 +213,64 @@ def _scan(docs: DataFrame, index: Index, kind: str) -> DataFrame:
                     fresh = np.r_[True, s[1:] > e[:-1]]
                     spans[d] = [{"begin": int(x), "end": int(y)} for x, y in zip(s[fresh], e[np.r_[np.flatnonzero(fresh)[1:] - 1, len(e) - 1]], strict=True)]
                     items[d] = sorted(set(owner[window[own]]))
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(i, j - i), pa.array(n_words.astype(np.int64)), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))], ["doc_id", "n_words", "spans", "items"]
-                )
+                found = [pa.array(n_words.astype(np.int64)), pa.array(spans, SPANS), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, j - i) for k in range(len(others))), *found], [*others, "n_words", "spans", "items"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_words long, spans array<struct<begin:long,end:long>>, items array<string>")
-
-
-SPANS = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
+    kinds = "".join(f"`{c}` {docs.schema[c].dataType.simpleString()}, " for c in others)
+    return docs.mapInArrow(run, f"{kinds}n_words long, spans array<struct<begin:long,end:long>>, items array<string>")
 
 
 def _blocks(items: DataFrame, window: int) -> Iterator[Windows]:
-    """The benchmark's windows in blocks; the driver holds one block at a time."""
-    rows: list = []
-    size = 0
+    """The benchmark's windows in blocks, at least one; the driver makes one at a time."""
+    rows: list[tuple[str, bytes, np.ndarray]] = []
+    any_yet = False
     for r in items.toLocalIterator():
-        words = len((r["text"] or "").split()) + 1
-        if rows and size + words > BLOCK_SHINGLES:
-            yield item_windows(rows, window)
-            rows, size = [], 0
-        rows.append((r["item_id"], r["text"]))
-        size += words
-    yield item_windows(rows, window)
+        for text, digest in item_windows(r["text"], window):
+            if len(rows) == BLOCK_WINDOWS:
+                yield _block(rows, window)
+                rows, any_yet = [], True
+            rows.append(("" if r["item_id"] is None else str(r["item_id"]), text, digest))
+    if rows or not any_yet:
+        yield _block(rows, window)
 
 
 def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Per row of docs: doc_id, n_words, spans (word ranges covered by occurrences of windows) and items (ids as sorted strings).
 
     Null and empty texts have no words and no hits; items without words have no windows; repeated items
-    count once; a null item id is written as the empty string. Rows with the same doc_id are
-    scanned one by one if the benchmark fits one block, and are merged by id otherwise.
+    count once; a null item id is written as the empty string. Every row of docs gives one row, also where ids repeat or are
+    null, however many blocks the benchmark takes: with more than one, rows are numbered in a written table and what the blocks find is
+    put together by that number. Empty tables give no rows, or rows without hits. Other columns are not read.
     """
     source = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
-    kind = docs.schema[id_col].dataType.simpleString()
+    context = docs.sparkSession.sparkContext
+    blocks = _blocks(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), window)
+    block, following = next(blocks), next(blocks, None)
+    if following is None:
+        return _scan(source, context.broadcast(build_index(source, block)))
     scratch = Scratch(docs.sparkSession, "decontaminate")
+    numbered = scratch.keep(source.select(F.monotonically_increasing_id().alias("row"), "doc_id", "text"), "numbered")
     found: list[DataFrame] = []
-    for windows in _blocks(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), window):
-        if not windows.owner:
-            index = Index(np.zeros(1, np.uint64), np.zeros(2, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64), [], item_windows([], window))
-        else:
-            index = build_index(source, windows)
-        found.append(_scan(source, index, kind))
-    if len(found) == 1:
-        return found[0]
-    kept = [scratch.keep(x, f"block-{k}") for k, x in enumerate(found)]
-    union = kept[0]
-    for x in kept[1:]:
-        union = union.unionByName(x)
-    merged = union.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
-    return merged.withColumn("spans", _merge_spans())
+    for k, windows in enumerate(itertools.chain([block, following], blocks)):
+        shipped = context.broadcast(build_index(numbered, windows))
+        rows = _scan(numbered, shipped)
+        found.append(scratch.keep(rows if k == 0 else rows.filter("size(spans) > 0"), f"block-{k}"))
+        shipped.destroy()
+    scratch.drop("numbered")
+    hits = found[0].filter("size(spans) > 0")
+    for x in found[1:]:
+        hits = hits.unionByName(x)
+    merged = hits.groupBy("row").agg(F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    merged = merged.select(F.col("row").alias("m_row"), _merge_spans().alias("spans"), "items")
+    rows = found[0].select("row", "doc_id", "n_words").join(merged, F.col("row") == F.col("m_row"), "left")
+    none = [F.coalesce(c, F.array().cast(merged.schema[c].dataType)).alias(c) for c in ("spans", "items")]
+    return rows.select("doc_id", "n_words", *none)
 
 
 def _merge_spans():
-    """Overlapping spans as one, in DataFrame functions."""
-    start = F.expr("array_sort(spans)")
+    """Overlapping and adjoining spans as one, in DataFrame functions."""
     return F.aggregate(
-        start,
+        F.array_sort("spans"),
         F.expr("cast(array() as array<struct<begin:bigint,end:bigint>>)"),
         lambda acc, x: F.when(
             (F.size(acc) > 0) & (F.element_at(acc, -1)["end"] >= x["begin"]),
@@ -290,12 +297,12 @@ def report(found: DataFrame) -> DataFrame:
 
 def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """The rows of docs, with all their columns, in which no benchmark window occurs. Rows are dropped where they
-    are read; nothing is shuffled but counts. Null and empty texts stay."""
+    are read; nothing is shuffled but counts. What a block leaves is written, and the next block reads it. Null and empty texts stay, and
+    repeated rows are judged one by one; empty tables give no rows, or all of docs."""
     place = docs.columns.index(text_col)
+    context, schema = docs.sparkSession.sparkContext, docs.schema
 
-    def without(rows: DataFrame, index: Index) -> DataFrame:
-        shipped = rows.sparkSession.sparkContext.broadcast(index)
-
+    def without(rows: DataFrame, shipped: Broadcast) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 data, offsets = B.column_bytes(batch.column(place))
@@ -305,10 +312,15 @@ def clean(docs: DataFrame, items: DataFrame, window: int = WINDOW, text_col: str
                     keep[np.searchsorted(np.r_[0, np.cumsum(n_words)], start, "right") - 1] = False
                     yield batch.slice(i, j - i).filter(pa.array(keep))
 
-        return rows.mapInArrow(run, docs.schema)
-
-    out = docs
-    for windows in _blocks(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), window):
-        if windows.owner:
-            out = without(out, build_index(docs.select(F.col(text_col).alias("text")), windows))
-    return out
+        return rows.mapInArrow(run, schema)
+
+    blocks = _blocks(items.select(F.col(item_id).alias("item_id"), F.col(item_text).alias("text")), window)
+    block, scratch, k = next(blocks), Scratch(docs.sparkSession, "decontaminate"), 0
+    for following in blocks:
+        shipped = context.broadcast(build_index(docs.select(F.col(text_col).alias("text")), block))
+        docs = scratch.keep(without(docs, shipped), f"left-{k}")
+        shipped.destroy()
+        if k:
+            scratch.drop(f"left-{k - 1}")
+        block, k = following, k + 1
+    return without(docs, context.broadcast(build_index(docs.select(F.col(text_col).alias("text")), block))) if block.owner else docs

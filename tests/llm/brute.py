@@ -67,7 +67,7 @@ def contaminated(docs, items, size=10):
         w = word.findall(lower(t))
         n = min(size, len(w))
         windows |= {(i, tuple(w[k : k + n])) for k in range(len(w) - n + 1) if n}
-    out = set()
+    out = []
     for d, t in docs:
         w = word.findall(lower(t))
         hit, found = set(), set()
@@ -76,7 +76,7 @@ def contaminated(docs, items, size=10):
                 if tuple(w[k : k + len(g)]) == g:
                     hit |= set(range(k, k + len(g)))
                     found.add("" if i is None else str(i))
-        out.add((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
+        out.append((d, len(w), len(hit), len(found), hashlib.sha256(",".join(sorted(found)).encode()).hexdigest(), bool(hit)))
     return out
 
 

@@ -6,6 +6,7 @@ import pytest
 from compare import connect, same
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from inkveil.llm import chat, decontaminate, langid, licenses, quality, queries
@@ -77,13 +78,15 @@ def test_contamination_equals_brute_force(spark, docs_of, hard, monkeypatch):
     rows = [r for r in hard if len(r[1] or "") < 100_000] + [
         (50, "x " + ITEMS[0][1].upper() + " y"), (51, "beta gamma delta epsilon zeta eta theta iota kappa lambda-mu? nu"), (52, "a short, item. and SHORT\nitem"), (53, "beta gamma delta epsilon zeta eta theta iota kappa"), (54, " ".join(["one"] * 30)), (55, None), (56, "shortitem"),
     ]
+    rows += [(50, "nothing"), (None, "null id item here"), (None, "one"), (None, None), (50, "x short item")]  # repeated and null ids
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
-    for block in (200_000, 6):
-        monkeypatch.setattr(decontaminate, "BLOCK_SHINGLES", block)
+    want = brute.contaminated(rows, ITEMS)
+    for block in (200_000, 3, 1):
+        monkeypatch.setattr(decontaminate, "BLOCK_WINDOWS", block)
         found = decontaminate.report(decontaminate.contamination(docs_of(rows), items))
-        assert {tuple(r) for r in found.select(*NAMES).collect()} == brute.contaminated(rows, ITEMS)
-        left = {r["doc_id"] for r in decontaminate.clean(docs_of(rows), items).collect()}
-        assert left == {r[0] for r in brute.contaminated(rows, ITEMS) if not r[5]}
+        assert sorted(map(str, found.select(*NAMES).toLocalIterator())) == sorted(str(Row(**dict(zip(NAMES, r, strict=True)))) for r in want)
+        left = sorted((str(r["doc_id"]), str(r["text"])) for r in decontaminate.clean(docs_of(rows), items).collect())
+        assert left == sorted((str(i), str(t)) for (i, t), r in zip(rows, want, strict=True) if not r[5])
 
 
 def test_contamination_without_items_or_documents(spark, docs_of, hard):
