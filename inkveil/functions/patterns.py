@@ -1,7 +1,7 @@
-"""Identifier patterns from one definition in two dialects.
+"""Identifier patterns.
 
-Spark runs Java expressions, whose word boundary takes any Unicode letter for a word character; the identifiers
-are defined with the ASCII boundary. `boundary` writes it out for Java; RE2 (DuckDB) has it as it is.
+Java's word boundary takes any Unicode letter for a word character and its white space is ASCII's; the identifiers
+are defined with the ASCII boundary and Unicode's white space, so both are written out.
 """
 
 from __future__ import annotations
@@ -48,26 +48,13 @@ CATEGORIES = [
 ALL_TYPES = [*PATTERNS, "date", "custom"]
 
 
-def _any_case(word: str) -> str:
-    return "".join(f"[{c.upper()}{c}]" for c in word)
-
-
-def source(kind: str) -> str:
-    """The pattern of a category with ASCII semantics; `date` is that of `dob`."""
-    months = "|".join(sorted(map(_any_case, MONTHS), key=len, reverse=True))
-    return PATTERNS["dob" if kind == "date" else kind].replace("<month>", f"(?:{months})")
-
-
-def re2(kind: str) -> str:
-    """White space spelled out, inside character classes and outside."""
-    white = r" \t\n\r\f\x0b"
-    return source(kind).replace(r"[\s", f"[{white}").replace(r"\s", f"[{white}]")
-
-
 def java(kind: str) -> str:
-    """With the boundary written out. Every pattern ends in a letter or digit, and most begin with one; there, one look suffices."""
+    """The pattern of a category (`date` is that of `dob`). Every pattern ends in a letter or digit, and most begin with one; there, one
+    look suffices for the boundary. Month names match ASCII letters of either case."""
     start = ASCII_BOUNDARY if kind in ("phone", "email") else r"(?<![A-Za-z0-9_])"
-    return start + re2(kind).removeprefix(r"\b").removesuffix(r"\b") + r"(?![A-Za-z0-9_])"
+    body = PATTERNS["dob" if kind == "date" else kind].removeprefix(r"\b").removesuffix(r"\b")
+    body = body.replace("<month>", f"(?i:{'|'.join(MONTHS)})").replace(r"[\s", f"[{T.WHITE_CLASS}").replace(r"\s", T.WHITE)
+    return start + body + r"(?![A-Za-z0-9_])"
 
 
 def has(kind: str, raw: Column, fuzzy: Column, clean: Column) -> Column:
@@ -76,9 +63,10 @@ def has(kind: str, raw: Column, fuzzy: Column, clean: Column) -> Column:
     return raw.rlike(p) | fuzzy.rlike(p) | clean.rlike(p)
 
 
-#: Five characters that are digits or taken for them.
-_LIKE = "[0-9OoIlSB|]"
-FIVE_DIGITS = f"{_LIKE}(?:[^0-9OoIlSB|]*{_LIKE}){{4}}"
+#: Five characters that are digits or taken for them; the same within one word.
+_LIKE, _OTHER = "[0-9OoIlSB|]", "0-9OoIlSB|"
+FIVE_DIGITS = f"{_LIKE}(?:[^{_OTHER}]*{_LIKE}){{4}}"
+FIVE_IN_A_WORD = f"{_LIKE}(?:[^{_OTHER}{T.WHITE_CLASS}]*{_LIKE}){{4}}"
 
 
 def worth_matching(token: Column) -> Column:
@@ -86,9 +74,17 @@ def worth_matching(token: Column) -> Column:
     return (F.length(token) >= 5) & (token.contains("@") | token.rlike(FIVE_DIGITS))
 
 
+def worth_reading(text: Column) -> Column:
+    """Necessary for a text to have a word that is worth matching."""
+    return text.contains("@") | text.rlike(FIVE_IN_A_WORD)
+
+
 def categories(token: Column) -> Column:
     """The token's categories in their fixed order; empty for null, empty and noise tokens."""
-    fuzzy, clean = T.fuzzy_digits(token), T.clean_text(token)
-    found = F.array_compact(F.array(*[F.when(has(kind, token, fuzzy, clean), F.lit(kind)) for kind, _ in CATEGORIES]))
+
+    def of(forms: Column) -> Column:
+        return F.array_compact(F.array(*[F.when(has(kind, token, forms["fuzzy"], forms["clean"]), F.lit(kind)) for kind, _ in CATEGORIES]))
+
+    found = T.let(F.struct(T.fuzzy_digits(token).alias("fuzzy"), T.clean_text(token).alias("clean")), of)
     none = F.array().cast("array<string>")
     return F.when(token.isNull() | (token == "") | T.is_noise(token) | ~worth_matching(token), none).otherwise(found)

@@ -2,17 +2,27 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Character classes and names, as results must equal them.
-WHITE = r"[ \t\n\r\f\x0b]"
+WHITE_CLASS = r"\t\n\x0b\x0c\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
 WIDE_WHITE = "\t\n\x0b\x0c\r \xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 CLEANED = "[\"'“”:=;,./#()\\\\\\]^_]"
 NOISE = r"\A[-_~—|•*#:=;,.\\/]+\z"
 COLOURS = {"#000000": "Black", "#ffffff": "White", "#374151": "Grey", "#1e3a8a": "Navy", "#b91c1c": "Red"}
 DEFAULT_COLOUR = "Black"
 
+#: One white-space character, Unicode's included.
+WHITE = f"[{WHITE_CLASS}]"
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value computed once however often body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
 
 def fuzzy_digits(text: Column) -> Column:
     """Letters that scanners take for digits, as digits."""
@@ -35,7 +45,7 @@ def wide_trim(text: Column) -> Column:
 
 def contains_query(text: Column, query: str | None) -> Column:
     """Case-insensitive containment; a blank query matches nothing."""
-    q = (query or "").strip().lower()
+    q = (query or "").strip(WIDE_WHITE).lower()
     return F.lower(text).contains(q) if q else F.lit(False)
 
 

@@ -13,24 +13,64 @@ LINE_SLACK = 22
 
 
 #: A token with four digits, which every year is once other characters are dropped.
-FOUR_DIGITS = "[0-9]" + "[^0-9 \\t\\n\\r\\f\\x0b]*[0-9]" * 3
+FOUR_DIGITS = "[0-9]" + f"[^0-9{T.WHITE_CLASS}]*[0-9]" * 3
 
 
-def _line_parts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    lines = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(F.split(F.col(text_col), "\n")).alias("line", "s"))
-    parts = lines.select("doc_id", "line", F.posexplode(F.split("s", T.WHITE + "+")).alias("place", "text"))
-    return parts.filter("text != ''")
+def _words(text: Column) -> Column:
+    """The words of a plain text, without blank and noise tokens: an array of line, place (among the parts of the line) and text."""
 
+    def of_line(line: Column, number: Column) -> Column:
+        return F.transform(F.split(line, T.WHITE + "+"), lambda t, place: F.struct(number.alias("line"), place.alias("place"), t.alias("text")))
 
-def line_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Words of plain-text documents, without blank and noise tokens: doc_id, line, place (in the line), text. Narrow."""
-    return _line_parts(docs, id_col, text_col).filter(~T.is_noise(F.col("text")))
+    return F.filter(F.flatten(F.transform(F.split(text, "\n"), of_line)), lambda w: (w["text"] != "") & ~T.is_noise(w["text"]))
 
 
 def document_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """line_words with word_index, their number within the document from 0: one exchange by document."""
-    n = F.row_number().over(Window.partitionBy("doc_id").orderBy("line", "place")) - 1
-    return line_words(docs, id_col, text_col).withColumn("word_index", n)
+    """Words of plain-text documents: doc_id, word_index (from 0), line, place, text. Narrow."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.posexplode(_words(F.col(text_col))).alias("word_index", "w"))
+    return rows.select("doc_id", "word_index", "w.line", "w.place", "w.text")
+
+
+def _split_dates(words: Column) -> Column:
+    """Places in an array of words at which a date of three words begins. Lines are LINE_SLACK apart, so its words are on one line."""
+
+    def head(i: Column) -> Column:
+        w = [F.get(words, i + k) for k in range(3)]
+        parts = T.is_year(w[2]["text"]) & T.is_day(w[0]["text"]) & T.is_month(w[1]["text"])
+        return (w[0]["line"] == w[2]["line"]) & parts
+
+    none = F.array().cast("array<int>")
+    return F.when(F.size(words) >= 3, F.filter(F.sequence(F.lit(0), F.size(words) - 3), head)).otherwise(none)
+
+
+def hits(text: Column) -> Column:
+    """The sensitive words of a plain text: an array of word_index, line, place, text, own (the word's categories) and categories (also dob, if it is
+    part of a split date). It is one expression on the row, so documents are never taken apart and put together."""
+
+    def of_words(words: Column) -> Column:
+        none = F.array().cast("array<int>")
+        return T.let(F.when(text.rlike(FOUR_DIGITS), _split_dates(words)).otherwise(none), lambda heads: tagged(words, heads))
+
+    def tagged(words: Column, heads: Column) -> Column:
+        def tag(w: Column, i: Column) -> Column:
+            part = F.exists(heads, lambda h: (i >= h) & (i <= h + 2))
+            dated = F.when(part, F.array(F.lit("dob"))).otherwise(F.array().cast("array<string>"))
+            of = lambda own: F.struct(i.alias("word_index"), w["line"].alias("line"), w["place"].alias("place"), w["text"].alias("text"), own.alias("own"), in_order(F.array_union(own, dated)).alias("categories"))
+            return T.let(P.categories(w["text"]), of)
+
+        some = lambda w, i: P.worth_matching(w["text"]) | F.exists(heads, lambda h: (i >= h) & (i <= h + 2))
+        maybe = F.filter(F.transform(words, lambda w, i: F.when(some(w, i), tag(w, i))), lambda x: x.isNotNull())
+        return F.filter(maybe, lambda x: F.size(x["categories"]) > 0)
+
+    def in_order(found: Column) -> Column:
+        return F.filter(F.array(*[F.lit(k) for k, _ in P.CATEGORIES]), lambda k: F.array_contains(found, k))
+
+    return F.when(P.worth_reading(text) | text.rlike(FOUR_DIGITS), T.let(_words(text), of_words))
+
+
+def secrets(text: Column) -> Column:
+    """The distinct sensitive words of a plain text in order of their first occurrence; null if there cannot be any."""
+    return F.array_distinct(F.transform(F.filter(hits(text), lambda x: F.size(x["own"]) > 0), lambda x: T.wide_trim(x["text"])))
 
 
 def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -40,8 +80,8 @@ def tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep
 
 
 def tagged_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row per token and category. The prefilter, necessary for every pattern, leaves few tokens to match."""
-    some = tokens(docs, id_col, text_col, keep).filter(P.worth_matching(F.col("token")))
+    """One row per token and category. The prefilter, necessary for every pattern, leaves few texts and tokens to match."""
+    some = tokens(docs.filter(P.worth_reading(F.col(text_col))), id_col, text_col, keep).filter(P.worth_matching(F.col("token")))
     return some.select("doc_id", *keep, "pos", "token", F.explode(P.categories(F.col("token"))).alias("category"))
 
 
@@ -81,25 +121,29 @@ def word_categories(words: DataFrame) -> DataFrame:
 
 
 def document_hits(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line, place, category of plain-text documents: of single words, and of split dates (as dob).
-
-    Single words are tagged where they are read. Only documents with a token of four digits can hold a
-    year, so only those are dealt out and put in order for split dates.
-    """
-    some = _line_parts(docs, id_col, text_col).filter(P.worth_matching(F.col("text")))
-    single = some.select("doc_id", "line", "place", F.explode(P.categories(F.col("text"))).alias("category"))
-    dated = document_words(docs.filter(F.col(text_col).rlike(FOUR_DIGITS)), id_col, text_col)
-    dated = dated.withColumns({"page_index": F.lit(1), "y": F.col("line") * float(LINE_SLACK), "height": F.lit(0.0)})
-    dates = mark_split_dates(dated).filter("split_date").select("doc_id", "line", "place", F.lit("dob").alias("category"))
-    return single.unionByName(dates).distinct()
+    """doc_id, word_index, line, place, category of plain-text documents: of single words, and of split dates (as dob). Narrow; each row is
+    a document of its own, also where ids are null or repeat."""
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(hits(F.col(text_col))).alias("x"))
+    return rows.select("doc_id", "x.word_index", "x.line", "x.place", F.explode("x.categories").alias("category"))
 
 
 def document_word_categories(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """document_hits by word_index: doc_id, word_index, category. Only documents with hits are put in order."""
-    found = document_hits(docs, id_col, text_col)
-    hit = docs.join(found.select(F.col("doc_id").alias("__hit")).distinct(), F.col(id_col) == F.col("__hit"), "left_semi")
-    words = document_words(hit, id_col, text_col).select("doc_id", "line", "place", "word_index")
-    return words.join(found, ["doc_id", "line", "place"]).select("doc_id", "word_index", "category")
+    """document_hits without places: doc_id, word_index, category."""
+    return document_hits(docs, id_col, text_col).select("doc_id", "word_index", "category")
+
+
+def document_report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Per row of docs and category present: doc_id, ord, category, label, n_words, word_indices (ascending). Narrow."""
+
+    def of(found: Column) -> Column:
+        def entry(k: int, kind: str, label: str) -> Column:
+            at = F.transform(F.filter(found, lambda x: F.array_contains(x["categories"], kind)), lambda x: x["word_index"])
+            return F.struct(F.lit(k).alias("ord"), F.lit(kind).alias("category"), F.lit(label).alias("label"), at.alias("word_indices"))
+
+        return F.filter(F.array(*[entry(k, *c) for k, c in enumerate(P.CATEGORIES)]), lambda e: F.size(e["word_indices"]) > 0)
+
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.explode(T.let(hits(F.col(text_col)), of)).alias("e"))
+    return rows.select("doc_id", "e.ord", "e.category", "e.label", F.size("e.word_indices").cast("long").alias("n_words"), "e.word_indices")
 
 
 #: Words that announce a value beside or below them.
@@ -141,9 +185,6 @@ def category_report(found: DataFrame) -> DataFrame:
     return rows.join(F.broadcast(names), "category").select("doc_id", "ord", "category", "label", "n_words", "word_indices")  # nine rows
 
 
-def corpus_report(hits: DataFrame) -> DataFrame:
-    """Per category present in the corpus: ord, category, label, n_words, n_docs; from document_hits or word_categories."""
-    per_doc = hits.groupBy("doc_id", "category").agg(F.count("*").alias("n"))
-    rows = per_doc.groupBy("category").agg(F.sum("n").alias("n_words"), F.count("*").alias("n_docs"))
-    names = hits.sparkSession.createDataFrame([(k, kind, label) for k, (kind, label) in enumerate(P.CATEGORIES)], "ord int, category string, label string")
-    return rows.join(F.broadcast(names), "category").select("ord", "category", "label", "n_words", "n_docs")  # nine rows
+def corpus_report(reports: DataFrame) -> DataFrame:
+    """Per category present in the corpus: ord, category, label, n_words, n_docs; from document_report or category_report, pre-aggregated."""
+    return reports.groupBy("ord", "category", "label").agg(F.sum("n_words").alias("n_words"), F.count("*").alias("n_docs"))

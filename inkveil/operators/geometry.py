@@ -22,16 +22,40 @@ def item_bounds(items: DataFrame) -> DataFrame:
     return out.withColumns({"top": F.col("vy") - F.col("font_height") * 0.82, "line_height": F.col("font_height") * 1.08, "item_width": F.col("width") * s})
 
 
+def _before(lengths: Column, block: int = 64) -> Column:
+    """For each entry of an array of numbers the sum of those before it: within blocks, and over the sums of blocks of blocks, so a line of a hundred
+    thousand pieces costs some hundred additions for each."""
+
+    def total(x: Column) -> Column:
+        return F.aggregate(x, F.lit(0), lambda acc, n: acc + n)
+
+    def blocks(x: Column) -> Column:
+        return F.when(F.size(x) > 0, F.transform(F.sequence(F.lit(0), F.floor((F.size(x) - 1) / block).cast("int")), lambda b: F.slice(x, b * block + 1, F.lit(block)))).otherwise(F.array().cast("array<array<int>>"))
+
+    def sums(parts: Column, base: Column) -> Column:
+        return F.flatten(F.transform(parts, lambda part, b: F.transform(part, lambda _, i: F.get(base, b) + total(F.slice(part, 1, i)))))
+
+    def of(parts: Column) -> Column:
+        def over(totals: Column) -> Column:
+            outer = T.let(blocks(totals), lambda pp: sums(pp, F.transform(pp, lambda _, k: F.aggregate(F.slice(pp, 1, k), F.lit(0), lambda acc, x: acc + total(x)))))
+            return T.let(outer, lambda base: sums(parts, base))
+
+        return T.let(F.transform(parts, total), over)
+
+    return T.let(blocks(lengths), of)
+
+
 def word_boxes(items: DataFrame, keys: list[str]) -> DataFrame:
     """Words of text items with boxes: item (keys, str, vx, top, line_height, item_width) to word rows.
 
     Characters share the item's width evenly (no font metrics here). Boxes get a margin of 1.5 pixels at the
     sides and 1 above and below, and are rounded half up. Blank and noise tokens are left out, but count for places.
     """
-    pieces = F.posexplode(F.expr(r"regexp_extract_all(str, '[ \\t\\n\\r\\f\\x0b]+|[^ \\t\\n\\r\\f\\x0b]+', 0)")).alias("piece", "text")
-    cut = items.select(*keys, "vx", "top", "line_height", (F.col("item_width") / F.length("str")).alias("each"), pieces)
-    w = Window.partitionBy(*keys).orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
-    cut = cut.withColumn("at", F.coalesce(F.sum(F.length("text")).over(w), F.lit(0)))
+    white = F.lit(f"{T.WHITE}+|[^{T.WHITE_CLASS}]+")
+    found = F.regexp_extract_all("str", white, F.lit(0))
+    placed = T.let(found, lambda p: T.let(_before(F.transform(p, F.length)), lambda at: F.zip_with(p, at, lambda t, n: F.struct(t.alias("text"), n.alias("at")))))
+    cut = items.select(*keys, "vx", "top", "line_height", (F.col("item_width") / F.length("str")).alias("each"), F.posexplode(placed).alias("piece", "p"))
+    cut = cut.select(*keys, "vx", "top", "line_height", "each", "piece", "p.text", "p.at")
     some = cut.filter(~F.col("text").rlike(T.WHITE) & ~T.is_noise(F.col("text")))
     return some.select(
         *keys,
@@ -76,7 +100,7 @@ def flatten_ocr_blocks(pages: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def align_to_neighbours(scanned: DataFrame, rects: DataFrame, words: DataFrame, keys: list[str]) -> DataFrame:
-    """Words of a re-scanned region, moved into page space. keys name the page; rects: rect_id, rx, ry, rw, rh; scanned: rect_id, word_index,
+    """Words of a re-scanned region, moved into page space. keys name the page; rects: rect_id (of the page), rx, ry, rw, rh; scanned: rect_id, word_index,
     text, x, y, width, height (in region space).
 
     Where existing words beside the region have a mean height within 0.65 to 1.35 of a word's, it takes their mean height and y.
@@ -85,8 +109,8 @@ def align_to_neighbours(scanned: DataFrame, rects: DataFrame, words: DataFrame,
         (F.abs(F.col("w.x") - (F.col("r.rx") + F.col("r.rw"))) < 80) | (F.abs(F.col("r.rx") - (F.col("w.x") + F.col("w.width"))) < 80)
     )
     pages = [F.col(f"w.{k}") == F.col(f"r.{k}") for k in keys]
-    means = words.alias("w").join(rects.alias("r"), [*pages, near]).groupBy("r.rect_id").agg(F.avg("w.height").alias("mean_h"), F.avg("w.y").alias("mean_y"))
-    placed = scanned.join(rects, [*keys, "rect_id"]).join(means, "rect_id", "left")
+    means = words.alias("w").join(rects.alias("r"), [*pages, near]).groupBy(*[f"r.{k}" for k in keys], "r.rect_id").agg(F.avg("w.height").alias("mean_h"), F.avg("w.y").alias("mean_y"))
+    placed = scanned.join(rects, [*keys, "rect_id"]).join(means, [*keys, "rect_id"], "left")
     snap = F.coalesce((F.col("mean_h") != 0) & (F.col("height") / F.col("mean_h")).between(0.65, 1.35), F.lit(False))
     return placed.select(
         *keys,

@@ -40,11 +40,11 @@ def spread(rows: DataFrame) -> DataFrame:
 
 
 def pii_category_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return detect.corpus_report(detect.document_hits(table(spark, sf_dir, "documents")))
+    return detect.corpus_report(detect.document_report(table(spark, sf_dir, "documents")))
 
 
 def pii_document_report(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = detect.category_report(detect.document_word_categories(table(spark, sf_dir, "documents")))
+    rows = detect.document_report(table(spark, sf_dir, "documents"))
     return rows.withColumn("word_indices", F.array_join(F.transform("word_indices", lambda x: x.cast("string")), ","))
 
 
@@ -371,9 +371,7 @@ def page_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scrub_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    out = redacted.scrub_documents(docs, redacted.secrets_of(detect.tagged_tokens(docs)))
-    return out.select("doc_id", "text")
+    return redacted.scrub_documents(table(spark, sf_dir, "documents")).select("doc_id", "text")
 
 
 def redaction_rects(spark: SparkSession, sf_dir: str) -> DataFrame:

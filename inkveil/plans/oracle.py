@@ -2,15 +2,38 @@
 
 from __future__ import annotations
 
-from inkveil.functions import patterns as P
-from inkveil.functions import text as T
-from inkveil.operators.geometry import FACE_SCORES
-from inkveil.sinks import rasters
+# Fixed values, stated here again so that a slip in the library shows: RE2 patterns, month names, categories, colours, scores, qualities.
+W = r"\t\n\x0b\x0c\r \x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}"
+WS = f"[{W}]+"
+MONTHS = (
+    "januari februari maret april mei juni juli agustus september oktober november desember january february march may june july august october december "
+    "jan feb mar apr jun jul aug sep oct nov dec"
+).split()
+_DATE = r"(?:0?[1-9]|[12][0-9]|3[01])[/.-](?:0?[1-9]|1[0-2])[/.-](?:19|20)[0-9]{2}"
+# RE2 folds case by Unicode, so both cases of ASCII letters are spelled out.
+_MONTH = "|".join("".join(f"[{c.upper()}{c}]" for c in m) for m in MONTHS)
+PATTERNS = {
+    "nik": rf"\b(?:(?:[0-9]{{4}}[{W}.-]){{3}}[0-9]{{4}}|[0-9]{{16}})\b",
+    "phone": rf"\b(?:\+?62[{W}-]?8[0-9]{{8,11}}|08[0-9]{{8,11}}|\(?0[0-9]{{2,4}}\)?[{W}.-]?[0-9]{{6,8}})\b",
+    "email": r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b",
+    "dob": rf"\b(?:{_DATE}|(?:0?[1-9]|[12][0-9]|3[01])[{W}]+(?:{_MONTH})[{W}]+(?:19|20)[0-9]{{2}})\b",
+    "ttl": rf"\b[A-Za-z]{{3,18}},[{W}]*{_DATE}\b",
+    "npwp": r"\b[0-9]{2}\.[0-9]{3}\.[0-9]{3}\.[0-9]-[0-9]{3}\.[0-9]{3}\b",
+    "bpjs": r"\b000[0-9]{10}\b",
+    "bank": r"\b[0-9]{10,16}\b",
+    "id": r"\b[A-Za-z]{1,2}[0-9]{7,8}\b",
+}
+CATEGORIES = [
+    ("nik", "NIK (KTP)"), ("phone", "Phone number"), ("email", "E-mail address"), ("dob", "Date of birth"), ("ttl", "Place and date of birth"), ("npwp", "Tax number"),
+    ("bpjs", "Health insurance number"), ("bank", "Bank account"), ("id", "Passport or document number"),
+]
+COLOURS = {"#000000": "Black", "#ffffff": "White", "#374151": "Grey", "#1e3a8a": "Navy", "#b91c1c": "Red"}
+FACE_SCORES = [0.6, 0.55, 0.5]
+QUALITY = {"image": (0.98, 0.78, 0.89), "scanned": (0.95, 0.75, 0.86), "merge": (0.96, 0.76, 0.88)}
 
-WS = r"[ \t\n\r\f\x0b]+"
 NOISE = r"[-_~—|•*#:=;,.\\/]+"
 CLEANED = r"""["''“”:=;,./#()\\\]^_]"""
-MONTH_LIST = ", ".join(f"'{m}'" for m in P.MONTHS)
+MONTH_LIST = ", ".join(f"'{m}'" for m in MONTHS)
 
 
 def fuzzy(t: str) -> str:
@@ -22,7 +45,7 @@ def clean(t: str) -> str:
 
 
 def hits(kind: str, t: str) -> str:
-    p = P.re2(kind).replace("'", "''")
+    p = PATTERNS["dob" if kind == "date" else kind]
     return "(" + " OR ".join(f"regexp_matches({x}, '{p}')" for x in (t, fuzzy(t), clean(t))) + ")"
 
 
@@ -32,7 +55,7 @@ def noise(t: str) -> str:
 
 def cats(t: str) -> str:
     """List of categories of a token expression."""
-    found = ", ".join(f"CASE WHEN {hits(kind, t)} THEN '{kind}' END" for kind, _ in P.CATEGORIES)
+    found = ", ".join(f"CASE WHEN {hits(kind, t)} THEN '{kind}' END" for kind, _ in CATEGORIES)
     return f"CASE WHEN {t} = '' OR {noise(t)} THEN [] ELSE list_filter([{found}], lambda x: x IS NOT NULL) END"
 
 
@@ -52,8 +75,8 @@ def tokens(relation: str = "documents", key: str = "doc_id", text: str = "text")
     return f"(SELECT {key}, p - 1 AS pos, token FROM (SELECT {key}, unnest({parts}) AS token, generate_subscripts({parts}, 1) AS p FROM {relation}) WHERE token <> '')"
 
 
-ORD = "CASE category " + " ".join(f"WHEN '{kind}' THEN {k}" for k, (kind, _) in enumerate(P.CATEGORIES)) + " END"
-LABEL = "CASE category " + " ".join(f"WHEN '{kind}' THEN '{label}'" for kind, label in P.CATEGORIES) + " END"
+ORD = "CASE category " + " ".join(f"WHEN '{kind}' THEN {k}" for k, (kind, _) in enumerate(CATEGORIES)) + " END"
+LABEL = "CASE category " + " ".join(f"WHEN '{kind}' THEN '{label}'" for kind, label in CATEGORIES) + " END"
 
 LINES = "(SELECT doc_id, i - 1 AS line, s FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS s, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents))"
 
@@ -176,11 +199,11 @@ SELECT r.page, r.cand_index FROM (SELECT page, unnest(taken) AS k FROM f JOIN m
 def oracle_sql() -> dict[str, str]:
     word_places = f"""
 WITH ln AS (SELECT doc_id, line, s, 10.0 AS vx, line * 22.0 + 0.25 AS top, length(s) * 7.25 AS iw FROM {LINES} WHERE trim(s, chr(32) || chr(9) || chr(13) || chr(160)) <> ''),
-pc AS (SELECT doc_id, line, vx, top, iw / length(s) AS each, unnest(regexp_extract_all(s, '[ \\t\\n\\r\\f\\x0b]+|[^ \\t\\n\\r\\f\\x0b]+')) AS t, generate_subscripts(regexp_extract_all(s, '[ \\t\\n\\r\\f\\x0b]+|[^ \\t\\n\\r\\f\\x0b]+'), 1) AS p FROM ln),
+pc AS (SELECT doc_id, line, vx, top, iw / length(s) AS each, unnest(regexp_extract_all(s, '[{W}]+|[^{W}]+')) AS t, generate_subscripts(regexp_extract_all(s, '[{W}]+|[^{W}]+'), 1) AS p FROM ln),
 placed AS (SELECT *, coalesce(sum(length(t)) OVER (PARTITION BY doc_id, line ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS o FROM pc)
 SELECT doc_id, CAST(line AS INTEGER) AS line, CAST(o AS BIGINT) AS char_offset, t AS text, CAST({half_up('vx + o * each - 1.5')} AS DOUBLE) AS x, CAST(greatest(0, {half_up('top - 1')}) AS DOUBLE) AS y,
        CAST({half_up('length(t) * each + 3')} AS DOUBLE) AS width, 18.0::DOUBLE AS height, 100.0::DOUBLE AS confidence
-FROM placed WHERE NOT regexp_matches(t, '[ \\t\\n\\r\\f\\x0b]') AND NOT {noise('t')}"""
+FROM placed WHERE NOT regexp_matches(t, '[{W}]') AND NOT {noise('t')}"""
     ocr = f"""
 WITH o AS (
   SELECT doc_id, CAST(pos AS INTEGER) AS word_index, token AS text, CASE WHEN pos % 50 <> 0 THEN CAST((doc_id * 31 + pos * 17) % 101 AS DOUBLE) END AS confidence,
@@ -235,11 +258,11 @@ SELECT doc_id, text FROM f QUALIFY k = max(k) OVER (PARTITION BY doc_id)"""
         "pdf_w": f"least(595 - {x} / 1.5 + 2, {w} / 1.5 + 2)" if m else f"{w} / 1.5",
         "pdf_h": f"least(842 - (842 - ({y} + {h}) / 1.5) + 2, {h} / 1.5 + 2)" if m else f"{h} / 1.5",
     }
-    qualities = ", ".join(f"('{sink}', '{preset}', {q}::DOUBLE)" for sink, presets in rasters.QUALITY.items() for preset, q in presets.items())
-    pool = [*T.COLOURS, "#1E3A8A", "#123456", ""]
+    qualities = ", ".join(f"('{sink}', '{preset}', {q}::DOUBLE)" for sink, values in QUALITY.items() for preset, q in zip(("max", "compact", "optimal"), values, strict=True))
+    pool = [*COLOURS, "#1E3A8A", "#123456", ""]
     colour = f"[{', '.join(repr(x) for x in pool)}][p_partkey % {len(pool)} + 1]"
-    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in T.COLOURS.items())
-    scores = list(FACE_SCORES.values())
+    names = " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in COLOURS.items())
+    scores = FACE_SCORES
     pad = lambda c, n: f"lpad(CAST({c} AS VARCHAR), {n}, '0')"
     nik = pad("o_orderkey * 7919 + 3171000000000000", 16)
     mark = "['', '-', '.', '/'][o_orderkey % 4 + 1]"

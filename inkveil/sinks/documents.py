@@ -2,24 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.functions import text as T
+from inkveil.operators import detect
 from inkveil.operators.geometry import to_points
 
 
-def secrets_of(found: DataFrame, text: str = "token", order: str = "pos") -> DataFrame:
-    """Per document the distinct trimmed texts to hide, in order of first occurrence."""
-    rows = found.withColumn("s", T.wide_trim(F.col(text))).filter("s != ''").groupBy("doc_id", "s").agg(F.min(order).alias("at"))
-    ranked = F.array_sort(F.collect_list(F.struct("at", "s")))
-    return rows.groupBy("doc_id").agg(ranked.alias("r")).select("doc_id", F.col("r.s").alias("secrets"))
-
-
-def scrub_documents(docs: DataFrame, secrets: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with each secret of the document blanked in its text. Documents without secrets are not touched."""
-    rows = docs.join(secrets, "doc_id", "left")
-    return rows.withColumn(text_col, F.when(F.col("secrets").isNull(), F.col(text_col)).otherwise(T.scrub(F.col(text_col), F.col("secrets")))).drop("secrets")
+def scrub_documents(docs: DataFrame, text_col: str = "text", secrets: Column | None = None) -> DataFrame:
+    """docs with the sensitive words of each text (or the row's own array of secrets) blanked wherever they occur in it. Found and blanked
+    within the row, whatever its id; texts without any are not touched."""
+    text = F.col(text_col)
+    blanked = T.let(detect.secrets(text) if secrets is None else secrets, lambda s: F.when(F.size(s) > 0, T.scrub(text, s)))
+    return docs.withColumn(text_col, F.coalesce(blanked, text))
 
 
 def redaction_rects(words: DataFrame, regions: DataFrame, pages: DataFrame) -> DataFrame:

@@ -1,4 +1,5 @@
 import io
+import re
 import zipfile
 import zlib
 
@@ -100,10 +101,57 @@ def test_latest_override_decides(spark):
 
 
 def test_scrubbed_documents_leak_nothing(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").withColumn("secrets", detect.secrets(F.col("text"))).filter("size(secrets) > 0")
+    out = redacted.scrub_documents(docs)
+    assert docs.count() and out.filter(F.exists("secrets", lambda s: F.col("text").contains(s))).count() == 0
+
+
+def test_rows_without_an_id_are_scrubbed_too(spark):
+    rows = [(None, "call 08123456789 now"), (None, "mail a@b.co or a@b.co"), (1, "A1234567"), (1, "plain"), (2, None), (3, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = [r["text"] for r in redacted.scrub_documents(docs).collect()]
+    assert got == ["call             now", "mail        or       ", "        ", "plain", None, ""]
+    own = redacted.scrub_documents(docs, secrets=F.array(F.lit("plain"), F.lit("now")))
+    assert [r["text"] for r in own.collect()][:4] == ["call 08123456789    ", "mail a@b.co or a@b.co", "A1234567", "     "]
+    assert sorted((str(r["doc_id"]), r["category"], r["n_words"]) for r in detect.document_report(docs).collect()) == [("1", "id", 1), ("None", "bank", 1), ("None", "email", 2), ("None", "phone", 1)]
+    assert {r["category"]: (r["n_words"], r["n_docs"]) for r in detect.corpus_report(detect.document_report(docs)).collect()}["email"] == (2, 1)
+
+
+def test_hits_need_no_exchange(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    secrets = redacted.secrets_of(detect.tagged_tokens(docs))
-    out = redacted.scrub_documents(docs, secrets).join(secrets, "doc_id")
-    assert out.filter(F.exists("secrets", lambda s: F.col("text").contains(s))).count() == 0
+    lines = docs.select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "str")).withColumns({"vx": F.lit(0.0), "top": F.lit(0.0), "line_height": F.lit(9.0), "item_width": F.lit(70.0)})
+    for rows in (detect.document_hits(docs), detect.document_report(docs), redacted.scrub_documents(docs), detect.document_words(docs), geometry.word_boxes(lines, ["doc_id", "line"])):
+        assert "Exchange" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_unicode_space_parts_words(spark):
+    spaces = "\u00a0\u2009\u3000\u1680\u202f\ufeff"
+    docs = spark.createDataFrame([(k, f"born{c}12{c}Jan{c}2020{c}x{c}4785{c}3805") for k, c in enumerate(spaces)], "doc_id long, text string")
+    assert {tuple(r) for r in detect.document_word_categories(docs).collect()} == {(k, i, "dob") for k in range(len(spaces)) for i in (1, 2, 3)}
+    for c in spaces:
+        assert one(spark, T.clean_text(F.col("t")), t=f"a{c}{c}.b") == "a b"
+        assert one(spark, P.categories(F.col("t")), t=f"4785{c}3805{c}9239{c}1139") == ["nik"]
+        assert one(spark, P.categories(F.col("t")), t=f"9{c}Nov{c}2002") == ["dob"]
+        assert one(spark, P.categories(F.col("t")), t=f"JAKARTA,{c}18-02-1985") == ["dob", "ttl"]
+        assert one(spark, P.categories(F.col("t")), t=f"62{c}812345678") == ["phone"]
+    assert one(spark, P.categories(F.col("t")), t="a\u017f1234567") == []
+
+
+def test_word_places_are_prefix_sums(spark):
+    rng = np.random.default_rng(3)
+    lines = ["", "x", *[" ".join("w" * int(k) for k in rng.integers(1, 9, n)) for n in (2, 31, 32, 33, 64, 65, 2100, 9000)]]
+    items = spark.createDataFrame([(i, t, 0.0, 5.0, 10.0, float(len(t))) for i, t in enumerate(lines)], "i int, str string, vx double, top double, line_height double, item_width double")
+    got = {(r["i"], r["char_offset"], r["text"]) for r in geometry.word_boxes(items, ["i"]).collect()}
+    assert got == {(i, m.start(), m[0]) for i, t in enumerate(lines) for m in re.finditer(r"\S+", t)}
+
+
+def test_neighbours_are_those_of_the_page(spark):
+    box = "page_index int, rect_id int, {}rx double, ry double, rw double, rh double"
+    rects = spark.createDataFrame([(p, 0, 100.0, 10.0, 50.0, 20.0) for p in (1, 2)], box.format(""))
+    words = spark.createDataFrame([(1, 80.0, 9.0, 10.0, 20.0), (2, 80.0, 11.0, 10.0, 40.0)], "page_index int, x double, y double, width double, height double")
+    scanned = spark.createDataFrame([(p, 0, 0, "w", 0.0, 1.0, 5.0, 30.0) for p in (1, 2)], "page_index int, rect_id int, word_index int, text string, x double, y double, width double, height double")
+    got = {r["page_index"]: (r["height"], r["y"]) for r in geometry.align_to_neighbours(scanned, rects, words, ["page_index"]).collect()}
+    assert got == {1: (30.0, 11.0), 2: (40.0, 11.0)}
 
 
 def test_stored_zip_reads_back():
