@@ -24,8 +24,11 @@ BUCKETS = 1 << 13
 ORDERS = (2, 3, 4)
 DIMENSION = 16
 
-#: Rows of each language that training sees, about: the documented bound of the sample.
-PER_LANGUAGE = 1000
+#: Rows of each language that training sees, about, and rows of all languages: the documented bounds of the sample.
+PER_LANGUAGE, ALL_LANGUAGES = 1000, 20_000
+
+#: With fewer sampled rows, all of them both train and calibrate.
+FEW = 50
 
 #: Rejection keeps at least this share of right answers among accepted held-back rows.
 TARGET_PRECISION = 0.99
@@ -92,11 +95,14 @@ def softmax(z: np.ndarray) -> np.ndarray:
 
 
 def sample(docs: DataFrame, training: Column, id_col: str, text_col: str, lang_col: str, per_language: int) -> list:
-    """Rows (lang, places, counts) of the bounded sample; n-grams are counted on the executors."""
+    """Rows (lang, places, counts) of the bounded sample; n-grams are counted on the executors. With many languages each has fewer rows."""
     pool = docs.filter(F.coalesce(training, F.lit(False)) & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     sizes = pool.groupBy(F.col(lang_col).alias("lang")).count().collect()  # one row per language
     if not sizes:
         return []
+    if len(sizes) > ALL_LANGUAGES // 10:
+        raise ValueError(f"{len(sizes)} values of {lang_col} are too many to learn")
+    per_language = min(per_language, ALL_LANGUAGES // len(sizes))
     share = F.create_map(*[F.lit(v) for r in sizes for v in (r["lang"], min(1.0, per_language / r["count"]))])
     draw = F.pmod(F.xxhash64(F.lit("sample"), F.col(id_col)), F.lit(1 << 30)) / F.lit(float(1 << 30))
     picked = pool.filter(draw < share[F.col(lang_col)]).select(F.col(lang_col).alias("lang"), F.col(text_col).alias("text"), F.xxhash64(F.lit("order"), id_col).alias("o"))
@@ -117,7 +123,7 @@ def sample(docs: DataFrame, training: Column, id_col: str, text_col: str, lang_c
 
 
 def train(rows: list, epochs: int = 12, batch: int = 32, rate: float = 4.0, seed: int = 7) -> Model | None:
-    """Stochastic gradient descent on the mean log-loss; every fifth row is held back for calibration."""
+    """Stochastic gradient descent on the mean log-loss; every fifth row is held back for calibration (with under FEW rows, none)."""
     usable = [r for r in rows if len(r["places"])]
     if not usable:
         return None
@@ -135,8 +141,8 @@ def train(rows: list, epochs: int = 12, batch: int = 32, rate: float = 4.0, seed
         return x
 
     every = np.arange(len(usable))
-    held = every[every % 5 == 4] if len(usable) >= 50 else every
-    fitted = every[every % 5 != 4] if len(usable) >= 50 else every
+    held = every[every % 5 == 4] if len(usable) >= FEW else every
+    fitted = every[every % 5 != 4] if len(usable) >= FEW else every
     steps = epochs * -(-len(fitted) // batch)
     step = 0
     for _ in range(epochs):
@@ -168,8 +174,9 @@ def train(rows: list, epochs: int = 12, batch: int = 32, rate: float = 4.0, seed
 def identify(docs: DataFrame, training: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = PER_LANGUAGE) -> DataFrame:
     """Per row of docs: doc_id, held_out (not training), lang_pred, score (calibrated probability) and rejected.
 
-    Predictions read the text alone. A null text and one without a letter give "und" with score 0, rejected; so
-    does everything if there is no labelled row to learn from.
+    Predictions read the text alone, the whole of it. A null text and one without a letter give "und" with score 0, rejected; so
+    does everything if there is no labelled row to learn from. Rows with a null id are predicted like others; repeated rows give one result each, the
+    same. An empty table gives no rows. Of equally likely languages the first by name is given.
     """
     model = train(sample(docs, training, id_col, text_col, lang_col, per_language))
     shipped = docs.sparkSession.sparkContext.broadcast(model)  # BUCKETS x DIMENSION floats, whatever the corpus

@@ -116,6 +116,10 @@ TEMPLATES = [
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 ]
 
+# Short identifiers as they stand in SPDX tags; the GNU ones also with "-only" and "-or-later".
+_TAGS = "AGPL-3.0 Apache-2.0 BSD-2-Clause BSD-3-Clause CC-BY-4.0 CC-BY-NC-4.0 CC-BY-SA-4.0 CC0-1.0 GPL-2.0 GPL-3.0 ISC LGPL-2.1 LGPL-3.0 MIT MPL-2.0 Unlicense".split()
+TEMPLATES += [(x, f"SPDX-License-Identifier: {x}{end}") for x in _TAGS for end in (("", "-only", "-or-later") if "GPL" in x else ("",))]
+
 # English function words, poor anchors because most texts have them.
 COMMON = set(
     "a all and any are as at be by can copy do either except file following for free in including into is it its may must names no nor not of on option or other out "
@@ -236,7 +240,9 @@ def license_scan(files: DataFrame, id_col: str, path: Column, text_col: str = "t
     basis ("notice", "inherited" or "none") and from_dir (the directory that it inherits from).
 
     Null and empty texts have no notice; a null path has no directory and inherits nothing. Of several notices
-    the best score decides, then the first licence by name; of several licence files in a directory likewise.
+    the best score decides, then the first licence by name; of several licence files in a directory likewise. Every row is kept, repeated ones
+    and null ids too; rows with one id and path share their notices. Texts are read whole, whatever their length; lines and paragraphs over
+    LONGEST characters are units by themselves but not part of longer ones. An empty table gives no rows.
     """
     scratch = Scratch(files.sparkSession, "licenses")
     vectors, idf = template_weights(templates)
@@ -297,7 +303,7 @@ def path_of_documents(spark: SparkSession) -> Column:
 
 
 def oracle_sql() -> str:
-    """The same over documents in DuckDB SQL, without the anchor bound."""
+    """The same over documents in DuckDB SQL, with single lines and whole licence files as units and without any bound."""
     values = ", ".join(f"({k}, '{name}', '{text}')" for k, (name, text) in enumerate(TEMPLATES))
     return rf"""
 WITH tpl(k, license, txt) AS (VALUES {values}),
@@ -313,7 +319,6 @@ f AS (
 u AS (
   SELECT DISTINCT doc_id, path, trim(unit) AS unit FROM (
     SELECT doc_id, path, unnest(string_split(t, chr(10)) || CASE WHEN path LIKE '%/LICENSE' THEN [t] ELSE [] END) AS unit FROM f)
-  WHERE contains(unit, 'licen') OR contains(unit, 'redistributed') OR contains(unit, 'domain')
 ),
 bag AS (
   SELECT unit, token, count(*) AS tf FROM (SELECT unit, unnest(regexp_split_to_array(unit, '[^a-z0-9]+')) AS token FROM (SELECT DISTINCT unit FROM u)) WHERE token <> '' GROUP BY ALL

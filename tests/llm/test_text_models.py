@@ -1,7 +1,10 @@
 import os
+import random
+import zlib
 
 import brute
 import duckdb
+import numpy as np
 import pytest
 from compare import connect, same
 from hypothesis import given, settings
@@ -39,6 +42,41 @@ def test_quality_of_hard_rows(spark, docs_of, hard):
     assert {r["score"] for r in none} == {0.5}
 
 
+def test_quality_equals_plain_densities(spark, sf):
+    """Scores of all documents against statistics by loops, np.cov and log-densities by np.linalg."""
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), labelled(sf)
+    rows = docs.select("doc_id", "text", F.pmod(F.xxhash64(F.lit("fold"), F.col("doc_id").cast("string")), F.lit(quality.KEPT_OUT)).alias("fold")).collect()
+    known = [r for r in rows if labels.get(r["doc_id"]) in (0, 1) and zlib.crc32(str(r["doc_id"]).encode()) % 3 != 1]
+    raw = {r["doc_id"]: brute.text_statistics(r["text"]) for r in rows}
+    good = [raw[r["doc_id"]] for r in known if r["fold"] and labels[r["doc_id"]] == 1]
+    x = {i: brute.quality_features(v, good, quality.MORE_BYTES, quality.MORE_WORDS) for i, v in raw.items()}
+    density = []
+    for c in (0, 1):
+        own = np.array([x[r["doc_id"]] for r in known if r["fold"] and labels[r["doc_id"]] == c])
+        cov = np.cov(own.T, bias=True)
+        cov = (1 - quality.SHRINK) * cov + quality.SHRINK * np.diag(np.diag(cov)) + quality.FLOOR * np.eye(len(cov))
+        n = sum(1 for r in known if r["fold"])
+        density.append(lambda v, m=own.mean(0), i=np.linalg.inv(cov), d=np.linalg.slogdet(cov)[1], p=np.log((len(own) + 1) / (n + 2)): p - 0.5 * d - 0.5 * (v - m) @ i @ (v - m))
+    odds = {i: density[1](v) - density[0](v) for i, v in x.items()}
+    held = [(odds[r["doc_id"]], labels[r["doc_id"]]) for r in known if not r["fold"]]
+    n = [sum(1 for _, c in held if c == k) for k in (0, 1)]
+    target = (1 / (n[0] + 2), (n[1] + 1) / (n[1] + 2))
+    loss = [sum(target[c] * np.logaddexp(0, -z / t) + (1 - target[c]) * np.logaddexp(0, z / t) for z, c in held) for t in quality.TEMPERATURES]
+    t = quality.TEMPERATURES[int(np.argmin(loss))]
+    got = {r["doc_id"]: r["score"] for r in queries.op7_quality_classifier(spark, sf).collect()}
+    assert len(got) == len(rows)
+    for i, z in odds.items():
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z / t, -700, 700))), rel=1e-6, abs=1e-9)
+
+
+def test_texts_without_letters_take_the_share_of_their_kind(spark, docs_of):
+    rows = [(k, "plain words of prose number " + "abcdefghij"[k % 10] * (k + 1)) for k in range(40)] + [(100 + k, t) for k, t in enumerate(["...", "1234", None, "", "!!!", "  "])]
+    labels = spark.createDataFrame([(k, k % 2) for k in range(40)] + [(100, 0), (101, 0)], "doc_id long, quality int")
+    got = {r["doc_id"]: r["score"] for r in quality.score_quality(docs_of(rows), labels, F.lit(True)).collect()}
+    base = 21 / 44
+    assert all(got[100 + k] == pytest.approx(base / 3) for k in range(6))
+
+
 def test_accepted_rows_are_those_predicted(spark, sf):
     docs, labels, t = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"), crc_of_id(F.col("doc_id")) % 3 != 1
     want = {r["doc_id"] for r in quality.score_quality(docs, labels, t).collect() if r["predicted"]}
@@ -61,6 +99,35 @@ def test_language_of_hard_rows(spark, docs_of, hard):
     assert langid.identify(docs_of([]), F.lit(True)).count() == 0
 
 
+def test_language_equals_plain_loops(spark, docs_of):
+    rows = [(k, " ".join(w * (1 + k % 3) for w in words)) for k, words in enumerate([("the", "cat", "sat"), ("der", "Hund", "läuft")] * 20)]
+    docs = docs_of([*rows, (90, "Größe the"), (91, "x"), (92, "1 2 é")]).withColumn("lang", F.when(F.col("doc_id") % 2 == 0, "en").otherwise("de"))
+    model = langid.train(langid.sample(docs, F.lit(True), "doc_id", "text", "lang", 1000))
+    got = {r["doc_id"]: r for r in langid.identify(docs, F.lit(True)).collect()}
+    for i, text in docs.select("doc_id", "text").collect():
+        data = bytes(b + 32 if 65 <= b < 91 else b if 97 <= b < 123 or b >= 128 else 32 for b in text.encode())
+        total, n = np.zeros(langid.DIMENSION), 0
+        for size in langid.ORDERS:
+            for k in range(len(data) - size + 1):
+                h = size
+                for b in data[k : k + size]:
+                    h = ((h ^ b) * 16777619) % 2**32
+                h = ((h ^ h >> 15) * 0x85EBCA6B) % 2**32
+                total += model.embedding[h >> 19]
+                n += 1
+        z = np.array([(total / max(1, n)) @ model.weight[:, c] + model.bias[c] for c in range(2)]) / model.temperature
+        p = np.exp(z - z.max()) / np.exp(z - z.max()).sum()
+        assert got[i]["lang_pred"] == model.languages[int(np.argmax(p))] and got[i]["score"] == pytest.approx(p.max(), abs=1e-4)
+
+
+def test_too_many_languages_are_refused(spark, docs_of, monkeypatch):
+    monkeypatch.setattr(langid, "ALL_LANGUAGES", 20)
+    docs = docs_of([(k, f"text {k}") for k in range(9)])
+    with pytest.raises(ValueError, match="too many"):
+        langid.identify(docs.withColumn("lang", F.col("doc_id").cast("string")), F.lit(True))
+    assert len(langid.sample(docs, F.lit(True), "doc_id", "text", "lang", 1000)) == 9
+
+
 def test_segments_count_like_the_whole(monkeypatch):
     import numpy as np
 
@@ -238,3 +305,36 @@ def test_anchors_bound_the_cosine():
     some = set(licenses.anchors(vectors, licenses.THRESHOLD))
     for v in vectors:
         assert sum(w * w for x, w in v.items() if x not in some) < licenses.THRESHOLD**2
+
+
+@pytest.mark.parametrize("tag", ["MIT", "Apache-2.0", "GPL-2.0-only", "GPL-3.0-or-later", "LGPL-2.1", "BSD-3-Clause", "MPL-2.0"])
+def test_tags_are_notices(spark, tag):
+    assert licenses_of(spark, f"# SPDX-License-Identifier: {tag}\nx = 1\n", "# SPDX-License-Identifier: Zlib\n") == [tag.removesuffix("-only").removesuffix("-or-later"), None]
+
+
+def test_licenses_equal_brute_force(spark):
+    """All units of texts that mix notices, wrapped and cut ones, prose and code, against all templates, without any bound."""
+    rng = random.Random(11)
+    prose = "the quick brown fox jumps over the lazy dog while rain falls on distant hills and nobody asks why".split()
+    files = []
+    for i in range(60):
+        pieces = []
+        for _ in range(rng.randint(1, 6)):
+            words = rng.choice(licenses.TEMPLATES)[1].split() if rng.random() < 0.6 else [rng.choice(prose) for _ in range(rng.randint(3, 40))]
+            words = [w for w in words if rng.random() < 0.93]
+            wide = rng.choice([4, 9, 60])
+            lines = [" ".join(words[k : k + wide]) for k in range(0, len(words), wide)]
+            pieces.append(rng.choice(["\n", "\n# ", "\n * "]).join(lines))
+        files.append((i, f"d{i % 7}/{'LICENSE' if i % 9 == 0 else f'{i}.c'}", rng.choice(["\n", "\n\n", ". ", "\n#\n"]).join(pieces)))
+    files += [(100, "long/a.c", "x" * 100_000 + " Released under the MIT License. " + "y " * 50_000), (101, None, ""), (102, "z", None)]
+    df = spark.createDataFrame(files, "id long, path string, text string")
+    got = {r["id"]: (r["license"], r["score"]) for r in licenses.license_scan(df, "id", F.col("path")).collect()}
+    want = {i: brute.license_of(t, path, licenses) for i, path, t in files}
+    assert sum(x[0] is not None for x in want.values()) > 15
+    for i, (name, score) in want.items():
+        assert got[i][0] == name and got[i][1] == pytest.approx(score, abs=2e-4), i
+
+
+def test_license_scan_keeps_other_columns_apart(spark):
+    df = spark.createDataFrame([(1, "a/LICENSE", "Released under the MIT License.", 1, "u", "l"), (2, "a/b", "x", 2, "v", "m")], "id long, path string, text string, uid long, unit string, license string")
+    assert [(r["id"], r["effective_license"]) for r in licenses.license_scan(df, "id", F.col("path")).orderBy("id").collect()] == [(1, "MIT"), (2, "MIT")]
