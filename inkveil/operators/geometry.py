@@ -22,9 +22,9 @@ def item_bounds(items: DataFrame) -> DataFrame:
     return out.withColumns({"top": F.col("vy") - F.col("font_height") * 0.82, "line_height": F.col("font_height") * 1.08, "item_width": F.col("width") * s})
 
 
-def _before(lengths: Column, block: int = 64) -> Column:
+def _before(lengths: Column, block: int = 16) -> Column:
     """For each entry of an array of numbers the sum of those before it: within blocks, and over the sums of blocks of blocks, so a line of a hundred
-    thousand pieces costs some hundred additions for each."""
+    thousand pieces costs some dozens of additions for each."""
 
     def total(x: Column) -> Column:
         return F.aggregate(x, F.lit(0), lambda acc, n: acc + n)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions import text as T
@@ -14,6 +14,21 @@ def word_frequencies(redacted: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id", "text").agg(F.count("*").alias("n"), F.min("word_index").alias("first_index"))
 
 
+def ranked_words(redacted: DataFrame) -> DataFrame:
+    """word_frequencies with their rank in the document, from 1."""
+    order = Window.partitionBy("doc_id").orderBy(F.col("n").desc(), "first_index")
+    return word_frequencies(redacted).withColumn("rank", F.row_number().over(order))
+
+
+def export_report(words: DataFrame, regions: DataFrame, pages: DataFrame, documents: DataFrame) -> DataFrame:
+    """export_stats with the document's type, its colour by name, and the redacted words in order (an array of trimmed texts, with repeats)."""
+    some = words.filter("redacted").select("doc_id", "word_index", T.wide_trim(F.col("text")).alias("text")).filter("text != ''")
+    listed = some.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("word_index", "text"))), lambda x: x["text"]).alias("redacted_words"))
+    named = documents.select("doc_id", "document_type", T.colour_name(F.col("colour")).alias("colour"))
+    out = export_stats(words, regions, pages).join(named, "doc_id", "left").join(listed, "doc_id", "left")
+    return out.withColumn("redacted_words", F.coalesce("redacted_words", F.array().cast("array<string>")))
+
+
 def export_stats(words: DataFrame, regions: DataFrame, pages: DataFrame) -> DataFrame:
     """Per document of pages: n_pages, n_words, n_redacted, n_faces and n_manual. words has redacted, regions has kind."""
     p = pages.groupBy("doc_id").agg(F.count("*").alias("n_pages"))

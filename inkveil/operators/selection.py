@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from inkveil.functions import text as T
 from inkveil.operators.detect import sensitive_words
+from inkveil.operators.geometry import align_to_neighbours, drop_covered, filter_ocr_words
 
 
 def index_words(pages: DataFrame) -> DataFrame:
@@ -41,9 +42,9 @@ def decide(words: DataFrame, overrides: DataFrame, types: list[str] | None = Non
     return out.withColumn("effective", F.col("redacted") | F.col("auto") if mode == "reference" else F.col("redacted"))
 
 
-def with_categories(auto: Column, found: Column, checked: list[str]) -> Column:
-    """Detected, or in one of the checked categories."""
-    return auto | F.coalesce(F.arrays_overlap(found, F.array(*map(F.lit, checked))) if checked else F.lit(False), F.lit(False))
+def with_categories(auto: Column, found: Column, checked: Column) -> Column:
+    """Detected, or in one of the checked categories (an array)."""
+    return auto | F.coalesce(F.arrays_overlap(found, checked), F.lit(False))
 
 
 def manual_groups(words: DataFrame, overrides: DataFrame) -> DataFrame:
@@ -55,10 +56,62 @@ def manual_groups(words: DataFrame, overrides: DataFrame) -> DataFrame:
 
 
 def remove_manual(overrides: DataFrame, groups: DataFrame) -> DataFrame:
-    """Overrides after removing groups (doc_id, word_indices): their words become un-redacted."""
-    gone = groups.select("doc_id", F.explode("word_indices").alias("word_index"))
-    last = overrides.agg(F.max("seq")).first()[0] or 0
-    return overrides.unionByName(gone.select("doc_id", "word_index", F.lit(last + 1).cast(overrides.schema["seq"].dataType).alias("seq"), F.lit("unredact").alias("action")))
+    """Overrides after removing groups (doc_id, word_indices): their words become un-redacted by an action after the word's last one."""
+    gone = groups.select("doc_id", F.explode("word_indices").alias("word_index")).distinct()
+    last = overrides.groupBy("doc_id", "word_index").agg(F.max("seq").alias("__seq"))
+    kind = overrides.schema["seq"].dataType
+    more = gone.join(last, ["doc_id", "word_index"], "left").select("doc_id", "word_index", (F.coalesce("__seq", F.lit(0)) + 1).cast(kind).alias("seq"), F.lit("unredact").alias("action"))
+    return overrides.select("doc_id", "word_index", "seq", "action").unionByName(more)
+
+
+def clear_manual(words: DataFrame, overrides: DataFrame) -> DataFrame:
+    """Overrides after removing all groups of words redacted by hand."""
+    return remove_manual(overrides, manual_groups(words, overrides).select("doc_id", "word_indices"))
+
+
+def change_categories(checked: Column, action: str, categories: Column) -> Column:
+    """Checked categories (an array) after selecting, deselecting or toggling some."""
+    if action == "select":
+        return F.array_union(checked, categories)
+    left = F.array_except(checked, categories)
+    if action == "deselect":
+        return left
+    if action == "toggle":
+        return F.array_union(left, F.array_except(categories, checked))
+    raise ValueError(f"no such action: {action}")
+
+
+def change_faces(faces: DataFrame, disabled: DataFrame, action: str, chosen: DataFrame | None = None) -> DataFrame:
+    """The disabled faces (doc_id, page_index, region_index) after an action: "all" enables every face, "none" disables every face, "toggle" inverts the
+    chosen ones. Faces keep their region_index when others are deleted (delete_faces)."""
+    keys = ["doc_id", "page_index", "region_index"]
+    if action == "all":
+        return disabled.select(*keys).limit(0)
+    if action == "none":
+        return faces.select(*keys).distinct()
+    if action == "toggle" and chosen is not None:
+        some, off = chosen.select(*keys).distinct(), disabled.select(*keys).distinct()
+        return off.join(some, keys, "left_anti").unionByName(some.join(off, keys, "left_anti"))
+    raise ValueError(f"no such action: {action}")
+
+
+def delete_faces(faces: DataFrame, chosen: DataFrame) -> DataFrame:
+    return faces.join(chosen, ["doc_id", "page_index", "region_index"], "left_anti")
+
+
+def rescan_region(words: DataFrame, raw: DataFrame, rects: DataFrame) -> DataFrame:
+    """words (doc_id, page_index, word_index, text, x, y, width, height) of pages with what a new recognition of regions found added.
+
+    raw: doc_id, page_index, rect_id, word_index, text, confidence, x0, y0, x1, y1 in region space; rects as for align_to_neighbours. Invalid words and
+    those that existing ones cover are left out; new ones follow the document's last word, by page, region and place.
+    """
+    keys, box = ["doc_id", "page_index"], ["text", "x", "y", "width", "height"]
+    fresh = align_to_neighbours(filter_ocr_words(raw), rects, words, keys)
+    fresh = drop_covered(fresh, words, keys)
+    last = words.groupBy("doc_id").agg(F.max("word_index").alias("__last"))
+    place = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_index", "rect_id", "word_index"))
+    added = fresh.withColumn("__n", place).join(last, "doc_id", "left").select(*keys, (F.coalesce("__last", F.lit(-1)) + F.col("__n")).cast(words.schema["word_index"].dataType).alias("word_index"), *box)
+    return words.select(*keys, "word_index", *box).unionByName(added)
 
 
 def active_regions(faces: DataFrame, manual: DataFrame, disabled: DataFrame) -> DataFrame:

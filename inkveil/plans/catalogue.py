@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from inkveil.functions import patterns as P
 from inkveil.functions import text as T
 from inkveil.operators import detect, geometry, report, selection
-from inkveil.sinks import archives, rasters
+from inkveil.sinks import archives, exports, rasters
 from inkveil.sinks import documents as redacted
 from inkveil.sources import documents as sources
 
@@ -154,6 +154,15 @@ def contextual_indices(spark: SparkSession, sf_dir: str) -> DataFrame:
     return words.filter("sensitive").groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("word_index")), ",").alias("word_indices"))
 
 
+def unicode_space_dates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as texts whose words are parted by spaces other than ASCII's."""
+    d, k = F.col("o_orderdate"), F.col("o_orderkey")
+    space = F.element_at(F.array(*map(F.lit, "\u00a0\u2009\u3000\u202f\ufeff")), (k % 5 + 1).cast("int"))
+    text = F.concat_ws(" ", F.concat(F.lit("on"), space, F.date_format(d, "d"), space, F.date_format(d, "MMM"), space, F.date_format(d, "yyyy")), k.cast("string"))
+    rows = detect.document_report(table(spark, sf_dir, "orders").select(k.alias("doc_id"), text.alias("text")))
+    return rows.select("doc_id", "category", "n_words", F.array_join(F.transform("word_indices", lambda x: x.cast("string")), ",").alias("word_indices"))
+
+
 def label_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = F.element_at(F.array(*map(F.lit, ("Nama:", "budi", "ALAMAT", "12", "d.o.b", "x", "y"))), F.col("word_index"))
     words = _boxes(spark, sf_dir).withColumn("text", said)
@@ -214,6 +223,49 @@ def region_neighbour_align(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "word_index", "text", "x", F.round("y", 6).alias("y"), "width", F.round("height", 6).alias("height"))
 
 
+def _paged_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As _boxes, with four pages in a document."""
+    rows = _boxes(spark, sf_dir).withColumns({"page_index": (F.col("doc_id") % 4 + 1).cast("int"), "doc_id": F.floor(F.col("doc_id") / 4)})
+    return rows.withColumn("text", F.concat(F.lit("w"), F.col("word_index").cast("string")))
+
+
+def _paged_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One region on every page, the first of its page."""
+    k = F.col("o_orderkey")
+    rows = table(spark, sf_dir, "orders").select(F.floor(k / 4).alias("doc_id"), (k % 4 + 1).cast("int").alias("page_index"), (k % 40).cast("double").alias("ry"))
+    return rows.withColumns({"rect_id": F.lit(0), "rx": F.lit(200.0), "rw": F.lit(60.0), "rh": F.lit(20.0)})
+
+
+def _rescanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = _paged_rects(spark, sf_dir).select("doc_id", "page_index", "rect_id", F.explode(F.sequence(F.lit(0), F.lit(2))).alias("word_index"))
+    i = F.col("word_index")
+    text, confidence = F.element_at(F.array(*map(F.lit, ("alpha", "-", "2020"))), i + 1), F.when(i == 2, 30.0).otherwise((F.col("doc_id") % 100).cast("double"))
+    return words.withColumns({"text": text, "confidence": confidence, "x0": i * 25.0, "y0": F.lit(2.0), "x1": i * 25.0 + 20, "y1": F.lit(14.0) + i * 7})
+
+
+def region_neighbour_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = geometry.filter_ocr_words(_rescanned(spark, sf_dir))
+    out = geometry.align_to_neighbours(raw, _paged_rects(spark, sf_dir), _paged_boxes(spark, sf_dir), ["doc_id", "page_index"])
+    return out.select("doc_id", "page_index", "word_index", "text", "x", F.round("y", 6).alias("y"), "width", F.round("height", 6).alias("height"))
+
+
+def region_rescan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = selection.rescan_region(_paged_boxes(spark, sf_dir), _rescanned(spark, sf_dir), _paged_rects(spark, sf_dir))
+    return out.filter("text not like 'w%'").select("doc_id", "page_index", "text", "x", F.round("y", 6).alias("y"), "width", F.round("height", 6).alias("height"))
+
+
+def ocr_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def word(t: Column, i: Column) -> Column:
+        box = F.struct((i * 50.0).alias("x0"), F.lit(0.0).alias("y0"), (i * 50.0 + F.length(t) * 3).alias("x1"), F.lit(10.0).alias("y1"))
+        return F.struct(t.alias("text"), (20 + (F.col("p_partkey") * 7 + i * 13) % 80).cast("double").alias("confidence"), box.alias("bbox"))
+
+    half = lambda words, k: F.array(F.struct(F.array(F.struct(F.filter(words, lambda w, i: i % 2 == k).alias("words"))).alias("lines")))
+    words = F.transform(F.split("p_name", " "), word)
+    blocks = F.array(F.struct(half(words, 0).alias("paragraphs")), F.struct(half(words, 1).alias("paragraphs")))
+    pages = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("doc_id"), F.lit(0).alias("page_index"), blocks.alias("blocks"))
+    return sources.recognised_words(geometry.flatten_ocr_blocks(pages, ["doc_id", "page_index"]))
+
+
 def region_scan_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = _boxes(spark, sf_dir)
     fresh = words.select("doc_id", "page_index", "word_index", (F.col("x") + F.col("word_index") * 7).alias("x"), (F.col("y") + F.col("doc_id") % 13).alias("y"), "width", "height")
@@ -248,6 +300,13 @@ def face_nms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return geometry.suppress_duplicates(rows, ["page"]).select("page", "cand_index")
 
 
+def detected_faces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _candidates(spark, sf_dir).select(F.lit(0).alias("doc_id"), F.col("page").alias("page_index"), "cand_index", F.lit("global").alias("scan"), "x", "y", "w", "h", "score")
+    pages = rows.select("doc_id", "page_index").distinct().withColumns({"width": F.lit(1000.0), "height": F.lit(1000.0)})
+    out = sources.detected_faces(rows, pages)
+    return out.select("page_index", "region_index", "kind", *[F.round(c, 6).alias(c) for c in ("x", "y", "w", "h")])
+
+
 def face_padding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = geometry.pad_faces(_candidates(spark, sf_dir), F.lit(1000.0), F.lit(1000.0))
     return out.select("page", "cand_index", *[F.round(c, 6).alias(c) for c in ("x", "y", "w", "h")])
@@ -315,6 +374,20 @@ def toggled_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.toggles_to_overrides(_overrides(spark, sf_dir).select("doc_id", "word_index"), auto)
 
 
+def checked_categories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words hidden for one type, or for the categories that are checked after some changes."""
+    token = F.concat(F.lit("08"), _padded("c_custkey", 9)), F.concat(F.lit("A"), _padded("c_custkey", 7)), F.concat(F.lit("3171"), _padded("c_custkey", 12))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.element_at(F.array(*token), (F.col("c_custkey") % 3 + 1).cast("int")).alias("token"))
+    names = lambda *x: F.array(*map(F.lit, x))
+    checked = selection.change_categories(selection.change_categories(selection.change_categories(names("dob"), "select", names("nik", "id")), "toggle", names("id", "bank")), "deselect", names("nik"))
+    rows = rows.withColumns({"checked": checked, "auto": detect.is_sensitive(F.col("token"), ["nik"])})
+    return rows.select("c_custkey", F.array_join("checked", ",").alias("checked"), selection.with_categories(F.col("auto"), P.categories(F.col("token")), F.col("checked")).alias("hidden"))
+
+
+def manual_cleared(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.latest_overrides(selection.clear_manual(_review_words(spark, sf_dir), _overrides(spark, sf_dir)))
+
+
 def manual_word_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = selection.manual_groups(_review_words(spark, sf_dir), _overrides(spark, sf_dir))
     return out.select("doc_id", "text", "n", *[F.array_join(F.transform(c, lambda x: x.cast("string")), ",").alias(c) for c in ("word_indices", "pages")])
@@ -337,6 +410,14 @@ def active_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return selection.active_regions(*_faces(spark, sf_dir))
 
 
+def face_toggles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faces left after deleting some and toggling others."""
+    faces, _, off = _faces(spark, sf_dir)
+    left = selection.delete_faces(faces, faces.filter("region_index % 11 = 0"))
+    disabled = selection.change_faces(left, off, "toggle", left.filter("region_index % 2 = 0"))
+    return left.join(disabled, ["doc_id", "page_index", "region_index"], "left_anti").select("doc_id", "page_index", "region_index")
+
+
 def removed_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     faces, manual, off = _faces(spark, sf_dir)
     gone = off.select("doc_id", "page_index").distinct()
@@ -358,6 +439,34 @@ def redacted_word_freq(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.word_frequencies(rows)
 
 
+def redacted_word_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return report.ranked_words(selection.decide(_review_words(spark, sf_dir), _overrides(spark, sf_dir)).filter("effective"))
+
+
+def export_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = selection.decide(_review_words(spark, sf_dir), _overrides(spark, sf_dir))
+    pages = words.select("doc_id", T.page_or_first(F.col("page_index")).alias("page_index")).distinct()
+    documents = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("doc_id"), F.when(F.col("o_orderkey") % 2 == 0, "image").otherwise("text-pdf").alias("document_type"), F.lit("#B91C1C").alias("colour"))
+    out = report.export_report(words, selection.active_regions(*_faces(spark, sf_dir)), pages, documents)
+    return out.withColumn("redacted_words", F.array_join("redacted_words", " "))
+
+
+def exported_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as documents of one to three small white pages; the files are made, and their pages counted in their bytes."""
+    k = F.col("p_partkey")
+    kind = F.element_at(F.array(*map(F.lit, ("text-pdf", "image-pdf", "image"))), (k % 3 + 1).cast("int"))
+    docs = table(spark, sf_dir, "part").select(k.alias("doc_id"), F.when(k % 5 != 0, F.concat(F.col("p_name"), F.lit(".bin"))).otherwise("").alias("name"), kind.alias("document_type"))
+    pages = docs.select("doc_id", F.explode(F.sequence(F.lit(1), (F.col("doc_id") % 4 % 3 + 1).cast("int"))).alias("page_index"))
+    pages = pages.withColumns({"width": F.lit(30), "height": F.lit(20), "data": F.unhex(F.lit("FF" * 1800))})
+    items = docs.select("doc_id", F.lit(1).alias("page_index"), F.lit(0).alias("item_index"), F.col("name").alias("str"), F.lit(2.0).alias("tx"), F.lit(5.0).alias("ty"), F.lit(9.0).alias("height"))
+    words = docs.select("doc_id", F.lit(0).alias("page_index"), F.split_part("name", F.lit(" "), F.lit(1)).alias("text"), F.lit(3.0).alias("x"), F.lit(4.0).alias("y"), F.lit(10.0).alias("width"), F.lit(5.0).alias("height"), F.lit(True).alias("effective"))
+    regions = docs.select("doc_id", F.lit(2).alias("page_index"), F.lit(0).alias("region_index"), F.lit("manual").alias("kind"), *[F.lit(v).alias(c) for c, v in (("x", 1.0), ("y", 1.0), ("w", 4.0), ("h", 4.0))])
+    out = exports.export_documents(docs, pages, items, words, regions)
+    raw = F.decode("content", "ISO-8859-1")
+    shown = F.when(raw.startswith("%PDF"), F.size(F.split(raw, "/MediaBox")) - 1).otherwise(F.when(F.hex(F.substring("content", 1, 4)) == "89504E47", 1))
+    return out.select("doc_id", "document_type", "filename", "n_pages", shown.cast("long").alias("pages_in_file"))
+
+
 def export_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = selection.decide(_review_words(spark, sf_dir), _overrides(spark, sf_dir))
     pages = words.select("doc_id", T.page_or_first(F.col("page_index")).alias("page_index")).distinct()
@@ -456,9 +565,8 @@ def zip_checksums(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def page_boxes_mm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w, h = F.col("p_size") * 40.0, F.col("p_partkey") % 1500 + 200.0
-    mm = lambda c: F.round(c / rasters.OUTPUT_SCALE / 72 * 25.4, 6)
-    return table(spark, sf_dir, "part").select("p_partkey", mm(w).alias("width_mm"), mm(h).alias("height_mm"), F.when(w > h, "landscape").otherwise("portrait").alias("orientation"))
+    w, h, orientation = rasters.page_box(F.col("p_size") * 40.0, F.col("p_partkey") % 1500 + 200.0, rasters.OUTPUT_SCALE)
+    return table(spark, sf_dir, "part").select("p_partkey", F.round(w, 6).alias("width_mm"), F.round(h, 6).alias("height_mm"), orientation.alias("orientation"))
 
 
 def export_qualities(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -470,10 +578,10 @@ def queries() -> dict[str, Query]:
     found = [
         pii_category_report, pii_document_report, pii_tokens, pii_by_lang_source, pii_pages, token_forms, custom_keyword,
         synthetic_phone, synthetic_nik, synthetic_bpjs, synthetic_npwp, synthetic_id, synthetic_dob, synthetic_ttl, synthetic_email, synthetic_ocr_noise,
-        multi_token_date, contextual_indices, label_proximity, word_geometry, text_item_bounds, pixel_to_point, ocr_word_filter, region_neighbour_align, region_scan_dedupe,
-        rotate_boxes, face_tiles, face_candidates_filter, face_nms, face_padding, face_scores, hit_test, selection_rect, clamped_dimensions, filled_rects,
-        effective_redaction_reference, effective_redaction_honour, toggled_words, manual_word_groups, indexed_words, active_regions, removed_pages, appended_pages,
-        redacted_word_freq, export_stats, page_totals, scrub_text, redaction_rects, inspect_text_dominant, routed_files, image_pages, assembled_pages,
+        multi_token_date, contextual_indices, unicode_space_dates, label_proximity, word_geometry, text_item_bounds, pixel_to_point, ocr_word_filter, region_neighbour_align, region_neighbour_pages, region_rescan, region_scan_dedupe, ocr_blocks,
+        rotate_boxes, face_tiles, face_candidates_filter, face_nms, detected_faces, face_padding, face_scores, hit_test, selection_rect, clamped_dimensions, filled_rects,
+        effective_redaction_reference, effective_redaction_honour, toggled_words, checked_categories, manual_word_groups, manual_cleared, indexed_words, active_regions, face_toggles, removed_pages, appended_pages,
+        redacted_word_freq, redacted_word_ranking, export_stats, export_report, exported_files, page_totals, scrub_text, redaction_rects, inspect_text_dominant, routed_files, image_pages, assembled_pages,
         hex_to_rgb, format_bytes, clean_filename, colour_names, savings, labels_and_ids, zip_entries, zip_checksums, page_boxes_mm, export_qualities,
     ]
     return {f.__name__: f for f in found}

@@ -238,6 +238,20 @@ m AS (SELECT r.doc_id, avg(w.height) AS mh, avg(w.y) AS my FROM r JOIN w ON w.do
 s AS (SELECT r.*, i AS word_index, 12.0 + i * 14 AS h FROM r, (SELECT unnest([0, 1]) AS i))
 SELECT s.doc_id, CAST(word_index AS INTEGER) AS word_index, 'w' || word_index AS text, CAST(rx + word_index * 25 AS DOUBLE) AS x, round(CASE WHEN h / mh BETWEEN 0.65 AND 1.35 THEN my ELSE ry + 2 END, 6) AS y, 20.0::DOUBLE AS width,
        round(CASE WHEN h / mh BETWEEN 0.65 AND 1.35 THEN mh ELSE h END, 6)::DOUBLE AS height FROM s LEFT JOIN m ON s.doc_id = m.doc_id"""
+    paged = f"""
+WITH w AS (SELECT doc_id // 4 AS doc_id, CAST(doc_id % 4 + 1 AS INTEGER) AS page_index, x, y, width, height FROM {BOXES}),
+r AS (SELECT o_orderkey // 4 AS doc_id, CAST(o_orderkey % 4 + 1 AS INTEGER) AS page_index, 200.0 AS rx, CAST(o_orderkey % 40 AS DOUBLE) AS ry, 60.0 AS rw FROM orders),
+m AS (SELECT r.doc_id, r.page_index, avg(w.height) AS mh, avg(w.y) AS my FROM r JOIN w ON w.doc_id = r.doc_id AND w.page_index = r.page_index AND abs(w.y - ry) < 50 AND (abs(w.x - (rx + rw)) < 80 OR abs(rx - (w.x + w.width)) < 80) GROUP BY ALL),
+s AS (
+  SELECT r.*, i AS word_index, ['alpha', '-', '2020'][i + 1] AS text, 12.0 + i * 7 AS h FROM r, (SELECT unnest([0, 2]) AS i)
+  WHERE CASE WHEN i = 2 THEN true ELSE doc_id % 100 >= 35 END),
+a AS (
+  SELECT s.doc_id, s.page_index, CAST(word_index AS INTEGER) AS word_index, text, CAST(rx + word_index * 25 AS DOUBLE) AS x, round(CASE WHEN h / mh BETWEEN 0.65 AND 1.35 THEN my ELSE ry + 2 END, 6) AS y,
+         20.0::DOUBLE AS width, round(CASE WHEN h / mh BETWEEN 0.65 AND 1.35 THEN mh ELSE h END, 6)::DOUBLE AS height FROM s LEFT JOIN m ON s.doc_id = m.doc_id AND s.page_index = m.page_index)"""
+    rescan = f"""{paged}
+SELECT doc_id, page_index, text, x, y, width, height FROM a WHERE NOT EXISTS (
+  SELECT 1 FROM w WHERE w.doc_id = a.doc_id AND w.page_index = a.page_index
+  AND greatest(0, least(a.x + a.width, w.x + w.width) - greatest(a.x, w.x)) * greatest(0, least(a.y + a.height, w.y + w.height) - greatest(a.y, w.y)) > a.width * a.height * 0.5)"""
     dedupe = f"""
 WITH e AS {BOXES}, f AS (SELECT doc_id, word_index, x + word_index * 7 AS x, y + doc_id % 13 AS y, width, height FROM e)
 SELECT * FROM f WHERE NOT EXISTS (
@@ -293,7 +307,18 @@ SELECT doc_id, text FROM f QUALIFY k = max(k) OVER (PARTITION BY doc_id)"""
         "pixel_to_point": f"SELECT l_orderkey, l_linenumber, {round6(**pdf('(l_quantity * 17)', 'l_quantity * 25', '(l_linenumber * 30.0::DOUBLE)', '18.0::DOUBLE', 1))} FROM lineitem",
         "ocr_word_filter": ocr,
         "region_neighbour_align": align,
+        "region_neighbour_pages": f"{paged} SELECT * FROM a",
+        "region_rescan": rescan,
         "region_scan_dedupe": dedupe,
+        "ocr_blocks": "WITH t AS (SELECT p_partkey, unnest(string_split(p_name, ' ')) AS text, unnest(generate_series(0, len(string_split(p_name, ' ')) - 1)) AS i, (len(string_split(p_name, ' ')) + 1) // 2 AS evens FROM part), o AS (SELECT p_partkey AS doc_id, 1 AS page_index, CAST(CASE WHEN i % 2 = 0 THEN i // 2 ELSE evens + i // 2 END AS INTEGER) AS word_index, text, i * 50.0::DOUBLE AS x, 0.0::DOUBLE AS y, length(text) * 3.0::DOUBLE AS width, 10.0::DOUBLE AS height, CAST(20 + (p_partkey * 7 + i * 13) % 80 AS DOUBLE) AS confidence FROM t) SELECT * FROM o WHERE regexp_matches(text, '[A-Za-z0-9]') AND width >= 4 AND CASE WHEN regexp_full_match(text, '[0-9]{2,16}') THEN confidence >= 25 WHEN length(text) <= 2 THEN confidence >= 50 ELSE confidence >= 35 END",
+        "unicode_space_dates": f"WITH t AS (SELECT o_orderkey AS doc_id, CAST(o_orderkey AS VARCHAR) AS token FROM orders) SELECT doc_id, 'dob' AS category, 3::BIGINT AS n_words, '1,2,3' AS word_indices FROM t UNION ALL SELECT doc_id, unnest({cats('token')}), 1, '4' FROM t",
+        "detected_faces": f"SELECT k.page AS page_index, k.cand_index AS region_index, 'face' AS kind, {round6(x='px', y='py', w='least(1000 - px, w * 1.16)', h='least(1000 - py, h * 1.18)')} FROM ({_nms()}) k JOIN (SELECT *, greatest(0, x - w * 0.08) AS px, greatest(0, y - h * 0.12) AS py FROM {CANDIDATES}) c ON k.page = c.page AND k.cand_index = c.cand_index",
+        "checked_categories": f"SELECT c_custkey, 'dob,bank' AS checked, {hits('nik', 'token')} OR {hits('dob', 'token')} OR {hits('bank', 'token')} AS hidden FROM (SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN '08' || {pad('c_custkey', 9)} WHEN 1 THEN 'A' || {pad('c_custkey', 7)} ELSE '3171' || {pad('c_custkey', 12)} END AS token FROM customer)",
+        "manual_cleared": f"WITH {AUTO} SELECT ow.doc_id, ow.word_index, CASE WHEN action = 'redact' AND dn.doc_id IS NOT NULL THEN 'unredact' ELSE action END AS action FROM ow LEFT JOIN dn ON ow.doc_id = dn.doc_id AND ow.word_index = dn.word_index",
+        "face_toggles": f"SELECT doc_id, page_index, region_index FROM {REGIONS} WHERE region_index % 3 <> 0 AND region_index % 11 <> 0 AND (region_index % 7 = 0) = (region_index % 2 = 0)",
+        "redacted_word_ranking": f"WITH {AUTO}, g AS (SELECT doc_id, text, count(*) AS n, CAST(min(word_index) AS INTEGER) AS first_index FROM de WHERE redacted OR auto GROUP BY doc_id, text) SELECT *, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY n DESC, first_index) AS INTEGER) AS rank FROM g",
+        "export_report": f"WITH {AUTO}, w AS (SELECT doc_id, count(DISTINCT page) AS n_pages, count(*) AS n_words, count(*) FILTER (redacted) AS n_redacted, coalesce(string_agg(text, ' ' ORDER BY word_index) FILTER (redacted), '') AS redacted_words FROM de GROUP BY doc_id), r AS (SELECT doc_id, count(*) FILTER (kind = 'face') AS n_faces, count(*) FILTER (kind = 'manual') AS n_manual FROM {ACTIVE} GROUP BY doc_id) SELECT w.doc_id, n_pages, n_words, n_redacted, coalesce(n_faces, 0) AS n_faces, coalesce(n_manual, 0) AS n_manual, CASE WHEN w.doc_id % 2 = 0 THEN 'image' ELSE 'text-pdf' END AS document_type, 'Red' AS colour, redacted_words FROM w LEFT JOIN r ON w.doc_id = r.doc_id",
+        "exported_files": "WITH d AS (SELECT p_partkey AS doc_id, CASE WHEN p_partkey % 5 <> 0 THEN p_name ELSE '' END AS base, ['text-pdf', 'image-pdf', 'image'][p_partkey % 3 + 1] AS document_type, p_partkey % 4 % 3 + 1 AS n_pages FROM part) SELECT doc_id, document_type, CASE WHEN base <> '' THEN regexp_replace(base, '[/\\?%*:|\"<>]', '_', 'g') WHEN document_type <> 'image' THEN 'redacted-pdf' WHEN n_pages > 1 THEN 'redacted-images' ELSE 'redacted-image' END || CASE WHEN document_type = 'image' AND n_pages = 1 THEN '.png' ELSE '.pdf' END AS filename, n_pages, n_pages AS pages_in_file FROM d",
         "rotate_boxes": turns,
         "face_tiles": tiles,
         "face_candidates_filter": f"SELECT page, cand_index FROM {CANDIDATES} WHERE {PLAUSIBLE}",

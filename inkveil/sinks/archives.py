@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 
 LOCAL_HEAD, CENTRAL_HEAD, END_RECORD = 30, 46, 22
 
+# Limits of the format without its 64-bit extension.
+MOST_ENTRIES, MOST_BYTES = 0xFFFF, 0xFFFFFFFF
+
 
 def zip_entries(files: DataFrame, keys: list[str], order: str) -> DataFrame:
     """Directory of one archive per key: name, crc32, n_bytes and offset of each entry, without making the bytes."""
@@ -20,7 +23,10 @@ def zip_entries(files: DataFrame, keys: list[str], order: str) -> DataFrame:
 
 
 def stored_zip(entries: list[tuple[str, bytes]]) -> bytes:
-    """An archive of stored entries with zero times and no flags."""
+    """An archive of stored entries with zero times and no flags. More than the format can hold is an error: split such files into several archives."""
+    size = sum(LOCAL_HEAD + CENTRAL_HEAD + 2 * len(name.encode()) + len(content) for name, content in entries)
+    if len(entries) > MOST_ENTRIES or size > MOST_BYTES:
+        raise ValueError(f"{len(entries)} entries of {size} bytes are too many for one archive")
     body, directory = bytearray(), bytearray()
     for name, content in entries:
         raw, crc, n = name.encode(), zlib.crc32(content), len(content)

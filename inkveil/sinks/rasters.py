@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # JPEG qualities by preset and sink, zoom of scanned pages, millimetres per point.
@@ -57,9 +57,20 @@ def png(pixels: np.ndarray) -> bytes:
     return b"\x89PNG\r\n\x1a\n" + chunk(b"IHDR", struct.pack(">IIBBBBB", w, h, 8, 0 if grey else 2, 0, 0, 0)) + chunk(b"IDAT", zlib.compress(rows.tobytes())) + chunk(b"IEND", b"")
 
 
-def page_box(width: float, height: float, scale: float = 1.0) -> tuple[float, float, str]:
+def page_box(width: Column, height: Column, scale: float = 1.0) -> tuple[Column, Column, Column]:
     """Page size in millimetres and orientation of a raster of the given scale."""
-    return width / scale / 72 * 25.4, height / scale / 72 * 25.4, "landscape" if width > height else "portrait"
+    return width / scale / 72 * 25.4, height / scale / 72 * 25.4, F.when(width > height, "landscape").otherwise("portrait")
+
+
+def pdf_file(objects: list[bytes]) -> bytes:
+    """Numbered objects, the first of them the catalogue, as a file with its table of places."""
+    out, at = bytearray(b"%PDF-1.4\n"), []
+    for n, body in enumerate(objects, 1):
+        at.append(len(out))
+        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
+    xref = len(out)
+    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % x for x in at)
+    return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, xref))
 
 
 def pdf(pages: list[np.ndarray], scale: float = 1.0) -> bytes:
@@ -78,13 +89,7 @@ def pdf(pages: list[np.ndarray], scale: float = 1.0) -> bytes:
         objects.append(b"<< /Type /XObject /Subtype /Image /Width %d /Height %d /ColorSpace /DeviceRGB /BitsPerComponent 8 /Filter /FlateDecode /Length %d >>\nstream\n%s\nendstream" % (w, h, len(body), body))
         kids.append(f"{n} 0 R")
     objects[1] = f"<< /Type /Pages /Count {len(kids)} /Kids [{' '.join(kids)}] >>".encode()
-    out, at = bytearray(b"%PDF-1.4\n"), []
-    for n, body in enumerate(objects, 1):
-        at.append(len(out))
-        out += b"%d 0 obj\n%s\nendobj\n" % (n, body)
-    xref = len(out)
-    out += b"xref\n0 %d\n0000000000 65535 f \n" % (len(objects) + 1) + b"".join(b"%010d 00000 n \n" % x for x in at)
-    return bytes(out + b"trailer\n<< /Size %d /Root 1 0 R >>\nstartxref\n%d\n%%%%EOF\n" % (len(objects) + 1, xref))
+    return pdf_file(objects)
 
 
 def redact_rasters(pages: DataFrame, boxes: DataFrame, colour: tuple[int, int, int] = (0, 0, 0), scale: float = 1.0) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from inkveil.functions import text as T
+from inkveil.operators.geometry import default_score, filter_ocr_words, pad_faces, plausible_face, suppress_duplicates
 
 # Limits of the inspection and page defaults.
 SAMPLED_PAGES = 5
@@ -64,3 +65,24 @@ def pages_with_words(pages: DataFrame, words: DataFrame) -> DataFrame:
     word = F.struct("word_index", "text", "x", "y", "width", "height", "confidence")
     held = words.withColumn("page_index", T.page_or_first(F.col("page_index"))).groupBy("doc_id", "page_index").agg(F.array_sort(F.collect_list(word)).alias("words"))
     return pages.join(held, ["doc_id", "page_index"], "left").withColumn("words", F.coalesce("words", F.array().cast(held.schema["words"].dataType)))
+
+
+def recognised_words(raw: DataFrame) -> DataFrame:
+    """Word rows of recognised pages (doc_id, page_index, word_index, text, confidence, x0, y0, x1, y1): valid words only, pages numbered from 1."""
+    return filter_ocr_words(raw.withColumn("page_index", T.page_or_first(F.col("page_index"))))
+
+
+def detected_faces(candidates: DataFrame, pages: DataFrame) -> DataFrame:
+    """Face regions of pages from the candidates of all scans (doc_id, page_index, cand_index, scan, x, y, w, h, score): default scores, plausible sizes,
+    without duplicates, padded within the page: doc_id, page_index, region_index, kind, x, y, w, h."""
+    keys = ["doc_id", "page_index"]
+    sized = candidates.join(pages.select(*keys, F.col("width").alias("img_w"), F.col("height").alias("img_h")), keys)
+    scored = sized.withColumn("score", default_score(F.col("score"), F.col("scan"))).filter(plausible_face(F.col("img_w"), F.col("img_h")))
+    kept = suppress_duplicates(scored, keys).join(pages.select(*keys, F.col("width").alias("img_w"), F.col("height").alias("img_h")), keys)
+    padded = pad_faces(kept, F.col("img_w"), F.col("img_h"))
+    return padded.select(*keys, F.col("cand_index").alias("region_index"), F.lit("face").alias("kind"), "x", "y", "w", "h")
+
+
+def pages_without_faces(pages: DataFrame, faces: DataFrame) -> DataFrame:
+    """Pages of documents that have no face regions yet: those that switching detection on scans."""
+    return pages.join(faces.select("doc_id").distinct(), "doc_id", "left_anti")

@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import BinaryType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
 Decoder = Callable[[pa.RecordBatch], Iterator[pa.RecordBatch]]
 
@@ -29,15 +31,37 @@ def _decoder(name: str, make: Callable[[], Decoder]) -> Decoder:
 
 
 def from_decoder(pages: DataFrame, kind: str, name: str, make: Callable[[], Decoder]) -> DataFrame:
-    """Rows of a kind by a decoder. Pages are independent, so nothing is shuffled. A page that a decoder cannot read
-    fails its task; a decoder that would rather go on yields no rows for it."""
+    """Rows of a kind by a decoder, with a column `error`. Pages (doc_id, page_index and more) are independent, so nothing is shuffled. A page that the
+    decoder cannot read gives one row with its keys and the error only; see readable and unreadable."""
+    schema = f"{SCHEMAS[kind]}, error string"
+    names = [x.split()[0] for x in SCHEMAS[kind].split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         decode = _decoder(name, make)
         for batch in batches:
-            yield from decode(batch)
+            for k in range(batch.num_rows):
+                page = batch.slice(k, 1)
+                try:
+                    rows = [r for part in decode(page) for r in part.to_pylist()]
+                except Exception as e:  # whatever a media library raises for a broken page
+                    rows = [{"doc_id": page.column("doc_id")[0].as_py(), "page_index": page.column("page_index")[0].as_py(), "error": f"{type(e).__name__}: {e}"}]
+                yield pa.RecordBatch.from_pylist(rows, to_arrow_schema(_parse(schema)))
 
-    return pages.mapInArrow(run, SCHEMAS[kind])
+    return pages.mapInArrow(run, schema).select(*names, "error")
+
+
+def _parse(schema: str) -> StructType:
+    kinds = {"long": LongType(), "int": IntegerType(), "string": StringType(), "double": DoubleType(), "binary": BinaryType()}
+    return StructType([StructField(x.split()[0], kinds[x.split()[1]]) for x in schema.split(", ")])
+
+
+def readable(rows: DataFrame) -> DataFrame:
+    return rows.filter("error is null").drop("error")
+
+
+def unreadable(rows: DataFrame) -> DataFrame:
+    """doc_id, page_index and error of the pages that could not be read."""
+    return rows.filter("error is not null").select("doc_id", "page_index", "error")
 
 
 def from_table(pages: DataFrame, rows: DataFrame) -> DataFrame:

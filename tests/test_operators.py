@@ -4,14 +4,17 @@ import zipfile
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
 from inkveil.functions import patterns as P
 from inkveil.functions import text as T
 from inkveil.operators import detect, geometry, selection
-from inkveil.sinks import archives, rasters
+from inkveil.sinks import archives, exports, rasters
 from inkveil.sinks import documents as redacted
 from inkveil.sources import documents as sources
+from inkveil.sources import providers
 from inkveil.streaming import tagging
 
 VECTORS = {
@@ -212,3 +215,116 @@ def test_stream_reports_are_files(spark, sf, tmp_path):
     q = tagging.write_reports(tagging.read_documents(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "cp"))
     q.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out")).select("doc_id", "word_index", "category").count() == detect.document_word_categories(docs).count()
+
+
+WORDS = "doc_id long, page_index int, word_index int, text string, x double, y double, width double, height double, effective boolean"
+REGIONS = "doc_id long, page_index int, region_index int, kind string, x double, y double, w double, h double"
+PAGES = "doc_id long, page_index int, width int, height int, data binary"
+
+
+def made(spark, choice=None):
+    white = bytearray(np.full((20, 30, 3), 255, np.uint8).tobytes())
+    documents = spark.createDataFrame([(1, "a.pdf", "text-pdf"), (2, "b.pdf", "image-pdf"), (3, "c.jpg", "image"), (4, "", "image")], "doc_id long, name string, document_type string")
+    pages = spark.createDataFrame([(1, 1, 200, 100, None), (2, 1, 30, 20, white), (2, 2, 30, 20, white), (3, 1, 30, 20, white), (4, 1, 30, 20, white), (4, 2, 30, 20, white)], PAGES)
+    items = spark.createDataFrame([(1, 1, 0, "call 08123456789 (now)", 10.0, 80.0, 9.0)], "doc_id long, page_index int, item_index int, str string, tx double, ty double, height double")
+    words = spark.createDataFrame([(1, 1, 1, "08123456789", 60.0, 15.0, 90.0, 14.0, True), (1, 1, 0, "call", 15.0, 15.0, 20.0, 14.0, False), (2, 0, 0, "w", 10.0, 10.0, 10.0, 10.0, True), (3, 1, 0, "w", 5.0, 6.0, 10.0, 4.0, True)], WORDS)
+    regions = spark.createDataFrame([(4, 2, 0, "face", 0.0, 0.0, 3.0, 3.0)], REGIONS)
+    return {r["doc_id"]: r for r in exports.export_documents(documents, pages, items, words, regions, choice).collect()}
+
+
+def streams(raw):
+    return [zlib.decompress(x.split(b"\nendstream")[0]) for x in raw.split(b"stream\n")[1:] if x[:1] == b"x"]
+
+
+def test_documents_are_exported_by_type(spark):
+    got = made(spark)
+    assert {k: (r["filename"], r["n_pages"]) for k, r in got.items()} == {1: ("a.pdf", 1), 2: ("b.pdf", 2), 3: ("c.png", 1), 4: ("redacted-images.pdf", 2)}
+    assert all(r["n_bytes"] == len(r["content"]) for r in got.values())
+    drawn = streams(bytes(got[1]["content"]))
+    assert b"08123456789" not in b"".join(drawn) and b"call" in drawn[0] and b"\\(now\\)" in drawn[0] and drawn[0].count(b" re f") == 1
+    first, second = (np.frombuffer(x, np.uint8).reshape(20, 30, 3) for x in streams(bytes(got[2]["content"])))
+    assert (first[9:18, 9:18] == 0).all() and int((first == 0).all(2).sum()) == 81 and (second == 255).all()
+    pages = [np.frombuffer(x, np.uint8).reshape(20, 30, 3) for x in streams(bytes(got[4]["content"]))]
+    assert [int((x == 0).all(2).sum()) for x in pages] == [0, 9]
+    assert bytes(got[3]["content"]).startswith(b"\x89PNG")
+
+
+def test_images_are_exported_by_choice(spark, tmp_path):
+    got = made(spark, "multi-zip")
+    assert got[4]["filename"] == "redacted-images.zip"
+    with zipfile.ZipFile(io.BytesIO(bytes(got[4]["content"]))) as z:
+        assert z.namelist() == ["redacted-image-1.png", "redacted-image-2.png"]
+    assert made(spark, "single-pdf-optimal")[3]["filename"] == "c.pdf" and made(spark, "image-max")[3]["filename"] == "c.png"
+    files = spark.createDataFrame([(7, "x.pdf", bytearray(b"abc"))], "doc_id long, filename string, content binary")
+    exports.save(files, str(tmp_path / "out"))
+    assert (tmp_path / "out/7/x.pdf").read_bytes() == b"abc"
+
+
+def test_archives_that_the_format_cannot_hold_are_refused():
+    with pytest.raises(ValueError, match="too many"):
+        archives.stored_zip([(str(k), b"") for k in range(65_536)])
+
+
+def test_enhanced_pixels_are_grey_with_more_contrast():
+    pixels = np.array([[[0, 0, 0], [255, 255, 255], [100, 100, 100], [140, 140, 140]]], np.uint8)
+    assert rasters.enhance(pixels).tolist() == [[0, 255, int(((100 - 127.5) * 1.35 + 127.5) * 1.05), int(((140 - 127.5) * 1.35 + 127.5) * 1.05)]]
+
+
+def test_unknown_exports_are_refused():
+    with pytest.raises(ValueError):
+        rasters.export_extension("gif")
+
+
+def test_broken_pages_are_reported_and_others_read(spark):
+    class Decoder:
+        """A stand-in for a raster or recognition library: the page's number in words; page 3 is broken."""
+
+        def __call__(self, page):
+            n = page.column("page_index")[0].as_py()
+            if n == 3:
+                raise OSError("broken page")
+            rows = [{"doc_id": page.column("doc_id")[0].as_py(), "page_index": n, "word_index": k, "text": t, "confidence": 90.0, "x0": 0.0, "y0": 0.0, "x1": 9.0, "y1": 9.0} for k, t in enumerate(["page", str(n), "-"])]
+            yield pa.RecordBatch.from_pylist(rows)
+
+    pages = spark.createDataFrame([(1, 1), (1, 3), (2, 2)], "doc_id long, page_index int")
+    rows = providers.from_decoder(pages, "ocr_words", "stand-in", Decoder).cache()
+    assert [tuple(r) for r in providers.unreadable(rows).collect()] == [(1, 3, "OSError: broken page")]
+    words = sources.recognised_words(providers.readable(rows))
+    assert sorted((r["doc_id"], r["page_index"], r["text"]) for r in words.collect()) == [(1, 1, "1"), (1, 1, "page"), (2, 2, "2"), (2, 2, "page")]
+    assert providers.from_table(pages.limit(1), words).count() == 2
+
+
+def test_detection_scans_only_documents_without_faces(spark):
+    pages = spark.createDataFrame([(1, 1, 500.0, 500.0), (2, 1, 500.0, 500.0)], "doc_id long, page_index int, width double, height double")
+    faces = spark.createDataFrame([(1, 1, 0)], "doc_id long, page_index int, region_index int")
+    assert [r["doc_id"] for r in sources.pages_without_faces(pages, faces).collect()] == [2]
+    kinds = "doc_id long, page_index int, cand_index int, scan string, x double, y double, w double, h double, score double"
+    found = spark.createDataFrame([(2, 1, 0, "global", 100.0, 100.0, 50.0, 60.0, None), (2, 1, 1, "2x2", 105.0, 100.0, 50.0, 60.0, 0.9), (2, 1, 2, "2x2", 5.0, 5.0, 5.0, 5.0, 0.9)], kinds)
+    assert [tuple(r) for r in sources.detected_faces(found, pages).collect()] == [(2, 1, 1, "face", 101.0, 92.8, 58.0, pytest.approx(70.8))]
+
+
+def test_faces_all_none_and_toggle(spark):
+    key = "doc_id long, page_index int, region_index int"
+    faces = spark.createDataFrame([(1, 1, k) for k in range(4)], key)
+    off, chosen = faces.filter("region_index = 0"), faces.filter("region_index < 2")
+    left = lambda *a: sorted(r["region_index"] for r in selection.change_faces(faces, off, *a).collect())
+    assert (left("all"), left("none"), left("toggle", chosen)) == ([], [0, 1, 2, 3], [1])
+    assert selection.delete_faces(faces, chosen).count() == 2
+
+
+def test_removed_words_stay_removed_whatever_others_did(spark):
+    o = spark.createDataFrame([(1, 0, 5, "redact"), (2, 0, 900, "redact"), (1, 1, 1, "redact")], "doc_id long, word_index int, seq long, action string")
+    groups = spark.createDataFrame([(1, [0])], "doc_id long, word_indices array<int>")
+    got = {(r["doc_id"], r["word_index"]): r["action"] for r in selection.latest_overrides(selection.remove_manual(o, groups)).collect()}
+    assert got == {(1, 0): "unredact", (2, 0): "redact", (1, 1): "redact"}
+
+
+def test_pages_turn_with_their_boxes(spark):
+    pages = spark.createDataFrame([(1, 600, 800, 270)], "page_index int, width int, height int, rotation int")
+    assert tuple(geometry.rotate_pages(pages).first()) == (1, 800, 600, 0)
+    assert tuple(geometry.rotate_pages(pages, 2).first()) == (1, 600, 800, 90)
+
+
+def test_events_are_counted_by_window(spark, sf):
+    events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    assert tagging.counts_by_window(events).agg(F.sum("n")).first()[0] == events.count()
