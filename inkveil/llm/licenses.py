@@ -16,6 +16,7 @@ DataFrame operations only.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -27,6 +28,9 @@ from inkveil.llm.shared import Scratch
 
 THRESHOLD = 0.75
 
+#: Distinct tokens that a unit shares with a template at least: one word ("mit" is German for "with") is no notice.
+SHARED = 2
+
 #: Adjacent lines, and paragraphs, that are compared together.
 WINDOW = 6
 
@@ -163,20 +167,26 @@ def anchors(vectors: list[dict[str, float]], threshold: float) -> list[str]:
     return sorted(out)
 
 
+def _literal(value, kind: str) -> Column:
+    """A constant of any type, small as an expression."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def _covered(words: Column, vectors: list[dict[str, float]], threshold: float) -> Column:
-    """Whether the words (tokens that templates have) hold enough of some template: by Cauchy-Schwarz the squared weights of the shared
+    """Whether the words (distinct tokens that templates have) hold enough of some template: by Cauchy-Schwarz the squared weights of the shared
     tokens sum to threshold^2 at least. It holds for a text if it holds for any unit of it."""
+    every = _literal([[{"t": t, "w": w * w} for t, w in v.items()] for v in vectors], "array<array<struct<t:string,w:double>>>")
 
     def some(x: Column) -> Column:
-        out = F.lit(False)
-        for v in vectors:
-            held = [F.when(F.array_contains(x, t), F.lit(w * w)).otherwise(F.lit(0.0)) for t, w in v.items()]
-            while len(held) > 1:  # as a tree, not a chain
-                held = [held[k] + held[k + 1] if k + 1 < len(held) else held[k] for k in range(0, len(held), 2)]
-            out = out | (held[0] >= threshold**2 - 1e-9)
-        return out
+        shared = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, e: acc + F.when(F.array_contains(x, e["t"]), e["w"]).otherwise(0.0))
+        return (F.size(x) >= SHARED) & F.exists(every, lambda v: shared(v) >= threshold**2 - 1e-9)
 
-    return F.exists(F.array(words), some)
+    return _let(words, some)
 
 
 def _tokens(text: Column) -> Column:
@@ -200,12 +210,40 @@ def _in_reach(unit: Column, idf: dict[str, float], n_templates: int, threshold:
 
 
 def _vocabulary(idf: dict[str, float]) -> Column:
-    return F.array(*[F.lit(x) for x in sorted(idf)])
+    return _literal(sorted(idf), "array<string>")
+
+
+def _near_templates(pieces: Column, idf: dict[str, float], anchored: list[str], n_templates: int, threshold: float, longest_run: int) -> Column:
+    """The texts of runs of up to longest_run adjacent pieces that a cheap exact bound leaves: at least SHARED tokens of templates, an anchor, and room for
+    the threshold. A piece is cut into tokens once, and runs are judged by sums over their pieces.
+
+    With u the weight of a word of no template, the squared weight of a run's other words is u^2 for each distinct one at least, of which the run has as
+    many as its richest piece; that of its template words is at most 4/e idf^2 for each occurrence, since (1 + ln x)^2 <= 4x/e. The score reaches
+    the threshold only if the former is at most 1 / threshold^2 - 1 times the latter.
+    """
+    unseen = inverse_frequency(n_templates, 0)
+    common = [x for x in idf if x in COMMON]
+    rare = [x for x in idf if x not in COMMON]
+    most = lambda some: (1 / threshold**2 - 1) * 4 / math.e * (max((idf[x] for x in some), default=0.0) / unseen) ** 2 + 1e-6
+
+    def weighed(piece: Column) -> Column:
+        def of(t: Column) -> Column:
+            count = lambda some: F.size(F.filter(t, lambda x: x.isin(some)))
+            other = F.size(F.array_distinct(F.filter(t, lambda x: ~x.isin(list(idf)))))
+            return F.struct(piece.alias("text"), count(rare).alias("rare"), count(common).alias("common"), other.alias("other"), F.exists(t, lambda x: x.isin(anchored)).alias("anchor"))
+
+        return _let(_tokens(piece), of)
+
+    def kept(run: Column) -> Column:
+        total = lambda f: F.aggregate(run, F.lit(0), lambda acc, x: acc + x[f])
+        other = F.aggregate(run, F.lit(0), lambda acc, x: F.greatest(acc, x["other"]))
+        return F.exists(run, lambda x: x["anchor"]) & (total("rare") + total("common") >= SHARED) & (other <= most(rare) * total("rare") + most(common) * total("common"))
 
+    def runs(p: Column, n: int) -> Column:
+        every = F.transform(p, lambda _, i: F.slice(p, i + 1, F.lit(n)))
+        return F.transform(F.filter(every, kept), lambda r: F.array_join(F.transform(r, lambda x: x["text"]), "\n"))
 
-def _runs(pieces: Column, n: int) -> Column:
-    """The texts of runs of n adjacent pieces."""
-    return F.transform(pieces, lambda x, i: F.concat_ws("\n", x, *[F.get(pieces, i + k) for k in range(1, n)]))
+    return _let(F.transform(pieces, weighed), lambda p: F.flatten(F.array(*[runs(p, n) for n in range(1, longest_run + 1)])))
 
 
 def _best_match(units: DataFrame, threshold: float, templates: list[tuple[str, str]]) -> DataFrame:
@@ -219,7 +257,7 @@ def _best_match(units: DataFrame, threshold: float, templates: list[tuple[str, s
     bag = units.select("uid", F.explode(F.split("unit", "[^a-z0-9]+")).alias("token")).filter("token != ''").groupBy("uid", "token").agg(F.count("*").alias("tf"))
     bag = bag.join(F.broadcast(rarity), "token", "left").select("uid", "token", ((1 + F.log("tf")) * F.coalesce("idf", F.lit(unseen))).alias("q"))  # a row per template token
     norms = bag.groupBy("uid").agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("norm"))
-    dots = bag.join(F.broadcast(weights), "token").groupBy("uid", "template", "license").agg(F.sum(F.col("q") * F.col("w")).alias("dot"))
+    dots = bag.join(F.broadcast(weights), "token").groupBy("uid", "template", "license").agg(F.sum(F.col("q") * F.col("w")).alias("dot"), F.count("*").alias("shared")).filter(F.col("shared") >= SHARED)
     scored = dots.join(norms, "uid").withColumn("score", F.round(F.col("dot") / F.col("norm"), 4)).filter(F.col("score") >= threshold)
     best = F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("best")
     found = scored.groupBy("uid").agg(best).select("uid", F.col("best.license").alias("license"), (-F.col("best.s")).alias("score"))
@@ -246,7 +284,7 @@ def license_scan(files: DataFrame, id_col: str, path: Column, text_col: str = "t
     """
     scratch = Scratch(files.sparkSession, "licenses")
     vectors, idf = template_weights(templates)
-    some = f"(?<![a-z0-9])(?:{'|'.join(anchors(vectors, threshold))})(?![a-z0-9])"
+    anchored = anchors(vectors, threshold)
     source = files.select(F.col(id_col).alias("id"), path.alias("path"), F.lower(F.coalesce(F.col(text_col), F.lit(""))).alias("t"))
     licence_file = F.coalesce(base_name(F.col("path")).rlike(LICENCE_FILE), F.lit(False))
     found = source.filter(_covered(F.array_intersect(_tokens(F.col("t")), _vocabulary(idf)), vectors, threshold)).withColumn("lines", F.split("t", "\n")).withColumn("paragraphs", F.split("t", "\n(?:[^a-z0-9\n]*\n)+"))
@@ -256,9 +294,11 @@ def license_scan(files: DataFrame, id_col: str, path: Column, text_col: str = "t
 
     found = found.withColumn("near_lines", short(F.col("lines"))).withColumn("near_paragraphs", short(F.col("paragraphs")))
     sentences = F.flatten(F.transform("paragraphs", lambda x: F.split(x, r"(?<=\S\S[.!?])\s+")))
-    runs = [_runs(F.col(c), n) for c in ("near_lines", "near_paragraphs") for n in range(2, WINDOW + 1)]
-    every = F.concat("lines", "paragraphs", sentences, *runs, F.when(licence_file, F.array("t")).otherwise(F.array().cast("array<string>")))
-    units = found.select("id", "path", F.explode(every).alias("unit")).filter(F.col("unit").rlike(some))
+    near = lambda pieces, n: _near_templates(pieces, idf, anchored, len(templates), threshold, n)
+    whole = F.when(licence_file, F.array("t")).otherwise(F.array().cast("array<string>"))
+    adjacent = F.flatten(F.transform(F.array("near_lines", "near_paragraphs"), lambda pieces: near(pieces, WINDOW)))
+    every = F.concat(near(F.concat("lines", "paragraphs", sentences, whole), 1), adjacent)
+    units = found.select("id", "path", F.explode(F.array_distinct(every)).alias("unit"))
     units = units.select("id", "path", F.trim("unit").alias("unit")).filter(_in_reach(F.col("unit"), idf, len(templates), threshold))
     units = units.filter(_covered(F.array_intersect(_tokens(F.col("unit")), _vocabulary(idf)), vectors, threshold)).distinct()
     units = scratch.keep(units, "units")
@@ -325,7 +365,7 @@ bag AS (
 ),
 q AS (SELECT unit, token, (1 + ln(tf)) * coalesce(idf, ln(1.0 + {len(TEMPLATES)}) + 1) AS q FROM bag LEFT JOIN idf USING (token)),
 n AS (SELECT unit, sqrt(sum(q * q)) AS norm FROM q GROUP BY unit),
-s AS (SELECT unit, license, round(sum(q * w) / any_value(norm), 4) AS score FROM q JOIN tw USING (token) JOIN n USING (unit) GROUP BY unit, k, license),
+s AS (SELECT unit, license, round(sum(q * w) / any_value(norm), 4) AS score FROM q JOIN tw USING (token) JOIN n USING (unit) GROUP BY unit, k, license HAVING count(*) >= {SHARED}),
 m AS (SELECT unit, license, score FROM s WHERE score >= {THRESHOLD} QUALIFY row_number() OVER (PARTITION BY unit ORDER BY score DESC, license) = 1),
 own AS (SELECT doc_id, path, license, score FROM u JOIN m USING (unit) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, license) = 1),
 decl AS (

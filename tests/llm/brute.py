@@ -147,6 +147,6 @@ def license_of(text, path, of):
             continue
         for (name, _), w in zip(of.TEMPLATES, vectors, strict=True):
             score = round(sum(v[x] * w[x] for x in v.keys() & w.keys()) / norm(v) / norm(w), 4)
-            if score >= of.THRESHOLD and (-score, name) < (-best[0], best[1] or "~"):
+            if len(v.keys() & w.keys()) >= of.SHARED and score >= of.THRESHOLD and (-score, name) < (-best[0], best[1] or "~"):
                 best = (score, name)
     return best[1], best[0]

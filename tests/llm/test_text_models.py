@@ -312,6 +312,10 @@ def test_tags_are_notices(spark, tag):
     assert licenses_of(spark, f"# SPDX-License-Identifier: {tag}\nx = 1\n", "# SPDX-License-Identifier: Zlib\n") == [tag.removesuffix("-only").removesuffix("-or-later"), None]
 
 
+def test_one_word_is_no_notice(spark):
+    assert licenses_of(spark, "Er ging. Mit.\nmit\n", "LICENSE\n\nGPL\n", "ISC", "MIT License") == [None, None, None, "MIT"]
+
+
 def test_licenses_equal_brute_force(spark):
     """All units of texts that mix notices, wrapped and cut ones, prose and code, against all templates, without any bound."""
     rng = random.Random(11)
@@ -321,7 +325,7 @@ def test_licenses_equal_brute_force(spark):
         pieces = []
         for _ in range(rng.randint(1, 6)):
             words = rng.choice(licenses.TEMPLATES)[1].split() if rng.random() < 0.6 else [rng.choice(prose) for _ in range(rng.randint(3, 40))]
-            words = [w for w in words if rng.random() < 0.93]
+            words = [w for w in words if rng.random() < 0.97]
             wide = rng.choice([4, 9, 60])
             lines = [" ".join(words[k : k + wide]) for k in range(0, len(words), wide)]
             pieces.append(rng.choice(["\n", "\n# ", "\n * "]).join(lines))
@@ -330,7 +334,7 @@ def test_licenses_equal_brute_force(spark):
     df = spark.createDataFrame(files, "id long, path string, text string")
     got = {r["id"]: (r["license"], r["score"]) for r in licenses.license_scan(df, "id", F.col("path")).collect()}
     want = {i: brute.license_of(t, path, licenses) for i, path, t in files}
-    assert sum(x[0] is not None for x in want.values()) > 15
+    assert sum(x[0] is not None for x in want.values()) > 10
     for i, (name, score) in want.items():
         assert got[i][0] == name and got[i][1] == pytest.approx(score, abs=2e-4), i
 
