@@ -98,14 +98,16 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs without the rows that exact_groups drops; all columns stay as they are."""
+    """docs without the rows that exact_groups drops; all columns stay as they are, whatever their names."""
     if unique_ids(docs, id_col):
         gone = exact_groups(docs, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("__gone"))
         return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    # Ids repeat or are null: rows are told apart by a number written beside them.
+    # Ids repeat or are null: rows are told apart by a number written beside them, which all plans read.
     scratch = Scratch(docs.sparkSession, "numbered")
-    numbered = scratch.keep(docs.withColumn("__row", F.monotonically_increasing_id()), "docs")
-    groups = exact_groups(numbered.select(F.col(id_col), F.col(text_col), "__row"), id_col, text_col)
-    raise_free = groups.filter("kept").select(F.col("rid").alias("__row"))
-    again = numbered.withColumn("__rid", F.monotonically_increasing_id())
-    return again.join(raise_free, again["__rid"] == raise_free["__row"], "left_semi").drop("__row", "__rid")
+    names = docs.columns
+    numbered = scratch.keep(docs.select(F.monotonically_increasing_id().alias("__row"), *names), "docs")
+    # The number, which goes with the id, decides between rows of one id; a null id is the smallest.
+    key = F.struct(F.col(id_col).alias("id"), F.col("__row").alias("row"))
+    rows = numbered.select(key.alias("key"), F.col(text_col).alias("body"))
+    gone = exact_groups(rows, "key", "body").filter(~F.col("kept")).select(F.col("doc_id.row").alias("__gone"))
+    return numbered.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*names)

@@ -38,7 +38,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkveil.llm import bytetext as B
@@ -597,17 +597,20 @@ def near_duplicate_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with one row of each component: that of the smallest doc_id. Null ids stay; so do all documents
-    without words, each its own component. Repeated rows of the kept id leave one."""
-    groups = near_duplicate_groups(docs, id_col, text_col)
+    """docs with one row of each component: that of the smallest doc_id. Rows with null ids stay; so do all documents without words, each its own
+    component. Where ids repeat, rows are judged by their own texts, so unrelated texts of one id stay, and of near copies
+    with one id the first in the written table."""
     scratch = Scratch(docs.sparkSession, "near-duplicates")
-    gone = scratch.keep(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    left = docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
-    again = groups.filter("doc_id is not null and n_shingles > 0").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("__again"))
-    again = scratch.keep(again, "again")
-    if again.isEmpty():
-        return left
-    once = left.join(again, left[id_col] == again["__again"], "left_semi")
-    first = Window.partitionBy(id_col).orderBy(text_col)
-    once = once.withColumn("__n", F.row_number().over(first)).filter("__n = 1").drop("__n")
-    return left.join(again, left[id_col] == again["__again"], "left_anti").unionByName(once)
+    known = docs.filter(F.col(id_col).isNotNull())
+    if known.groupBy(id_col).count().filter("count > 1").isEmpty():
+        groups = near_duplicate_groups(known, id_col, text_col)
+        gone = scratch.keep(groups.filter("doc_id != component_id").select(F.col("doc_id").alias("__gone")), "gone")
+        return docs.join(gone, docs[id_col] == gone["__gone"], "left_anti")
+    names = docs.columns
+    numbered = scratch.keep(docs.select(F.monotonically_increasing_id().alias("__row"), *names), "docs")
+    rows = numbered.filter(F.col(id_col).isNotNull()).select(F.col("__row").alias("row"), F.col(id_col).alias("id"), F.col(text_col).alias("body"))
+    groups = near_duplicate_groups(rows.select("row", "body"), "row", "body").select("doc_id", "component_id")
+    placed = scratch.keep(groups.join(rows.select("row", "id"), F.col("doc_id") == F.col("row")).select("component_id", "id", "row"), "placed")
+    first = placed.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select(F.col("component_id").alias("c"), F.col("first.row").alias("kept"))
+    gone = placed.join(first, F.col("component_id") == F.col("c")).filter("row != kept").select(F.col("row").alias("__gone"))
+    return numbered.join(gone, F.col("__row") == F.col("__gone"), "left_anti").select(*names)

@@ -18,11 +18,13 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir. Only where that
-    is unset (local tests) a folder of this process is made and set."""
+    is unset and everything runs in one process (local tests) a folder of this machine is made and set."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
-        found = spark.sparkContext.getCheckpointDir()
-        root = found if found else "file://" + tempfile.mkdtemp(prefix="inkveil-")
+        root = spark.sparkContext.getCheckpointDir()
+        if not root and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = root or "file://" + tempfile.mkdtemp(prefix="inkveil-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 

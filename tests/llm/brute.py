@@ -128,7 +128,7 @@ def license_of(text, path, of):
     """The best (license, score) of a text by comparing all its units with all templates."""
     t = (text or "").lower()
     tokens = lambda x: re.findall("[a-z0-9]+", x)
-    bags = [collections.Counter(tokens(x)) for _, x in of.TEMPLATES]
+    bags = [collections.Counter(tokens(x.lower())) for _, x in of.TEMPLATES]
     idf = lambda x: np.log((1 + len(bags)) / (1 + sum(x in b for b in bags))) + 1
     weight = lambda bag: {x: (1 + np.log(n)) * idf(x) for x, n in bag.items()}
     norm = lambda v: np.sqrt(sum(w * w for w in v.values()))

@@ -38,6 +38,16 @@ def test_repeated_rows_and_null_ids_leave_one(spark, docs_of):
     assert sorted((str(r["doc_id"]), r["text"].lower()) for r in left) == [("5", "a b"), ("7", "x"), ("None", "other")]
 
 
+def test_rows_that_share_an_id_are_judged_by_their_texts(docs_of):
+    a, b = (" ".join(f"{c}{k}" for k in range(40)) for c in "ab")
+    rows = [(5, a), (5, b), (5, a.upper()), (2, b + " x"), (None, a), (None, ""), (7, None), (7, None), (9, a + " y")]
+    left = sorted((str(r["doc_id"]), r["text"]) for r in ngram_join.keep_one_of_each(docs_of(rows)).collect() if r["text"])
+    assert left in ([(str(i), t) for i, t in ((2, b + " x"), (5, x), (None, a))] for x in (a, a.upper()))
+    assert ngram_join.keep_one_of_each(docs_of(rows)).filter("text is null").count() == 2
+    kept = sorted((str(r["doc_id"]), (r["text"] or "").lower()) for r in exact_dedup.drop_copies(docs_of(rows)).collect())
+    assert kept == sorted([("5", a), ("5", b), ("2", b + " x"), ("7", ""), ("9", a + " y")])
+
+
 def test_clashing_columns_stay(spark):
     names = "doc_id long, text string, rid string, name string, n long, h1 long, kept string, block string, doc_ID2 long, component string, key long"
     df = spark.createDataFrame([(1, "a b c d e f", "r", "n", 1, 2, "k", "b", 3, "c", 4), (2, "A b c d e f", "r2", "n", 1, 2, "k", "b", 3, "c", 4)], names)

@@ -45,3 +45,22 @@ def test_stages_on_hard_and_empty_tables(spark, sf, docs_of, hard):
         for _, stage in corpus_pipeline.STAGES:
             docs = stage(spark, docs, sf)
             docs = spark.createDataFrame(docs.collect(), docs.schema)
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from inkveil.llm import shared
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            get = staticmethod(lambda key, default: default)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared.shared_root(Session())
