@@ -103,7 +103,8 @@ def align_to_neighbours(scanned: DataFrame, rects: DataFrame, words: DataFrame,
     """Words of a re-scanned region, moved into page space. keys name the page; rects: rect_id (of the page), rx, ry, rw, rh; scanned: rect_id, word_index,
     text, x, y, width, height (in region space).
 
-    Where existing words beside the region have a mean height within 0.65 to 1.35 of a word's, it takes their mean height and y.
+    Where existing words beside the region have a mean height within 0.65 to 1.35 of a word's, it takes their mean height and y. Both are
+    rounded to a millionth of a pixel: whether another box covers just half of a word is decided on the box as it is returned.
     """
     near = (F.abs(F.col("w.y") - F.col("r.ry")) < F.greatest(F.col("r.rh") * 1.5, F.lit(50.0))) & (
         (F.abs(F.col("w.x") - (F.col("r.rx") + F.col("r.rw"))) < 80) | (F.abs(F.col("r.rx") - (F.col("w.x") + F.col("w.width"))) < 80)
@@ -118,9 +119,9 @@ def align_to_neighbours(scanned: DataFrame, rects: DataFrame, words: DataFrame,
         "word_index",
         "text",
         (F.col("rx") + F.col("x")).alias("x"),
-        F.when(snap, F.col("mean_y")).otherwise(F.col("ry") + F.col("y")).alias("y"),
+        F.round(F.when(snap, F.col("mean_y")).otherwise(F.col("ry") + F.col("y")), 6).alias("y"),
         "width",
-        F.when(snap, F.col("mean_h")).otherwise(F.col("height")).alias("height"),
+        F.round(F.when(snap, F.col("mean_h")).otherwise(F.col("height")), 6).alias("height"),
     )
 
 
