@@ -13,7 +13,7 @@ import pyarrow as pa
 from inkveil.llm import bytetext as B
 
 #: Words that one worker remembers (some 50 bytes each), and the bytes of the longest; others are encoded whenever they come.
-REMEMBERED = 2_000_000
+REMEMBERED = 500_000
 REMEMBERED_BYTES = 64
 
 #: Parts that the library encodes at once.
@@ -43,12 +43,20 @@ _PLAIN = np.zeros(256, bool)
 _PLAIN[0x30:0x3A] = _PLAIN[0x61:0x7B] = True
 
 
+def _picked(values: np.ndarray, start: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Ranges of values one after another, and where each begins (one more entry than ranges)."""
+    begin = np.zeros(len(count) + 1, np.int64)
+    np.cumsum(count, out=begin[1:])
+    return values[np.arange(begin[-1]) + np.repeat(start - begin[:-1], count)], begin
+
+
 class Encoder:
     """Texts to id sequences, equal to the library's own encoding of each whole text with
     add_special_tokens=False.
 
     Each distinct part between spaces is encoded once by the library and remembered with its bytes, found by a 64-bit digest of
-    them; parts that share a digest but not their bytes are encoded by themselves. Since the tokenizer lower-cases, parts that differ in ASCII case are one; a last comma or stop
+    them; parts that share a digest but not their bytes are encoded by themselves. When there are too many, those that did not come
+    again are forgotten. Since the tokenizer lower-cases, parts that differ in ASCII case are one; a last comma or stop
     after an ASCII letter or digit is a part of its own, as it is for the tokenizer.
     """
 
@@ -66,6 +74,7 @@ class Encoder:
         self.slot = np.zeros(0, np.int32)  # and their places in:
         self.start = np.zeros(0, np.int64)
         self.count = np.zeros(0, np.int64)
+        self.again = np.zeros(0, bool)  # whether a part has come again since parts were last forgotten
         self.ids = np.zeros(0, self.dtype)
         self.bytes = np.zeros(0, np.uint8)  # of the remembered parts, and where each begins (one more entry than parts)
         self.place = np.zeros(1, np.int64)
@@ -102,6 +111,7 @@ class Encoder:
         start, count, store = np.zeros(len(distinct), np.int64), np.zeros(len(distinct), np.int64), self.ids
         own = self.slot[at[hit]]
         start[hit], count[hit] = self.start[own], self.count[own]
+        self.again[own] = True
         if not hit.all():
             fresh = np.flatnonzero(~hit)
             raw = low.tobytes()
@@ -109,13 +119,12 @@ class Encoder:
             ids, n = self._library([x.decode() for x in parts])
             start[fresh], count[fresh] = len(store) + np.cumsum(n) - n, n
             store = np.concatenate([store, ids])
+            if len(self.known) + len(fresh) > REMEMBERED:
+                self._forget()
             if len(self.known) + len(fresh) <= REMEMBERED:
                 self._remember(distinct[fresh], taken[fresh], parts, ids, n)
-        n = count[inverse]
-        total = np.zeros(len(n) + 1, np.int64)
-        np.cumsum(n, out=total[1:])
-        places = np.arange(total[-1]) + np.repeat(start[inverse] - total[:-1], n)
-        return store[places], total[first]
+        out, total = _picked(store, start[inverse], count[inverse])
+        return out, total[first]
 
     @staticmethod
     def _distinct(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -129,6 +138,20 @@ class Encoder:
             distinct, where = np.r_[distinct, B.digests(low, starts[odd], ends[odd])], np.r_[where, odd]
         return distinct, where, inverse
 
+    def _forget(self) -> None:
+        """Keeps the parts that have come again, or none if these are more than half of what may be remembered."""
+        kept = np.flatnonzero(self.again)
+        if len(kept) > REMEMBERED // 2:
+            kept = kept[:0]
+        place = np.full(len(self.start), -1, np.int32)
+        place[kept] = np.arange(len(kept), dtype=np.int32)
+        here = place[self.slot] >= 0
+        self.known, self.slot = self.known[here], place[self.slot[here]]
+        self.ids, begin = _picked(self.ids, self.start[kept], self.count[kept])
+        self.start, self.count = begin[:-1], self.count[kept]
+        self.bytes, self.place = _picked(self.bytes, self.place[kept], self.place[kept + 1] - self.place[kept])
+        self.again = np.zeros(len(kept), bool)
+
     def _remember(self, digest: np.ndarray, taken: np.ndarray, parts: list[bytes], ids: np.ndarray, count: np.ndarray) -> None:
         """Keeps parts of up to REMEMBERED_BYTES whose digest no remembered one has, the first of each digest."""
         _, first = np.unique(digest, return_index=True)
@@ -139,10 +162,10 @@ class Encoder:
         place = np.searchsorted(self.known, digest[keep])
         self.known = np.insert(self.known, place, digest[keep])
         self.slot = np.insert(self.slot, place, np.arange(len(self.start), len(self.start) + len(keep), dtype=np.int32))
-        many = count[keep]
-        before = np.cumsum(many) - many
-        self.start, self.count = np.r_[self.start, len(self.ids) + before], np.r_[self.count, many]
-        self.ids = np.concatenate([self.ids, ids[np.arange(many.sum()) + np.repeat((np.cumsum(count) - count)[keep] - before, many)]])
+        more, begin = _picked(ids, (np.cumsum(count) - count)[keep], count[keep])
+        self.start, self.count = np.r_[self.start, len(self.ids) + begin[:-1]], np.r_[self.count, count[keep]]
+        self.again = np.r_[self.again, np.zeros(len(keep), bool)]
+        self.ids = np.concatenate([self.ids, more])
         raw = [parts[k] for k in keep.tolist()]
         self.bytes = np.concatenate([self.bytes, np.frombuffer(b"".join(raw), np.uint8)])
         self.place = np.r_[self.place, self.place[-1] + np.cumsum(list(map(len, raw)), dtype=np.int64)]

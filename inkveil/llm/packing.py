@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkveil.llm.encode import default_tokenizer, encoder
-from inkveil.llm.shared import Scratch
+from inkveil.llm.shared import Scratch, small_batches
 
 CAPACITY = 4096
 END_ID = 1
@@ -182,7 +182,9 @@ def _ddl(df: DataFrame) -> str:
 def best_fit_pack(docs: DataFrame, tokenizer: str | None = None, end_id: int = END_ID, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False) -> DataFrame:
     """Pieces of all documents with their places. Sequences have offsets from 0 without gaps."""
     cut = pieces(docs, tokenizer or default_tokenizer(), end_id, capacity, id_col, text_col, keep_ids)
-    return pack_pieces(Scratch(docs.sparkSession, "pieces").keep(cut, "pieces"), capacity)
+    with small_batches(docs.sparkSession):
+        rows = Scratch(docs.sparkSession, "pieces").keep(cut, "pieces")
+    return pack_pieces(rows, capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +31,25 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes of the Arrow batches that small_batches asks for, and Spark's name of that limit.
+BATCH_BYTES = 4 << 20
+BATCH_LIMIT = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """Whole texts that are written inside go to Python workers in batches of about BATCH_BYTES, unless the session has a limit of its own.
+    Spark's default lets 10,000 rows into one; for each task an executor holds a batch, and the bytes that it sends of it, outside its heap."""
+    own = spark.conf.get(BATCH_LIMIT, None)
+    if own is None:
+        spark.conf.set(BATCH_LIMIT, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        if own is None:
+            spark.conf.unset(BATCH_LIMIT)
+
+
 class Scratch:
     """Written tables of one operator run under the shared folder.
 

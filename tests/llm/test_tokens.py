@@ -60,6 +60,36 @@ def test_encoding_does_not_rest_on_digests(library, hard, monkeypatch):
         assert ids_of(coder, texts) == [library.encode(t or "", add_special_tokens=False).ids for t in texts]
 
 
+def test_encoder_forgets_what_does_not_come_again(library, monkeypatch):
+    from inkveil.llm import encode
+
+    monkeypatch.setattr(encode, "REMEMBERED", 60)
+    coder, asked = Encoder(default_tokenizer()), []
+    real = coder._library
+    monkeypatch.setattr(coder, "_library", lambda parts: asked.append(parts) or real(parts))
+    for k in range(40):
+        text = f"often{k // 20}, " + " ".join(f"once{k}x{i}" for i in range(20)) + f" OFTEN{k // 20} é{k % 3}"
+        assert ids_of(coder, [text, None, text]) == [library.encode(t, add_special_tokens=False).ids for t in (text, "", text)]
+        assert len(coder.known) == len(coder.start) == len(coder.place) - 1 <= 60 and len(coder.ids) == coder.count.sum()
+    assert sum(parts.count("often0") for parts in asked) == sum(parts.count("often1") for parts in asked) == 1
+    monkeypatch.setattr(encode, "REMEMBERED", 4)  # fewer than one text has
+    assert ids_of(coder, [text]) == [library.encode(text, add_special_tokens=False).ids]
+
+
+def test_texts_go_to_workers_in_small_batches(spark, docs_of):
+    from inkveil.llm.shared import BATCH_BYTES, BATCH_LIMIT, Scratch, small_batches
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows]), pa.array([b.nbytes])], ["rows", "bytes"])
+
+    docs = docs_of([(0, "x")]).selectExpr("explode(sequence(1, 400)) as doc_id", "repeat('word ', 20000) as text").coalesce(1)
+    with small_batches(spark):
+        got = Scratch(spark, "sizes").keep(docs.mapInArrow(sizes, "rows long, bytes long"), "sizes").collect()
+    assert sum(r["rows"] for r in got) == 400 and max(r["bytes"] for r in got) <= BATCH_BYTES + 200_000
+    assert spark.conf.get(BATCH_LIMIT, None) is None
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.text(st.sampled_from("ab\x00é"), min_size=1, max_size=30), min_size=1, max_size=20))
 def test_equality_of_words(some):
